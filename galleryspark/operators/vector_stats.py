@@ -55,8 +55,8 @@ def pairwise_distance_stats(
     def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if not lpdf.empty and not rpdf.empty:
-            left, right = blocks.matrix(lpdf["v"]), blocks.matrix(rpdf["v"])
-            left_id, right_id = lpdf["id"].to_numpy(), rpdf["id"].to_numpy()
+            left, right = blocks.matrix(lpdf["v"]), blocks.matrix(rpdf["other_v"])
+            left_id, right_id = lpdf["id"].to_numpy(), rpdf["other"].to_numpy()
             for part in blocks.slices(len(left), len(right)):
                 once = left_id[part][:, None] < right_id[None, :]
                 value = (-blocks.scores(left[part], right, "l2"))[once]
@@ -65,7 +65,8 @@ def pairwise_distance_stats(
                     parts.append((len(value), mean, ((value - mean) ** 2).sum(), value.min(), value.max()))
         return pd.DataFrame(parts, columns=["n", "mean", "m2", "lo", "hi"])
 
-    cells = blocks.grid(rows, rows, ["id"], ["id"], kernel, "n long, mean double, m2 double, lo double, hi double")
+    others = rows.select(F.col("id").alias("other"), F.col("v").alias("other_v"))
+    cells = blocks.grid(rows, others, ["id"], ["other"], kernel, "n long, mean double, m2 double, lo double, hi double")
     total = F.sum("n")
     mean = F.sum(F.col("n") * F.col("mean")) / total
     between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
