@@ -84,7 +84,7 @@ def b7_parse_run_names(spark, sf):
         parsed["run_no"].alias("run_no"),
         parsed["seed"].alias("seed"),
         T.run_name(parsed["run_no"], parsed["seed"]).alias("rebuilt"),
-        T.experiment_timestamp(F.col("experiment")).alias("started"),
+        F.date_format(T.experiment_timestamp(F.col("experiment")), "yyyy-MM-dd HH:mm:ss").alias("started"),
         T.checkpoint_name(F.col("epoch")).alias("checkpoint"),
         T.top_k_of(F.concat(F.lit("top"), F.col("epoch").cast("string"), F.lit("_precision"))).alias("k"),
     )
@@ -164,7 +164,7 @@ ORACLE = {
     "b6_paths": sql("files") + "select doc_id, replace(path, '/workspace', '/home/user/data') as local, path as canonical from files",
     "b7_parse_run_names": sql("log")
     + """select arrival, cast(split_part(run, '_', 2) as int) as run_no, cast(split_part(run, '_', 4) as int) as seed, run as rebuilt,
- date_trunc('second', ts) as started, concat('checkpoint_epoch_', lpad(cast(epoch as varchar), greatest(4, length(cast(epoch as varchar)))::int, '0')) as checkpoint, cast(epoch as int) as k from log""",
+ strftime(ts, '%Y-%m-%d %H:%M:%S') as started, concat('checkpoint_epoch_', lpad(cast(epoch as varchar), greatest(4, length(cast(epoch as varchar)))::int, '0')) as checkpoint, cast(epoch as int) as k from log""",
     "b8_unique_target_names": sql("files", more=f"""named as (select class, path, {_TEMPLATE.format(_NAME)} as t, lower(regexp_extract({_NAME}, '\\.[^.]*$')) as s from files),
  ranked as (select *, row_number() over (partition by class, concat(t, s) order by md5(concat('0:', path)), path) as c from named)""")
     + """select class, path, concat(t, s) as name, case when c = 1 then concat(t, s) else concat(t, '_', c - 1, s) end as target_name,
