@@ -145,15 +145,14 @@ def _pixel_key(y: Column, x: Column) -> Column:
     return y.cast("bigint") * ROW_STRIDE + x
 
 
-def _label_tile(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
-    """Index of the first pixel, in raster order, of each pixel's component. Input is in raster order."""
-    place = np.full((y.max() - y.min() + 2, x.max() - x.min() + 3), -1)
-    place[y - y.min(), x - x.min() + 1] = np.arange(len(y))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    ends = [place[y - y.min() + dy, x - x.min() + 1 + dx] for dy, dx in steps]
-    a = np.concatenate([np.nonzero(e >= 0)[0] for e in ends])
-    b = np.concatenate([e[e >= 0] for e in ends])
-    root = np.arange(len(y))
+def _label_tiles(key: np.ndarray, steps: Sequence[int]) -> np.ndarray:
+    """Index of the first pixel of each pixel's component. ``key`` is sorted; two pixels touch where their
+    keys differ by one of the steps."""
+    ends = [np.searchsorted(key, key + step) for step in steps]
+    hits = [np.nonzero(key[np.minimum(e, len(key) - 1)] == key + step)[0] for e, step in zip(ends, steps)]
+    a = np.concatenate(hits)
+    b = np.concatenate([e[h] for e, h in zip(ends, hits)])
+    root = np.arange(len(key))
     while True:
         ra, rb = root[a], root[b]
         differ = ra != rb
@@ -164,26 +163,44 @@ def _label_tile(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
             root = root[root]
 
 
+GROUP_PIXELS = 400_000  # pixels handed to one kernel call
+
+
+def _chunk(count: int, cores: int, keys: Sequence[str]) -> Column:
+    """Hash of the keys into so many chunks that one holds about GROUP_PIXELS rows."""
+    chunks = max(-(-count // GROUP_PIXELS), min(cores, -(-count // 2_000)), 1)
+    return F.pmod(F.xxhash64(*keys), F.lit(chunks))
+
+
 def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE, image: Sequence[str] = ("image_id",)) -> DataFrame:
     """Add ``root``, the key of the component's first pixel in raster order.
 
-    Pages are cut into tiles; each tile is labelled in one task, and components that cross tile borders
-    are merged by passing the smallest root along the border edges until nothing changes.
+    Pages are cut into tiles and chunks of tiles are labelled in one task each, so neither a large page nor
+    many small ones make a large group. Components that cross tile borders are merged by passing the
+    smallest root along the border edges until nothing changes.
     """
     keys = list(image)
     columns = [*keys, "y", "x"]
     types = dict(pixels.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", root bigint"
+    width = tile + 2  # a free column keeps the ends of two rows apart
+    steps = [1, width] + ([width + 1, width - 1] if connectivity == 8 else [])
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
         y, x = pdf["y"].to_numpy().astype(np.int64), pdf["x"].to_numpy().astype(np.int64)
-        first = _label_tile(y, x, connectivity)
-        return pdf[columns].assign(root=(y * ROW_STRIDE + x)[first])
-
+        nth = pdf.groupby([*keys, "_ty", "_tx"], sort=False).ngroup().to_numpy()
+        key = (nth * (tile + 1) + y % tile) * width + x % tile + 1
+        order = np.argsort(key, kind="stable")
+        first = _label_tiles(key[order], steps)
+        return pdf[columns].iloc[order].assign(root=(y * ROW_STRIDE + x)[order][first])
+
+    size = pixels.agg(
+        F.max("y").alias("y"), F.max("x").alias("x"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.count(F.lit(1)).alias("n")
+    ).first()
+    cores = pixels.sparkSession.sparkContext.defaultParallelism
     tiled = pixels.select(*columns, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
-    labelled = tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(label, schema)
-    size = pixels.agg(F.max("y").alias("y"), F.max("x").alias("x"), F.min("y").alias("y0"), F.min("x").alias("x0")).first()
+    chunked = tiled.withColumn("_chunk", _chunk(size.n, cores, [*keys, "_ty", "_tx"]))
+    labelled = chunked.groupBy("_chunk").applyInPandas(label, schema)
     if size.y is None or (size.y // tile == size.y0 // tile and size.x // tile == size.x0 // tile):
         return labelled
     return _merge_tiles(cut_lineage(labelled), connectivity, tile, keys)
@@ -507,12 +524,15 @@ def _crop_holes(mask: np.ndarray) -> int:
 def prune_preserving_topology(labelled: DataFrame, rounds: int = 3, start: int = 2) -> DataFrame:
     """(image_id, root, y, x, steps): components after opening and regrowth by growing windows.
 
-    A round is kept only while the hole count stays and pixels remain. One component is one group, no larger
-    than its crop on the page.
+    A round is kept only while the hole count stays and pixels remain. A component is no larger than its crop
+    on the page; a task prunes a chunk of components.
     """
     schema = f"image_id {dict(labelled.dtypes)['image_id']}, root bigint, y int, x int, steps int"
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([prune_one(part) for _, part in pdf.groupby(["image_id", "root"], sort=False)], ignore_index=True)
+
+    def prune_one(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), dtype=bool)
         mask[y - y.min(), x - x.min()] = True
@@ -527,7 +547,9 @@ def prune_preserving_topology(labelled: DataFrame, rounds: int = 3, start: int =
         head = pdf.iloc[0]
         return pd.DataFrame({"image_id": head["image_id"], "root": head["root"], "y": ys + y.min(), "x": xs + x.min(), "steps": steps})
 
-    return labelled.select("image_id", "root", "y", "x").groupBy("image_id", "root").applyInPandas(prune, schema)
+    cores = labelled.sparkSession.sparkContext.defaultParallelism
+    chunk = _chunk(labelled.count(), cores, ["image_id", "root"])
+    return labelled.select("image_id", "root", "y", "x", chunk.alias("_chunk")).groupBy("_chunk").applyInPandas(prune, schema)
 
 
 def prune_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def h17_merge_small(spark, sf):
 
 
 def h18_prune_preserving_topology(spark, sf):
-    return R.prune_preserving_topology(_labelled(spark, sf))
+    return R.prune_preserving_topology(_stored(spark, sf))
 
 
 def h19_prune_report(spark, sf):
