@@ -31,12 +31,17 @@ def retrieve_documents(
         .where(F.col("parent_pdf_id").isNotNull() & (F.col("parent_pdf_id") != ""))
         .join(query_components.select(query_doc, "query_id"), "query_id")
     )
-    score = (strategy or max_pool())(F.col("similarity"), F.col("component_type"))
-    columns = [score.alias("score"), F.count(F.lit(1)).alias("accumulated_matches")]
+    strategy = strategy or max_pool()
+    score = strategy(F.col("similarity"), F.col("component_type")).alias("score")
+    columns = [F.count(F.lit(1)).alias("accumulated_matches")]
     if with_details:
         detail = F.struct("query_id", "rank", "id", "component_type", "similarity")
         columns.append(F.array_sort(F.collect_list(detail)).alias("details"))
-    scored = matches.groupBy(query_doc, "parent_pdf_id").agg(*columns)
+    groups = matches.groupBy(query_doc, "parent_pdf_id")
+    if getattr(strategy, "in_python", False):  # Python aggregates cannot stand beside built-in ones
+        scored = groups.agg(*columns).join(groups.agg(score), [query_doc, "parent_pdf_id"])
+    else:
+        scored = groups.agg(score, *columns)
     best = Window.partitionBy(query_doc).orderBy(F.desc(F.round("score", 9)), "parent_pdf_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

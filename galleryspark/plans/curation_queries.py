@@ -69,7 +69,7 @@ def _pools(spark, sf):
     return g.where("pool = 'Da'"), g.where("pool = 'Db'")
 
 
-def _curated(spark, sf):
+def curated(spark, sf):
     da, db = _pools(spark, sf)
     seeds = C.sample_seeds(da, N_SEEDS)
     truth = C.select_ground_truth(seeds, da)
@@ -89,24 +89,24 @@ def g10_select_ground_truth(spark, sf):
 
 
 def g11_sample_distractors(spark, sf):
-    return _curated(spark, sf)[4]
+    return curated(spark, sf)[4]
 
 
 def g12_validation_sets(spark, sf):
-    return C.build_validation_sets(*_curated(spark, sf))
+    return C.build_validation_sets(*curated(spark, sf))
 
 
 def g12_set_sizes(spark, sf):
-    return C.set_sizes(C.build_validation_sets(*_curated(spark, sf)))
+    return C.set_sizes(C.build_validation_sets(*curated(spark, sf)))
 
 
 def g13_validation_groups(spark, sf):
-    _, _, seeds, truth, distractors = _curated(spark, sf)
+    _, _, seeds, truth, distractors = curated(spark, sf)
     return C.label_validation_groups(seeds, truth, distractors)
 
 
 def g14_train_test(spark, sf):
-    sets = C.build_validation_sets(*_curated(spark, sf)).where("part <> 'V'")
+    sets = C.build_validation_sets(*curated(spark, sf)).where("part <> 'V'")
     return C.assign_split(sets, 0.8, 42, F.col("path"), ["part"], "zero")
 
 
@@ -126,7 +126,7 @@ def g16_expand_to_components(spark, sf):
 
 def g17_apply_review(spark, sf):
     """A review that keeps, for every seed, the members whose path ends in an even digit, and new distractors."""
-    da, db, seeds, truth, distractors = _curated(spark, sf)
+    da, db, seeds, truth, distractors = curated(spark, sf)
     reviewed = truth.where(F.col("member").rlike("[02468]\\.png$"))
     fresh = sample_n(distractors, 40, 5, F.col("path"))
     return C.apply_review(da, db, seeds, reviewed, fresh)
@@ -166,7 +166,7 @@ _KEYED = """k as (select *, concat(cast(image_id as varchar), '-', cast(label as
  <= floor(count(*) over (partition by class) * 0.8::double) then 'train' else 'test' end as split from k)"""
 _FINE = "fine as (select image_id, label, concat(class, '-', cast(cast(floor(image_id / 4) as bigint) as varchar)) as class from cmp)"
 _BERNOULLI = "case when {cut} = 0 then cast(cast('0x' || substr(md5(concat('7:', class)), 1, 8) as bigint) / 4294967296.0 < 0.3::double as int) else {cut} end"
-_CURATED = f"""da as (select path, category from gal where pool = 'Da'), db as (select path from gal where pool = 'Db'),
+CURATED_SQL = f"""da as (select path, category from gal where pool = 'Da'), db as (select path from gal where pool = 'Db'),
  seeds as (select path from da order by md5(concat('42:', path)), path limit {N_SEEDS}),
  ring as (select category, path, row_number() over (partition by category order by md5(concat('42:', path)), path) as place,
  count(*) over (partition by category) as n from da),
@@ -201,16 +201,16 @@ ORACLE = {
     + """select run, case when r <= greatest(1, floor(n * 0.8::double)) then 'train' else 'test' end as split, sum(c)::bigint as rows, count(*) as groups from r group by 1, 2""",
     "g7_class_index": sql("files") + "select doc_id, class, cast(dense_rank() over (order by class) - 1 as int) as class_index from files",
     "g8_leakage": sql("cmp", more=_KEYED) + "select image_id, 'component' as variant from c group by image_id having count(distinct split) > 1",
-    "g9_sample_seeds": sql("gal", more=_CURATED) + "select path from seeds",
-    "g10_select_ground_truth": sql("gal", more=_CURATED) + "select seed, member from every_truth",
-    "g11_sample_distractors": sql("gal", more=_CURATED) + "select path from distractors",
-    "g12_validation_sets": sql("gal", more=_CURATED) + "select part, path from sets",
-    "g12_set_sizes": sql("gal", more=_CURATED) + "select part, count(*) as size from sets group by part",
-    "g13_validation_groups": sql("gal", more=_CURATED + """, numbered as (select path, cast(row_number() over (order by md5(concat('42:', path)), path) - 1 as int) as label from seeds)""")
+    "g9_sample_seeds": sql("gal", more=CURATED_SQL) + "select path from seeds",
+    "g10_select_ground_truth": sql("gal", more=CURATED_SQL) + "select seed, member from every_truth",
+    "g11_sample_distractors": sql("gal", more=CURATED_SQL) + "select path from distractors",
+    "g12_validation_sets": sql("gal", more=CURATED_SQL) + "select part, path from sets",
+    "g12_set_sizes": sql("gal", more=CURATED_SQL) + "select part, count(*) as size from sets group by part",
+    "g13_validation_groups": sql("gal", more=CURATED_SQL + """, numbered as (select path, cast(row_number() over (order by md5(concat('42:', path)), path) - 1 as int) as label from seeds)""")
     + """select label, path as member, concat('group_', lpad(cast(label as varchar), 3, '0')) as group_name from numbered
  union all select label, member, concat('group_', lpad(cast(label as varchar), 3, '0')) from truth join numbered on path = seed
  union all select -1, path, concat('distractor_', lpad(cast(row_number() over (order by md5(concat('42:', path)), path) - 1 as varchar), 4, '0')) from distractors""",
-    "g14_train_test": sql("gal", more=_CURATED)
+    "g14_train_test": sql("gal", more=CURATED_SQL)
     + """select part, path, case when row_number() over (partition by part order by md5(concat('42:', path)), path)
  <= floor(count(*) over (partition by part) * 0.8::double) then 'train' else 'test' end as split from sets where part <> 'V'""",
     "g15_count_for_mode": sql("files", more=f"p as (select {_INSTANCE} as instance, lower(path) like '%.png' as png, contains(path, '/large_components/') as large from files)")
@@ -220,7 +220,7 @@ ORACLE = {
     "g16_expand_to_components": sql("cmp")
     + """select i.image_id, coalesce(cast(c.image_id as varchar) || '-' || cast(label as varchar), cast(i.image_id as varchar)) as item
  from (select distinct image_id from cmp) i left join (select * from cmp where is_complex) c on i.image_id = c.image_id""",
-    "g17_apply_review": sql("gal", more=_CURATED + """, fresh as (select path from distractors order by md5(concat('5:', path)), path limit 40),
+    "g17_apply_review": sql("gal", more=CURATED_SQL + """, fresh as (select path from distractors order by md5(concat('5:', path)), path limit 40),
  v2 as (select path from seeds union select member from truth where regexp_matches(member, '[02468]\\.png$') union select path from fresh)""")
     + """select 'V' as part, path from v2 union all select 'T_small', path from da where path not in (select path from v2)
  union all select 'T_large', path from gal where path not in (select path from v2)""",

@@ -19,11 +19,15 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gal_rows(emb(spark, sf_dir))
+
+
+def gal_rows(vectors: DataFrame) -> DataFrame:
     """Gallery records: five components per document, two pools."""
     parent = F.concat(F.lit("D"), F.lpad(F.floor(F.col("vec_id") / 5).cast("bigint").cast("string"), 5, "0"))
     kind = F.concat(F.lit("roi_"), (F.col("vec_id") % 5).cast("string"))
     category = F.concat(F.lit("class_"), F.col("label").cast("string"))
-    return emb(spark, sf_dir).select(
+    return vectors.select(
         "vec_id",
         "embedding",
         "label",
