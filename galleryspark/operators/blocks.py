@@ -16,33 +16,73 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 CELL_ROWS = 16_384
+CELL_BYTES = 64 << 20  # vectors of one side of a cell
+MAX_PARTITIONS = 20_000
 SLICE_CELLS = 4_000_000  # doubles per similarity slice inside a task (32 MB)
 TIE_DECIMALS = 12  # scores equal to this many places are ties, broken by id
 
 
+Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+
+
+def cell_rows_for(df: DataFrame, vector: str, most: int = CELL_ROWS) -> int:
+    """Rows of a cell side: at most ``most``, fewer where the vectors are long."""
+    first = df.select(F.size(vector).alias("d")).first()
+    return max(256, min(most, CELL_BYTES // (8 * max(first.d if first else 1, 1))))
+
+
 def grid(
     left: DataFrame,
     right: DataFrame,
     left_key: Sequence[str],
     right_key: Sequence[str],
-    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    kernel: Kernel,
     schema: str,
     cell_rows: int = CELL_ROWS,
     left_rows: int | None = None,
+    n_left: int | None = None,
+    n_right: int | None = None,
 ) -> DataFrame:
     """Run ``kernel`` once per cell of the block grid."""
     cores = left.sparkSession.sparkContext.defaultParallelism
-    n_left, n_right = left.count(), right.count()
+    n_left = left.count() if n_left is None else n_left
+    n_right = right.count() if n_right is None else n_right
     per_block = min(left_rows or cell_rows, cell_rows)
     rows = max(math.ceil(n_left / per_block), min(cores, math.ceil(n_left / 128)), 1)
     columns = max(math.ceil(n_right / cell_rows), 1)
-    spread = left.withColumn("_r", F.pmod(F.xxhash64(*left_key), F.lit(rows))).withColumn("_c", _each(columns))
-    replicated = right.withColumn("_c", F.pmod(F.xxhash64(*right_key), F.lit(columns))).withColumn("_r", _each(rows))
-    return spread.groupBy("_r", "_c").cogroup(replicated.groupBy("_r", "_c")).applyInPandas(kernel, schema)
+    spread = left.withColumn("_r", F.pmod(F.xxhash64(*left_key), F.lit(rows))).withColumn("_c", _each(F.lit(columns)))
+    replicated = right.withColumn("_c", F.pmod(F.xxhash64(*right_key), F.lit(columns))).withColumn("_r", _each(F.lit(rows)))
+    return _run_cells(spread, replicated, ["_r", "_c"], kernel, schema, rows * columns)
+
+
+def grouped_grid(
+    left: DataFrame, right: DataFrame, group: str, left_key: Sequence[str], right_key: Sequence[str], kernel: Kernel, schema: str,
+    sizes: DataFrame, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """A grid of its own for every value of ``group``, so that a crowded group is cut into many cells.
+
+    ``sizes``: (group, n_left, n_right), one row per group, few enough to be sent to every task.
+    """
+    blocks_of = lambda n: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col(n) / cell_rows))
+    cut = F.broadcast(sizes.select(group, blocks_of("n_left").alias("_rows"), blocks_of("n_right").alias("_columns")))
+    spread = left.join(cut, group).withColumn("_r", F.pmod(F.xxhash64(*left_key), F.col("_rows"))).withColumn("_c", _each(F.col("_columns")))
+    replicated = right.join(cut, group).withColumn("_c", F.pmod(F.xxhash64(*right_key), F.col("_columns"))).withColumn("_r", _each(F.col("_rows")))
+    drop = ("_rows", "_columns")
+    cells = sizes.agg(F.sum(blocks_of("n_left") * blocks_of("n_right")).alias("n")).first().n or 1
+    return _run_cells(spread.drop(*drop), replicated.drop(*drop), [group, "_r", "_c"], kernel, schema, cells)
+
+
+def _run_cells(left: DataFrame, right: DataFrame, cell: list[str], kernel: Kernel, schema: str, cells: int) -> DataFrame:
+    """Both sides get as many partitions as there are cells: a cell is small in bytes but long to compute, and
+    must not be merged with others for its size."""
+    partitions = min(cells, MAX_PARTITIONS)
+    placed = [side.repartition(partitions, *cell).groupBy(*cell) for side in (left, right)]
+    # Spark counts the arguments of the function it is given; a bound method would count one too many.
+    return placed[0].cogroup(placed[1]).applyInPandas(lambda lpdf, rpdf: kernel(lpdf, rpdf), schema)
 
 
-def _each(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -70,11 +110,12 @@ def scores(queries: np.ndarray, gallery: np.ndarray, metric: str) -> np.ndarray:
         value = -np.sqrt(np.maximum(square, 0.0))
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    return np.round(value, TIE_DECIMALS)
+    return value
 
 
 def best_k(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest finite entries per row; ties keep the smaller column."""
+    value = np.round(value, TIE_DECIMALS)
     k = min(k, value.shape[1])
     if k <= 0 or value.size == 0:
         return np.empty(0, int), np.empty(0, int)

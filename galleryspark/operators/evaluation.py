@@ -60,6 +60,7 @@ def average_precision(
         F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked")
     )
     id_type = dict(items.dtypes)["id"]
+    cell_rows = min(cell_rows, blocks.cell_rows_for(items, "v", AP_CELL_ROWS))
     if items.count() <= cell_rows:
         terms = _whole_ranking(asked, items, id_type, cell_rows)
     else:

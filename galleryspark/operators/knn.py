@@ -6,16 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleryspark.functions import vectors as V
 from galleryspark.operators import blocks
+from galleryspark.operators.ordering import sample_n
 
-# A query side of at most this many rows and bytes is sent to the tasks; the gallery then stays in place.
+# A query side of at most this many rows is sent to the tasks; the gallery then stays in place.
 SMALL_QUERY_ROWS = 2_048
-SMALL_QUERY_BYTES = 32 << 20
+MAX_CELLS = 4_096  # pivots of the approximate search
 
 
 def knn(
@@ -43,54 +42,61 @@ def knn(
         gallery = gallery.where(where)
     left = queries.select(F.col(query_id).alias("query_id"), V.as_double(F.col(vector)).alias("qv"))
     right = gallery.select(F.col(gallery_id).alias("id"), V.as_double(F.col(vector)).alias("gv"))
-    if right.isEmpty():
+    n_left, n_right = left.count(), right.count()
+    if not n_right:
         raise ValueError("the gallery is empty")
-    types = dict(left.dtypes)["query_id"], dict(right.dtypes)["id"]
-    schema = f"query_id {types[0]}, id {types[1]}, score double"
-
-    probe = left.limit(small_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv") * 8).alias("bytes")).first()
-    if probe.n <= small_rows and (probe.bytes or 0) <= SMALL_QUERY_BYTES and _much_larger(right, probe.n):
-        partial = _queries_to_gallery(left, right, k, metric, exclude_self, schema)
+    rows = min(cell_rows, blocks.cell_rows_for(right, "gv"))
+    top = _TopK(k, metric, exclude_self)
+    schema = _schema(left, right)
+    if n_left <= min(small_rows, rows) and n_right >= 16 * n_left:
+        partial = _queries_to_gallery(left, right, top, schema)
     else:
-        partial = _block_grid(left, right, k, metric, exclude_self, schema, cell_rows)
+        partial = blocks.grid(
+            left, right, ["query_id"], ["id"], top.of_cell, schema, rows, n_left=n_left, n_right=n_right
+        )
+    return _best_of(partial, k, metric)
+
+
+def _schema(left: DataFrame, right: DataFrame) -> str:
+    return f"query_id {dict(left.dtypes)['query_id']}, id {dict(right.dtypes)['id']}, score double, place double"
+
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+def _best_of(partial: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k best of the candidates that the tasks returned, at most k per query and task."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("place"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     shown = F.col("score") if metric == "ip" else -F.col("score")
     return ranked.select("query_id", "id", "rank", shown.alias("score"))
 
 
-def _much_larger(gallery: DataFrame, n: int) -> bool:
-    """Sending queries out pays only where the gallery outweighs them many times."""
-    wanted = 16 * n + 1
-    return gallery.select("id").limit(wanted).count() == wanted
+class _TopK:
+    """The k best gallery rows of each query among the rows a task sees."""
 
+    def __init__(self, k: int, metric: str, exclude_self: bool):
+        self.k, self.metric, self.exclude_self = k, metric, exclude_self
 
-def _top(query_ids, qv, pdf, k, metric, exclude_self):
-    gallery = pdf.sort_values("id", kind="stable")
-    ids = gallery["id"].to_numpy()
-    gv = blocks.matrix(gallery["gv"])
-    found = []
-    for part in blocks.slices(len(qv), len(gv)):
-        value = blocks.scores(qv[part], gv, metric)
-        if exclude_self:
-            value[query_ids[part][:, None] == ids[None, :]] = -np.inf
-        row, col = blocks.best_k(value, k)
-        found.append(pd.DataFrame({"query_id": query_ids[part][row], "id": ids[col], "score": value[row, col]}))
-    return pd.concat(found, ignore_index=True)
-
-
-def _block_grid(left, right, k, metric, exclude_self, schema, cell_rows):
-    def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def of_cell(self, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _top(lpdf["query_id"].to_numpy(), blocks.matrix(lpdf["qv"]), rpdf, k, metric, exclude_self)
-
-    return blocks.grid(left, right, ["query_id"], ["id"], kernel, schema, cell_rows)
-
-
-def _queries_to_gallery(left, right, k, metric, exclude_self, schema):
-    rows = left.collect()  # at most small_rows, checked by the caller
+            return pd.DataFrame({"query_id": [], "id": [], "score": [], "place": []})
+        return self.of(lpdf["query_id"].to_numpy(), blocks.matrix(lpdf["qv"]), rpdf)
+
+    def of(self, query_ids: np.ndarray, qv: np.ndarray, rpdf: pd.DataFrame) -> pd.DataFrame:
+        gallery = rpdf.sort_values("id", kind="stable")
+        ids, gv = gallery["id"].to_numpy(), blocks.matrix(gallery["gv"])
+        found = []
+        for part in blocks.slices(len(qv), len(gv)):
+            value = blocks.scores(qv[part], gv, self.metric)
+            if self.exclude_self:
+                value[query_ids[part][:, None] == ids[None, :]] = -np.inf
+            row, col = blocks.best_k(value, self.k)
+            score = value[row, col]
+            place = np.round(score, blocks.TIE_DECIMALS)  # what decides the rank
+            found.append(pd.DataFrame({"query_id": query_ids[part][row], "id": ids[col], "score": score, "place": place}))
+        return pd.concat(found, ignore_index=True)
+
+
+def _queries_to_gallery(left: DataFrame, right: DataFrame, top: _TopK, schema: str) -> DataFrame:
+    rows = left.collect()  # at most SMALL_QUERY_ROWS rows and CELL_BYTES, checked by the caller
     query_ids = np.array([r.query_id for r in rows], dtype=object if rows and isinstance(rows[0].query_id, str) else None)
     shared = left.sparkSession.sparkContext.broadcast((query_ids, np.array([r.qv for r in rows], dtype=np.float64)))
 
@@ -100,10 +106,10 @@ def _queries_to_gallery(left, right, k, metric, exclude_self, schema):
         for pdf in batches:
             if pdf.empty or not len(query_ids):
                 continue
-            top = _top(query_ids, qv, pdf, k, metric, exclude_self)
-            both = top if held is None else pd.concat([held, top], ignore_index=True)
-            both = both.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-            held = both.groupby("query_id", sort=False).head(k)
+            found = top.of(query_ids, qv, pdf)
+            both = found if held is None else pd.concat([held, found], ignore_index=True)
+            both = both.sort_values(["query_id", "place", "id"], ascending=[True, False, True], kind="stable")
+            held = both.groupby("query_id", sort=False).head(top.k)
         if held is not None:
             yield held
 
@@ -143,30 +149,50 @@ def ann_knn(
     queries: DataFrame,
     gallery: DataFrame,
     k: int,
-    radius: float = 1.3,
-    bucket_length: float = 1.5,
-    tables: int = 4,
+    cells: int | None = None,
+    probes: int = 8,
     seed: int = 42,
+    exclude_self: bool = False,
+    query_id: str = "query_id",
+    gallery_id: str = "id",
     vector: str = "embedding",
+    cell_rows: int = blocks.CELL_ROWS,
 ) -> DataFrame:
-    """Approximate cosine neighbours: random-projection LSH, then exact ranking of the candidates.
+    """Approximate cosine top-k: each query searches only the ``probes`` cells nearest to it.
 
-    On unit vectors the Euclidean radius is a cosine threshold. A query that has no k candidates
-    within the radius returns fewer.
+    The cells are the neighbourhoods of ``cells`` pivots (by default the square root of the gallery size, at
+    most 4096), drawn from the gallery in hash order. A crowded cell is cut into a grid of its own, so no
+    task grows with it and no pairs are written. With all cells probed the result is exact.
     """
-    unit = array_to_vector(V.l2_normalize(F.col(vector)))
-    left = queries.select(F.col("query_id"), unit.alias("features"))
-    right = gallery.select(F.col("id"), unit.alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, "distance").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.id").alias("id"),
-        (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("score"),
+    left = queries.select(F.col(query_id).alias("query_id"), V.as_double(F.col(vector)).alias("qv"))
+    right = gallery.select(F.col(gallery_id).alias("id"), V.as_double(F.col(vector)).alias("gv"))
+    n_right = right.count()
+    if not n_right:
+        raise ValueError("the gallery is empty")
+    cells = min(cells or max(1, round(n_right**0.5)), MAX_CELLS, n_right)
+    pivots = sample_n(right, cells, seed, F.col("id")).orderBy("id").collect()  # at most MAX_CELLS vectors
+    shared = left.sparkSession.sparkContext.broadcast(blocks.unit_rows(np.array([p.gv for p in pivots], dtype=np.float64)))
+
+    def nearest(column: str, count: int):
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                row, cell = blocks.best_k(blocks.unit_rows(blocks.matrix(pdf[column])) @ shared.value.T, count)
+                yield pdf.iloc[row].assign(cell=cell)
+
+        return assign
+
+    asked = left.mapInPandas(nearest("qv", probes), f"query_id {dict(left.dtypes)['query_id']}, qv array<double>, cell bigint")
+    stored = right.mapInPandas(nearest("gv", 1), f"id {dict(right.dtypes)['id']}, gv array<double>, cell bigint")
+    sizes = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n_right")).join(
+        asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left")), "cell"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    known = left.sparkSession.createDataFrame(sizes.collect(), sizes.schema)  # at most MAX_CELLS rows
+    top = _TopK(k, "cosine", exclude_self)
+    rows = min(cell_rows, blocks.cell_rows_for(right, "gv"))
+    partial = blocks.grouped_grid(asked, stored, "cell", ["query_id"], ["id"], top.of_cell, _schema(left, right), known, rows)
+    return _best_of(partial, k, "cosine").withColumn("score", V.similarity_from_distance(F.col("score")))
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Up to this many values per group the built-in exact percentile runs in one aggregate.
-DIRECT_LIMIT = 200_000
+DIRECT_LIMIT = 1_000_000
 # Rank error of the sketch is n / ACCURACY; brackets are widened by four times that.
-ACCURACY = 50_000
+ACCURACY = 100_000
 # More groups than this are not brought to the driver; their values are ranked by windows.
 BRACKET_LIMIT = 10_000
 
@@ -24,15 +24,14 @@ def melt(df: DataFrame, columns: Mapping[str, Column], by: Sequence[str] = ()) -
     )
 
 
-def moments(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return long.groupBy(*by, "metric").agg(
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("std_pop"),
-        F.stddev_samp("v").alias("std_samp"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
+MOMENTS = {
+    "n": F.count,
+    "mean": F.avg,
+    "std_pop": F.stddev_pop,
+    "std_samp": F.stddev_samp,
+    "min": F.min,
+    "max": F.max,
+}
 
 
 def exact_quantiles(
@@ -50,11 +49,23 @@ def exact_quantiles(
     only a small share of the distinct values is ever ranked.
     """
     keys = [*by, "metric"]
+    if _small(long, keys, direct_limit):
+        return long.groupBy(*keys).agg(_direct(probs))
+    return _ranked(long, keys, probs, direct_limit, accuracy, bracket_limit)
+
+
+def _small(long, keys, direct_limit) -> bool:
+    biggest = long.groupBy(*keys).agg(F.count("v").alias("n")).agg(F.max("n").alias("n")).first()
+    return (biggest.n or 0) <= direct_limit
+
+
+def _direct(probs):
+    return F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")
+
+
+def _ranked(long, keys, probs, direct_limit=DIRECT_LIMIT, accuracy=ACCURACY, bracket_limit=BRACKET_LIMIT):
     sizes = long.groupBy(*keys).agg(F.count("v").alias("n"))
-    biggest = sizes.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    if (biggest.n or 0) <= direct_limit:
-        return long.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    if biggest.groups <= bracket_limit:
+    if sizes.limit(bracket_limit + 1).count() <= bracket_limit:
         counted = _bracketed(long, keys, probs, direct_limit, accuracy)
     else:
         counted = _counted_whole(long, sizes, keys, probs)
@@ -126,8 +137,11 @@ def _interpolate(counted, keys, probs):
 
 
 def summary(df: DataFrame, columns: Mapping[str, Column], probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Moments and named quantiles per (by, metric)."""
-    long = melt(df, columns, by)
-    quantiles = exact_quantiles(long, list(probs.values()), by)
-    named = quantiles.select(*by, "metric", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
-    return moments(long, by).join(named, [*by, "metric"])
+    """Moments and named quantiles per (by, metric): one aggregate while the groups are small."""
+    long, keys = melt(df, columns, by), [*by, "metric"]
+    plain = [f("v").alias(name) for name, f in MOMENTS.items()]
+    if _small(long, keys, DIRECT_LIMIT):
+        whole = long.groupBy(*keys).agg(*plain, _direct(list(probs.values())))
+    else:
+        whole = long.groupBy(*keys).agg(*plain).join(_ranked(long, keys, list(probs.values())), keys)
+    return whole.select(*keys, *MOMENTS, *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])

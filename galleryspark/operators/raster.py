@@ -166,10 +166,13 @@ def _label_tiles(key: np.ndarray, steps: Sequence[int]) -> np.ndarray:
 GROUP_PIXELS = 400_000  # pixels handed to one kernel call
 
 
-def _chunk(count: int, cores: int, keys: Sequence[str]) -> Column:
-    """Hash of the keys into so many chunks that one holds about GROUP_PIXELS rows."""
+def _in_chunks(pixels: DataFrame, count: int, keys: Sequence[str]):
+    """Rows grouped by a hash of the keys into so many chunks that one holds about GROUP_PIXELS rows, with a
+    partition for each chunk."""
+    cores = pixels.sparkSession.sparkContext.defaultParallelism
     chunks = max(-(-count // GROUP_PIXELS), min(cores, -(-count // 2_000)), 1)
-    return F.pmod(F.xxhash64(*keys), F.lit(chunks))
+    chunked = pixels.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)))
+    return chunked.repartition(min(chunks, 20_000), "_chunk").groupBy("_chunk")
 
 
 def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE, image: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -197,10 +200,8 @@ def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE,
     size = pixels.agg(
         F.max("y").alias("y"), F.max("x").alias("x"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.count(F.lit(1)).alias("n")
     ).first()
-    cores = pixels.sparkSession.sparkContext.defaultParallelism
     tiled = pixels.select(*columns, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
-    chunked = tiled.withColumn("_chunk", _chunk(size.n, cores, [*keys, "_ty", "_tx"]))
-    labelled = chunked.groupBy("_chunk").applyInPandas(label, schema)
+    labelled = _in_chunks(tiled, size.n, [*keys, "_ty", "_tx"]).applyInPandas(label, schema)
     if size.y is None or (size.y // tile == size.y0 // tile and size.x // tile == size.x0 // tile):
         return labelled
     return _merge_tiles(cut_lineage(labelled), connectivity, tile, keys)
@@ -547,9 +548,8 @@ def prune_preserving_topology(labelled: DataFrame, rounds: int = 3, start: int =
         head = pdf.iloc[0]
         return pd.DataFrame({"image_id": head["image_id"], "root": head["root"], "y": ys + y.min(), "x": xs + x.min(), "steps": steps})
 
-    cores = labelled.sparkSession.sparkContext.defaultParallelism
-    chunk = _chunk(labelled.count(), cores, ["image_id", "root"])
-    return labelled.select("image_id", "root", "y", "x", chunk.alias("_chunk")).groupBy("_chunk").applyInPandas(prune, schema)
+    pixels = labelled.select("image_id", "root", "y", "x")
+    return _in_chunks(pixels, pixels.count(), ["image_id", "root"]).applyInPandas(prune, schema)
 
 
 def prune_report(before: DataFrame, after: DataFrame) -> DataFrame:

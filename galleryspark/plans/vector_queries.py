@@ -128,11 +128,16 @@ def e5_skip_same_path(spark, sf):
     return _neighbors(K.drop_same_path(K.knn(_as_queries(g, "id"), g, 5), g, 5))
 
 
+def e6_ann_knn(spark, sf):
+    e = emb(spark, sf)
+    return _neighbors(K.ann_knn(_as_queries(e), e, 5, cells=16, probes=4, gallery_id="vec_id"))
+
+
 def e6_ann_recall(spark, sf):
     e = emb(spark, sf)
-    found = K.ann_knn(_as_queries(e), e.withColumnRenamed("vec_id", "id"), 5, radius=1.25)
+    found = K.ann_knn(_as_queries(e), e, 5, cells=16, probes=4, gallery_id="vec_id")
     exact = K.knn(_as_queries(e), e, 5, metric="cosine", gallery_id="vec_id")
-    return K.recall_at_k(found, exact)
+    return rounded(K.recall_at_k(found, exact), "recall")
 
 
 def e7_retrieve_documents(spark, sf):
@@ -178,6 +183,7 @@ QUERIES = {
     "e3_knn_where": e3_knn_where,
     "e4_candidate_pool": e4_candidate_pool,
     "e5_skip_same_path": e5_skip_same_path,
+    "e6_ann_knn": e6_ann_knn,
     "e6_ann_recall": e6_ann_recall,
     "e7_retrieve_documents": e7_retrieve_documents,
     "e7_retrieve_details": e7_retrieve_details,
@@ -205,6 +211,12 @@ def _knn_sql(score, k, source="pairs", order="desc"):
 _ALL = """pairs as (select p.vec_id as query_id, q.vec_id as id, p.embedding::double[] as a, q.embedding::double[] as b
  from embeddings p, embeddings q)"""
 _OTHER = _ALL.replace("embeddings q)", "embeddings q where p.vec_id <> q.vec_id)")
+_ANN = f"""v as (select vec_id, embedding::double[] as e from embeddings),
+ centers as (select vec_id, e from v order by md5(concat('42:', cast(vec_id as varchar))), vec_id limit 16),
+ near_center as (select v.vec_id, p.vec_id as cell, row_number() over (partition by v.vec_id order by round({_COS.replace('(a, a)', '(v.e, v.e)').replace('(b, b)', '(p.e, p.e)').replace('(a, b)', '(v.e, p.e)')}, 12) desc, p.vec_id) as r
+ from v, centers p),
+ cand as (select a.vec_id as query_id, b.vec_id as id, va.e as a, vb.e as b from near_center a join near_center b on a.cell = b.cell and a.r <= 4 and b.r = 1
+ join v va on va.vec_id = a.vec_id join v vb on vb.vec_id = b.vec_id)"""
 _GALPAIRS = """pairs as (select p.id as query_id, q.id as id, p.parent_pdf_id as query_doc, q.parent_pdf_id, q.component_type,
  p.path as query_path, q.path as path, p.embedding::double[] as a, q.embedding::double[] as b from gal p, gal q)"""
 _NEAR = """near as (select * from (select *, row_number() over (partition by query_id order by round(1 - similarity, 12), id) as place
@@ -250,6 +262,10 @@ ORACLE = {
  from (select query_id, id, path, query_path, list_dot_product(a, b) as score from pairs))""")
     + """select query_id, id, cast(row_number() over (partition by query_id order by place) as int) as rank, round(score, 6) as score
  from ranked where place <= 5 and path <> query_path""",
+    "e6_ann_knn": sql(more=_ANN) + _knn_sql(_COS, 5, "cand"),
+    "e6_ann_recall": sql(more=_ALL + ", " + _ANN + ", found as (" + _knn_sql(_COS, 5, "cand") + "), exact as (" + _knn_sql(f"1 - {_COS}", 5, order="asc") + ")")
+    + """select count(distinct e.query_id) as queries, round(avg(case when f.id is null then 0.0 else 1.0 end), 6) as recall
+ from exact e left join found f on e.query_id = f.query_id and e.id = f.id""",
     "e7_retrieve_documents": sql("gal", more=_GALPAIRS + ", " + _NEAR.format(cos=_COS, k=10) + """,
  scored as (select query_doc, parent_pdf_id, sum(similarity * case component_type when 'roi_0' then 2 else 1 end) as score,
  count(*) as accumulated_matches from near group by query_doc, parent_pdf_id),
