@@ -23,9 +23,12 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """v / max(norm, 1e-12); a zero vector stays zero."""
+    """v / max(norm, 1e-12); a zero vector stays zero.
+
+    The norm is an argument and not part of the lambda, where it would be worked out again for every element.
+    """
     length = F.greatest(norm(vector), F.lit(NORM_FLOOR))
-    return F.transform(as_double(vector), lambda x: x / length)
+    return F.zip_with(as_double(vector), F.array_repeat(length, F.size(vector)), lambda x, n: x / n)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -166,15 +166,17 @@ def macro_map(ap: DataFrame) -> DataFrame:
 
 
 def class_sums(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Per class: n, self_sq (sum of squared norms), own (|s_c|^2) and cross (s_c . S) of unit vectors."""
+    """Per class: n, all_n (items of all classes), self_sq (sum of squared norms), own (|s_c|^2) and cross
+    (s_c . S) of unit vectors."""
     unit = df.select(F.col(label).alias("label"), F.posexplode(V.l2_normalize(F.col(vector))).alias("pos", "x"))
     per_dim = unit.groupBy("label", "pos").agg(
         F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count(F.lit(1)).alias("n")
     )
-    totals = per_dim.groupBy("pos").agg(F.sum("s").alias("t"))
+    totals = per_dim.groupBy("pos").agg(F.sum("s").alias("t"), F.sum("n").alias("all_n"))
     # One row per vector dimension: bounded whatever the table size.
     return per_dim.join(F.broadcast(totals), "pos").groupBy("label").agg(
         F.max("n").alias("n"),
+        F.max("all_n").alias("all_n"),
         F.sum("sq").alias("self_sq"),
         F.sum(F.col("s") * F.col("s")).alias("own"),
         F.sum(F.col("s") * F.col("t")).alias("cross"),
@@ -187,10 +189,9 @@ def class_margin(df: DataFrame, vector: str = "embedding", label: str = "label")
     sums = class_sums(df, vector, label)
     n = F.col("n")
     rest = F.col("all_n") - n
-    with_total = sums.withColumn("all_n", F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row per class
     intra = F.when(n > 1, (F.col("own") - F.col("self_sq")) / (n - 1)).otherwise(F.lit(0.0))
     inter = F.when(rest > 0, (F.col("cross") - F.col("own")) / rest).otherwise(F.lit(0.0))
-    totals = with_total.agg(F.sum(intra).alias("a"), F.sum(inter).alias("b"), F.sum("n").alias("n"))
+    totals = sums.agg(F.sum(intra).alias("a"), F.sum(inter).alias("b"), F.sum("n").alias("n"))
     iacs, other = F.col("a") / F.col("n"), F.col("b") / F.col("n")
     return totals.select(iacs.alias("iacs"), other.alias("inter"), (iacs - other).alias("margin"))
 

@@ -1,6 +1,7 @@
 """Run registered queries on Spark and their SQL twins on DuckDB and compare the rows.
 
-    python tests/oracle.py [name-prefix ...]     (ORACLE_SF_DIR sets the data folder)
+    python tests/oracle.py [name-prefix ...]     (ORACLE_SF_DIR sets the data folder, ORACLE_PLAIN=1 takes
+                                                  a session with Spark's own defaults)
 """
 
 from __future__ import annotations
@@ -66,7 +67,12 @@ def main(prefixes: list[str]) -> int:
     from __spark_entry__ import oracle_sql, queries
     from galleryspark.session import build_session
 
-    spark = build_session("oracle", "8")
+    if os.environ.get("ORACLE_PLAIN"):  # a session without any of our settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("oracle", "8")
     spark.sparkContext.setLogLevel("ERROR")
     con, twins, bad = connect(), oracle_sql(), 0
     for name, query in queries().items():
