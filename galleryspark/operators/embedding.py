@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from galleryspark.functions import text as T
 from galleryspark.operators import raster as R
+from galleryspark.session import cut_lineage
 
 # A batch function takes float images [n, h, w] in 0..1 and returns vectors [n, d].
 Embedder = Callable[[np.ndarray], np.ndarray]
@@ -76,7 +77,7 @@ def index_components(pages: DataFrame, pixels: DataFrame, embedder: Embedder, to
     ``pages``: image_id, path. Pages without pixels are skipped. Ids are made of the page's stem and the
     component index, so indexing a page again replaces its rows.
     """
-    parts = page_components(pixels, top_n)
+    parts = cut_lineage(page_components(pixels, top_n))  # at most top_n rows per page, read twice below
     crop = F.struct("component_index", "px1", "py1", "px2", "py2")
     boxes = parts.groupBy("image_id").agg(F.collect_list(crop).alias("_b"))  # at most top_n per page
     y, x = F.col("y"), F.col("x")

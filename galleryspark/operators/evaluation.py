@@ -61,8 +61,9 @@ def average_precision(
     )
     id_type = dict(items.dtypes)["id"]
     cell_rows = min(cell_rows, blocks.cell_rows_for(items, "v", AP_CELL_ROWS))
-    if items.count() <= cell_rows:
-        terms = _whole_ranking(asked, items, id_type, cell_rows)
+    n = items.count()
+    if n <= cell_rows:
+        terms = _whole_ranking(asked, items, id_type, cell_rows, n)
     else:
         terms = _two_pass_ranking(asked, items, id_type, cell_rows)
     sums = terms.groupBy("query_id").agg(F.sum("gain").alias("gain"), F.sum("relevant").alias("relevant"))
@@ -76,7 +77,7 @@ def _cosines(qv: np.ndarray, gv: np.ndarray) -> np.ndarray:
     return np.round(blocks.unit_rows(qv) @ blocks.unit_rows(gv).T, blocks.TIE_DECIMALS)
 
 
-def _whole_ranking(asked, items, id_type, cell_rows):
+def _whole_ranking(asked, items, id_type, cell_rows, n):
     def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not lpdf.empty and not rpdf.empty:
@@ -93,7 +94,7 @@ def _whole_ranking(asked, items, id_type, cell_rows):
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "gain": [], "relevant": []})
 
     return blocks.grid(
-        asked, items, ["query_id"], ["id"], kernel, f"query_id {id_type}, gain double, relevant long", cell_rows, 1024
+        asked, items, ["query_id"], ["id"], kernel, f"query_id {id_type}, gain double, relevant long", cell_rows, 1024, n_right=n
     )
 
 
@@ -273,31 +274,34 @@ def export_pair_scores(
     items = df.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector)).alias("v"), F.col(label).alias("label"))
     left = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked"))
 
-    def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if not lpdf.empty and not rpdf.empty:
-            ids, labels, gv = rpdf["id"].to_numpy(), rpdf["label"].to_numpy(), blocks.matrix(rpdf["v"])
-            qid, asked, qv = lpdf["query_id"].to_numpy(), lpdf["asked"].to_numpy(), blocks.matrix(lpdf["qv"])
-            for part in blocks.slices(len(qv), len(gv)):
-                value = _cosines(qv[part], gv)
-                same = asked[part][:, None] == labels[None, :]
-                row, col = np.nonzero(same & (qid[part][:, None] != ids[None, :]))
-                out.append(_pairs(qid[part][row], ids[col], value[row, col], True, -1))
-                row, col = np.nonzero(~same)
-                order = _pair_order(qid[part][row], ids[col], seed)
-                if len(order) > max_fp:  # keep the max_fp smallest, with every tie of the last
-                    keep = order <= np.partition(order, max_fp - 1)[max_fp - 1]
-                    row, col, order = row[keep], col[keep], order[keep]
-                out.append(_pairs(qid[part][row], ids[col], value[row, col], False, order))
-        columns = ["query_id", "id", "similarity", "is_tp", "ord"]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
-
-    pairs = blocks.grid(
-        left, items, ["query_id"], ["id"], kernel,
-        "query_id long, id long, similarity double, is_tp boolean, ord long",
-    )
-    sampled = pairs.where(~F.col("is_tp")).orderBy("ord", "query_id", "id").limit(max_fp)
-    return pairs.where("is_tp").unionByName(sampled).drop("ord")
+    def same_class(qid, asked, qv, ids, labels, gv):
+        row, col = np.nonzero((asked[:, None] == labels[None, :]) & (qid[:, None] != ids[None, :]))
+        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], True, -1)
+
+    def cross_class(qid, asked, qv, ids, labels, gv):
+        row, col = np.nonzero(asked[:, None] != labels[None, :])
+        order = _pair_order(qid[row], ids[col], seed)
+        if len(order) > max_fp:  # keep the max_fp smallest, with every tie of the last
+            keep = order <= np.partition(order, max_fp - 1)[max_fp - 1]
+            row, col, order = row[keep], col[keep], order[keep]
+        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], False, order)
+
+    def of(pick):
+        def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if not lpdf.empty and not rpdf.empty:
+                ids, labels, gv = rpdf["id"].to_numpy(), rpdf["label"].to_numpy(), blocks.matrix(rpdf["v"])
+                qid, asked, qv = lpdf["query_id"].to_numpy(), lpdf["asked"].to_numpy(), blocks.matrix(lpdf["qv"])
+                out = [pick(qid[p], asked[p], qv[p], ids, labels, gv) for p in blocks.slices(len(qv), len(gv))]
+            columns = ["query_id", "id", "similarity", "is_tp", "ord"]
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
+
+        schema = "query_id long, id long, similarity double, is_tp boolean, ord long"
+        return blocks.grid(left, items, ["query_id"], ["id"], kernel, schema, rows, n_left=n, n_right=n)
+
+    n, rows = items.count(), blocks.cell_rows_for(items, "v")
+    sampled = of(cross_class).orderBy("ord", "query_id", "id").limit(max_fp)
+    return of(same_class).unionByName(sampled).drop("ord")
 
 
 def _pairs(q, g, similarity, is_tp, order):

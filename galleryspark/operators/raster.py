@@ -175,12 +175,18 @@ def _in_chunks(pixels: DataFrame, count: int, keys: Sequence[str]):
     return chunked.repartition(min(chunks, 20_000), "_chunk").groupBy("_chunk")
 
 
-def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE, image: Sequence[str] = ("image_id",)) -> DataFrame:
+EXTENT = {"y0": F.min, "y1": F.max, "x0": F.min, "x1": F.max}
+
+
+def label_components(
+    pixels: DataFrame, connectivity: int = 8, tile: int = TILE, image: Sequence[str] = ("image_id",), extent: DataFrame | None = None
+) -> DataFrame:
     """Add ``root``, the key of the component's first pixel in raster order.
 
     Pages are cut into tiles and chunks of tiles are labelled in one task each, so neither a large page nor
     many small ones make a large group. Components that cross tile borders are merged by passing the
-    smallest root along the border edges until nothing changes.
+    smallest root along the border edges until nothing changes. ``extent``, one row (y0, y1, x0, x1, n), saves
+    the pass that looks for the pixel range and count when the caller knows them.
     """
     keys = list(image)
     columns = [*keys, "y", "x"]
@@ -197,12 +203,12 @@ def label_components(pixels: DataFrame, connectivity: int = 8, tile: int = TILE,
         first = _label_tiles(key[order], steps)
         return pdf[columns].iloc[order].assign(root=(y * ROW_STRIDE + x)[order][first])
 
-    size = pixels.agg(
-        F.max("y").alias("y"), F.max("x").alias("x"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.count(F.lit(1)).alias("n")
-    ).first()
+    if extent is None:
+        extent = pixels.agg(*[f(name[0]).alias(name) for name, f in EXTENT.items()], F.count(F.lit(1)).alias("n"))
+    size = extent.first()
     tiled = pixels.select(*columns, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
-    labelled = _in_chunks(tiled, size.n, [*keys, "_ty", "_tx"]).applyInPandas(label, schema)
-    if size.y is None or (size.y // tile == size.y0 // tile and size.x // tile == size.x0 // tile):
+    labelled = _in_chunks(tiled, size.n or 0, [*keys, "_ty", "_tx"]).applyInPandas(label, schema)
+    if not size.n or (size.y0 // tile == size.y1 // tile and size.x0 // tile == size.x1 // tile):
         return labelled
     return _merge_tiles(cut_lineage(labelled), connectivity, tile, keys)
 
@@ -387,7 +393,11 @@ def fill_outlines(labelled: DataFrame) -> DataFrame:
     free = cells.select(*keys, "y", "x").join(labelled.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
     # One step down and right, so that the padding has no negative coordinates.
     moved = free.select("image_id", F.col("root").alias("owner"), (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"))
-    regions = label_components(moved, 4, image=("image_id", "owner")).withColumnRenamed("root", "region").withColumnRenamed("owner", "root")
+    cells_of = (F.col("y1") - F.col("y0") + 3).cast("bigint") * (F.col("x1") - F.col("x0") + 3)
+    extent = box.agg(
+        F.min("y0").alias("y0"), F.max(F.col("y1") + 2).alias("y1"), F.min("x0").alias("x0"), F.max(F.col("x1") + 2).alias("x1"), F.sum(cells_of).alias("n")
+    )
+    regions = label_components(moved, 4, image=("image_id", "owner"), extent=extent).withColumnRenamed("root", "region").withColumnRenamed("owner", "root")
     outer = box.select(*keys, _pixel_key(F.col("y0"), F.col("x0")).alias("region"))
     enclosed = regions.join(outer, [*keys, "region"], "left_anti").select(*keys, (F.col("y") - 1).alias("y"), (F.col("x") - 1).alias("x"))
     return labelled.select(*keys, "y", "x").unionByName(enclosed)
@@ -406,6 +416,7 @@ def assign_small_to_large(labelled: DataFrame, top_n: int, remove_largest: bool
     pairs = split.where("size_class = 'small'").join(large, "image_id").select(
         "image_id", F.col("root").alias("small"), "pixel_area", F.explode(around).alias("_b")
     ).select("image_id", "small", "pixel_area", "_b.place", "_b.large")
+    pairs = cut_lineage(pairs)  # a small table that three later steps read
     wanted = labelled.join(pairs.select("image_id", F.col("large").alias("root")).distinct(), ["image_id", "root"], "left_semi")
     fill = fill_outlines(wanted).withColumnRenamed("root", "large")
     small_pixels = labelled.withColumnRenamed("root", "small").join(pairs, ["image_id", "small"])

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from galleryspark.operators import experiments as X, tta as T
 from galleryspark.plans.fixtures import log, rounded, sql, stage, table, tta
+from galleryspark.session import work_folder
+from galleryspark.sources.reports import append_processing_log
 
 
 def _epochs(spark, sf):
@@ -15,7 +17,11 @@ def _epochs(spark, sf):
 def a10_processing_log(spark, sf):
     saved = F.when(F.col("ok"), F.array(F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".png"))))
     results = stage(spark, sf).withColumn("saved_files", F.coalesce(saved, F.array().cast("array<string>")))
-    return X.processing_log(results, {"top_n": F.lit(5), "skip_existing": F.lit(True)}).drop("created_at")
+    rows = X.processing_log(results, {"top_n": F.lit(5), "skip_existing": F.lit(True)})
+    path = work_folder(spark, "processing-log")
+    append_processing_log(rows.where(F.col("status") == "OK"), path)
+    append_processing_log(rows.where(F.col("status") == "FAIL"), path)
+    return spark.read.parquet(path).drop("created_at")
 
 
 def j1_best_epochs(spark, sf):

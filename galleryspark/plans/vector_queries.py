@@ -69,6 +69,12 @@ def d2_collapse_std(spark, sf):
     return rounded(S.collapse_std(emb(spark, sf)), "std")
 
 
+def d2_two_views(spark, sf):
+    """Average over the vectors and a second view of them, the differences of neighbouring coordinates."""
+    shifted = F.zip_with("embedding", F.slice("embedding", 2, 63), lambda x, y: x.cast("double") - F.coalesce(y, F.lit(0.0)).cast("double"))
+    return rounded(S.collapse_std(emb(spark, sf).withColumn("view", shifted), ["embedding", "view"]), "std")
+
+
 def d3_collapse_report(spark, sf):
     report = S.collapse_report(emb(spark, sf)).select("std", "ideal_std", "utilisation_pct", "mean_distance", "verdict")
     return rounded(report, "std", "ideal_std", "utilisation_pct", "mean_distance")
@@ -174,6 +180,7 @@ QUERIES = {
     "c8_require_dim": c8_require_dim,
     "d1_centroid": d1_centroid,
     "d2_collapse_std": d2_collapse_std,
+    "d2_two_views": d2_two_views,
     "d3_collapse_report": d3_collapse_report,
     "d4_pairwise_distance_stats": d4_pairwise_distance_stats,
     "d5_score_aggregation": d5_score_aggregation,
@@ -241,6 +248,9 @@ ORACLE = {
  n as (select label, greatest(sqrt(sum(x * x)), 1e-12) as len from m group by label)""")
     + "select m.label, cast(pos as int) as pos, round(x / len, 6) as x from m join n using (label)",
     "d2_collapse_std": sql(more=f"{_UNIT}, {_STD}") + "select round(std, 6) as std, dim from spread",
+    "d2_two_views": sql(more=f"""second as (select list_transform(range(1, 65), lambda i: v[i] - coalesce(v[i + 1], 0)) as v from (select embedding::double[] as v from embeddings)),
+ unit2 as (select list_transform(v, lambda x: x / greatest({_NORM}, 1e-12)) as u from second), {_UNIT}, {_STD}, {_STD.replace('spread', 'spread2').replace('unit', 'unit2')}""")
+    + "select round((a.std + b.std) / 2, 6) as std, a.dim from spread a, spread2 b",
     "d3_collapse_report": sql(more=f"{_UNIT}, {_STD}, {_SAMPLED}, {_DISTANCES}, m as (select avg(d) as mean_distance from distances)")
     + """select round(std, 6) as std, round(1 / sqrt(dim), 6) as ideal_std, round(std * sqrt(dim) * 100, 6) as utilisation_pct,
  round(mean_distance, 6) as mean_distance, case when std * sqrt(dim) < 0.1 or mean_distance < 0.01 then 'collapsed'

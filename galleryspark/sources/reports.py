@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -55,6 +53,11 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def append_processing_log(rows: DataFrame, path: str) -> None:
+    """Append batch-processing rows; the log is read back as one table."""
+    rows.write.mode("append").parquet(path)
+
+
 def flatten_config(df: DataFrame, limit: int = 250) -> DataFrame:
     """Nested struct columns as dotted columns of text, cut to ``limit`` characters."""
 
@@ -73,6 +76,3 @@ def config_map(flat: DataFrame) -> DataFrame:
     """The dotted columns as one map column ``params``."""
     entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")) for c in flat.columns])
     return flat.select(F.map_from_entries(entries).alias("params"))
-
-
-Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
