@@ -167,7 +167,22 @@ RAS = """ras as (select vec_id as image_id, cast(floor((i-1)/8) as int) as y, ca
  cast(least(255, greatest(0, floor((cast(embedding[i] as double) + 0.5) * 255))) as int) as v
  from embeddings, range(1, 65) r(i))"""
 
-_ORDER = {"gal": GAL, "cmp": CMP, "files": FILES, "log": LOG, "tta": TTA, "stage": STAGE, "ras": RAS}
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24x24 pages, each made of nine of the small rasters: larger components that enclose others."""
+    place = F.col("image_id") % 9
+    return ras(spark, sf_dir).select(
+        F.floor(F.col("image_id") / 9).cast("bigint").alias("image_id"),
+        (F.col("y") + 8 * F.floor(place / 3)).cast("int").alias("y"),
+        (F.col("x") + 8 * (place % 3)).cast("int").alias("x"),
+        "v",
+    )
+
+
+# Takes the name of the small rasters, so that the texts made for them work on the pages.
+MOSAIC = f"""{RAS.replace('ras as', 'small as')},
+ ras as (select cast(floor(image_id / 9) as bigint) as image_id, cast(y + 8 * floor((image_id % 9) / 3) as int) as y, cast(x + 8 * (image_id % 3) as int) as x, v from small)"""
+
+_ORDER = {"mosaic": MOSAIC, "gal": GAL, "cmp": CMP, "files": FILES, "log": LOG, "tta": TTA, "stage": STAGE, "ras": RAS}
 
 
 def sql(*names: str, more: str = "", recursive: bool = False) -> str:

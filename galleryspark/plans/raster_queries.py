@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from galleryspark.functions.geometry import NORM_MEAN, NORM_STD, normalize_intensity
 from galleryspark.operators import raster as R
-from galleryspark.plans.fixtures import ras, rounded, sql
+from galleryspark.plans.fixtures import mosaic, ras, rounded, sql
 from galleryspark.plans.raster_sql import HOLES, LABELLED, SOBEL, STATS, THRESHOLDS, components, hist_entropy, quads
 from galleryspark.session import cut_lineage
 
@@ -20,6 +20,10 @@ def _stored(spark, sf):
     return cut_lineage(_labelled(spark, sf))
 
 
+def _stored_pages(spark, sf):
+    return cut_lineage(R.label_components(R.binarize(mosaic(spark, sf)).where("fg")))
+
+
 def b13_normalize_intensity(spark, sf):
     df = ras(spark, sf).select("image_id", "y", "x", normalize_intensity(F.col("v")).alias("z"), normalize_intensity(F.col("v"), invert=True).alias("z_inverted"))
     return rounded(df, "z", "z_inverted")
@@ -56,6 +60,11 @@ def h4_label_components_4(spark, sf):
     return _labelled(spark, sf, 4)
 
 
+def h4_label_tiles(spark, sf):
+    """Pages cut into 7x7 tiles, so that most components cross tile borders."""
+    return R.label_components(R.binarize(mosaic(spark, sf)).where("fg"), tile=7)
+
+
 def h5_component_stats(spark, sf):
     return R.component_stats(_labelled(spark, sf))
 
@@ -87,7 +96,7 @@ def h15_topology_mask(spark, sf):
 
 
 def h16_assign_by_outline(spark, sf):
-    return R.assign_small_to_large(_stored(spark, sf), 2, remove_largest=False)
+    return R.assign_small_to_large(_stored_pages(spark, sf), 5, remove_largest=False)
 
 
 def h16_fill_outlines(spark, sf):
@@ -95,8 +104,8 @@ def h16_fill_outlines(spark, sf):
 
 
 def h17_merge_small(spark, sf):
-    labelled = _stored(spark, sf)
-    merged = R.merge_small(labelled, R.assign_small_to_large(labelled, 2, remove_largest=False))
+    labelled = _stored_pages(spark, sf)
+    merged = R.merge_small(labelled, R.assign_small_to_large(labelled, 5, remove_largest=False))
     return merged.groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("pixels"))
 
 
@@ -147,6 +156,7 @@ QUERIES = {
     "h3_binarize": h3_binarize,
     "h4_label_components": h4_label_components,
     "h4_label_components_4": h4_label_components_4,
+    "h4_label_tiles": h4_label_tiles,
     "h5_component_stats": h5_component_stats,
     "h6_count_holes": h6_count_holes,
     "h7_topology_features": h7_topology_features,
@@ -184,11 +194,22 @@ _FILL = """box as (select image_id, root, min(y) as y0, max(y) as y1, min(x) as
  filled as (select image_id, root, y, x from comp union all select r.image_id, r.owner, r.y - 1, r.x - 1 from region r join box b on r.image_id = b.image_id
  and r.owner = b.root where r.root <> b.y0::bigint * 1048576 + b.x0)"""
 _ASSIGN = """ord as (select *, row_number() over (partition by image_id order by bbox_area desc, label) as r from stats),
- cover as (select s.image_id, s.root as small, l.root as large, l.r, s.pixel_area, count(*) as n from ord s join ord l on s.image_id = l.image_id and l.r <= 2 and s.r > 2
+ cover as (select s.image_id, s.root as small, l.root as large, l.r, s.pixel_area, count(*) as n from ord s join ord l on s.image_id = l.image_id and l.r <= 5 and s.r > 5
  and l.x <= s.x and l.y <= s.y and l.x + l.w >= s.x + s.w and l.y + l.h >= s.y + s.h
  join comp p on p.image_id = s.image_id and p.root = s.root join filled f on f.image_id = p.image_id and f.root = l.root and f.y = p.y and f.x = p.x group by all),
  assigned as (select image_id, small, arg_min(large, r) as large from cover where n = pixel_area group by 1, 2)"""
 
+# A component is one 8-connected piece, so growing back any non-empty opening gives the whole piece: a round is
+# kept as long as some k x k window, cut at the crop border, is full.
+_PRUNED = """tight as (select image_id, root, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from comp group by 1, 2),
+ spot as (select *, unnest(range(x0, x1 + 1)) as cx from (select *, unnest(range(y0, y1 + 1)) as cy from tight)),
+ win as (select image_id, root, cy, cx, k, greatest(y0, cy - k // 2) as ya, least(y1, cy - k // 2 + k - 1) as yb,
+ greatest(x0, cx - k // 2) as xa, least(x1, cx - k // 2 + k - 1) as xb from spot, (values (2), (3), (4)) t(k)),
+ full_win as (select w.image_id, w.root, k, cy, cx, (yb - ya + 1) * (xb - xa + 1) as cells, count(p.y) as filled from win w left join comp p
+ on p.image_id = w.image_id and p.root = w.root and p.y between ya and yb and p.x between xa and xb group by all),
+ fits as (select image_id, root, bool_or(k = 2 and cells = filled) as f2, bool_or(k = 3 and cells = filled) as f3, bool_or(k = 4 and cells = filled) as f4 from full_win group by 1, 2),
+ pruned as (select image_id, root, case when not f2 then 0 when not f3 then 1 when not f4 then 2 else 3 end as steps from fits)"""
+
 ORACLE = {
     "b13_normalize_intensity": sql("ras")
     + f"select image_id, y, x, round((v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z, round((1 - v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z_inverted from ras",
@@ -205,6 +226,7 @@ ORACLE = {
     "h4_label_components": sql("ras", more=LABELLED, recursive=True) + "select image_id, y, x, root from comp",
     "h4_label_components_4": sql("ras", more=THRESHOLDS + ", fgpx as (select image_id, y, x from bin where fg), " + components("comp", "fgpx", 4), recursive=True)
     + "select image_id, y, x, root from comp",
+    "h4_label_tiles": sql("mosaic", more=LABELLED, recursive=True) + "select image_id, y, x, root from comp",
     "h5_component_stats": sql("ras", more=f"{LABELLED}, {STATS}", recursive=True) + "select * from stats",
     "h6_count_holes": sql("ras", more=f"""{LABELLED}, {HOLES}, box as (select image_id, root, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from comp group by 1, 2),
  inner_bits as (select q.* from quad_bits q join box b using (image_id, root) where qy between y0 and y1 - 1 and qx between x0 and x1 - 1),
@@ -223,10 +245,15 @@ ORACLE = {
     "h15_topology_mask": sql("ras", more=f"{LABELLED}, {STATS}, {HOLES}, holed as (select s.* from stats s join holes h using (image_id, root) where n_holes > 0)", recursive=True)
     + """select image_id, y, x, case when not exists (select 1 from holed h where h.image_id = r.image_id) or exists (
  select 1 from holed h where h.image_id = r.image_id and r.x >= h.x and r.x < h.x + h.w and r.y >= h.y and r.y < h.y + h.h) then v else 255 end as v from ras r""",
-    "h16_assign_by_outline": sql("ras", more=f"{LABELLED}, {STATS}, {_FILL}, {_ASSIGN}", recursive=True) + "select image_id, small, large from assigned",
+    "h16_assign_by_outline": sql("mosaic", more=f"{LABELLED}, {STATS}, {_FILL}, {_ASSIGN}", recursive=True) + "select image_id, small, large from assigned",
     "h16_fill_outlines": sql("ras", more=f"{LABELLED}, {_FILL}", recursive=True) + "select image_id, root, count(*) as filled from filled group by 1, 2",
-    "h17_merge_small": sql("ras", more=f"{LABELLED}, {STATS}, {_FILL}, {_ASSIGN}", recursive=True)
+    "h17_merge_small": sql("mosaic", more=f"{LABELLED}, {STATS}, {_FILL}, {_ASSIGN}", recursive=True)
     + """select p.image_id, coalesce(a.large, p.root) as root, count(*) as pixels from comp p left join assigned a on a.image_id = p.image_id and a.small = p.root group by 1, 2""",
+    "h18_prune_preserving_topology": sql("ras", more=f"{LABELLED}, {_PRUNED}", recursive=True)
+    + "select image_id, root, y, x, steps from comp join pruned using (image_id, root)",
+    "h19_prune_report": sql("ras", more=f"{LABELLED}, {STATS}, {HOLES}, {_PRUNED}", recursive=True)
+    + """select image_id, root, pixel_area as area_before, pixel_area as area_after, n_holes as holes_before, n_holes as holes_after, steps as pruning_steps,
+ 0.0::double as area_reduction, true as topology_preserved from stats join holes using (image_id, root) join pruned using (image_id, root)""",
     "h24_image_entropy": sql("ras", more=hist_entropy("e")) + "select image_id, round(entropy, 6) as entropy from e",
     "h25_sparsity": sql("ras") + "select image_id, round(avg(case when v / 255.0::double > 0.95 then 1.0 else 0.0 end), 6) as sparsity from ras group by image_id",
     "h25_quality_status": sql("ras")
