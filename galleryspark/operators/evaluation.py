@@ -55,6 +55,23 @@ def average_precision(
     AP is the sum of precision at each relevant rank over the number of relevant items, 0 where a
     class has one member. Equal scores are ranked by id.
     """
+    return item_ranking(df, (), id_col, vector, label, queries, cell_rows)
+
+
+def item_ranking(
+    df: DataFrame,
+    ks: Sequence[int] = (),
+    id_col: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+    queries: Column | None = None,
+    cell_rows: int = AP_CELL_ROWS,
+) -> DataFrame:
+    """(id, label, ap, m<k>...): average precision and the matches among the first k, for every query.
+
+    While the gallery fits into a cell one ranking per query gives all of them; beyond, the matches come from
+    top-k lists.
+    """
     items = df.select(F.col(id_col).alias("id"), V.as_double(F.col(vector)).alias("v"), F.col(label).alias("label"))
     asked = (items if queries is None else items.where(queries)).select(
         F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked")
@@ -63,13 +80,18 @@ def average_precision(
     cell_rows = min(cell_rows, blocks.cell_rows_for(items, "v", AP_CELL_ROWS))
     n = items.count()
     if n <= cell_rows:
-        terms = _whole_ranking(asked, items, id_type, cell_rows, n)
+        sums = _whole_ranking(asked, items, id_type, cell_rows, n, ks)
     else:
         terms = _two_pass_ranking(asked, items, id_type, cell_rows)
-    sums = terms.groupBy("query_id").agg(F.sum("gain").alias("gain"), F.sum("relevant").alias("relevant"))
+        sums = terms.groupBy("query_id").agg(F.sum("gain").alias("gain"), F.sum("relevant").alias("relevant"))
+        if ks:
+            lists, _ = _top_lists(df, max(ks), id_col, vector, label, queries)
+            within = [F.sum(F.when(F.col("rank") <= k, F.col("match")).otherwise(0)).alias(f"m{k}") for k in ks]
+            sums = lists.groupBy("query_id").agg(*within).join(sums, "query_id", "left")
     ap = F.when(F.coalesce("relevant", F.lit(0)) > 0, F.col("gain") / F.col("relevant")).otherwise(F.lit(0.0))
+    matches = [F.coalesce(f"m{k}", F.lit(0)).alias(f"m{k}") for k in ks]
     return asked.join(sums, "query_id", "left").select(
-        F.col("query_id").alias("id"), F.col("asked").alias("label"), ap.alias("ap")
+        F.col("query_id").alias("id"), F.col("asked").alias("label"), ap.alias("ap"), *matches
     )
 
 
@@ -77,7 +99,9 @@ def _cosines(qv: np.ndarray, gv: np.ndarray) -> np.ndarray:
     return np.round(blocks.unit_rows(qv) @ blocks.unit_rows(gv).T, blocks.TIE_DECIMALS)
 
 
-def _whole_ranking(asked, items, id_type, cell_rows, n):
+def _whole_ranking(asked, items, id_type, cell_rows, n, ks):
+    names = ["query_id", "gain", "relevant", *[f"m{k}" for k in ks]]
+
     def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not lpdf.empty and not rpdf.empty:
@@ -90,12 +114,12 @@ def _whole_ranking(asked, items, id_type, cell_rows, n):
                 order = np.argsort(-value, axis=1, kind="stable")[:, : len(ids) - 1]
                 hit = labels[order] == asked_label[part][:, None]
                 gain = (np.cumsum(hit, axis=1) / np.arange(1, hit.shape[1] + 1) * hit).sum(axis=1)
-                out.append(pd.DataFrame({"query_id": qid[part], "gain": gain, "relevant": hit.sum(axis=1)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "gain": [], "relevant": []})
+                sums = [gain, hit.sum(axis=1), *[hit[:, :k].sum(axis=1) for k in ks]]
+                out.append(pd.DataFrame(dict(zip(names, [qid[part], *sums]))))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
-    return blocks.grid(
-        asked, items, ["query_id"], ["id"], kernel, f"query_id {id_type}, gain double, relevant long", cell_rows, 1024, n_right=n
-    )
+    schema = f"query_id {id_type}, gain double, relevant long" + "".join(f", m{k} long" for k in ks)
+    return blocks.grid(asked, items, ["query_id"], ["id"], kernel, schema, cell_rows, 1024, n_right=n)
 
 
 def _two_pass_ranking(asked, items, id_type, cell_rows):
@@ -213,19 +237,20 @@ def pair_margin(df: DataFrame, vector: str = "embedding", label: str = "label")
 def group_metrics(df: DataFrame, n_groups: int = 50, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Grouped evaluation: queries are the items with label >= 0, distractors (-1) stay in the
     gallery; macro mAP divides by a fixed number of groups; top1 and top5 are hit rates."""
-    names = {"id_col": id_col, "vector": vector, "label": label}
-    ap = average_precision(df, **names, queries=F.col("label") >= 0)
-    in_range = F.when(F.col("label") < n_groups, F.col("class_ap"))
-    macro = ap.groupBy("label").agg(F.avg("ap").alias("class_ap")).agg(
-        (F.coalesce(F.sum(in_range), F.lit(0.0)) / F.lit(float(n_groups))).alias("macro_map")
+    per_item = item_ranking(df, (1, 5), id_col, vector, label, F.col("label") >= 0)
+    classes = per_item.groupBy("label").agg(
+        F.avg("ap").alias("class_ap"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum((F.col("m1") > 0).cast("bigint")).alias("h1"),
+        F.sum((F.col("m5") > 0).cast("bigint")).alias("h5"),
     )
-    lists, _ = _top_lists(df, 5, **names, queries=F.col("label") >= 0)
-    hits = lists.groupBy("query_id").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("match")).otherwise(0)).alias("h1"), F.max("match").alias("h5")
+    in_range = F.when(F.col("label") < n_groups, F.col("class_ap"))
+    rates = classes.agg(
+        (F.coalesce(F.sum(in_range), F.lit(0.0)) / F.lit(float(n_groups))).alias("macro_map"),
+        F.coalesce(F.sum("h1") / F.sum("n"), F.lit(0.0)).alias("top1_accuracy"),
+        F.coalesce(F.sum("h5") / F.sum("n"), F.lit(0.0)).alias("top5_accuracy"),
     )
-    hits = hits.agg(F.avg("h1").alias("top1_accuracy"), F.avg("h5").alias("top5_accuracy"))
-    margins = pair_margin(df.where(F.col(label) >= 0), vector, label)
-    return _side_by_side(macro, margins, hits)
+    return _side_by_side(rates, pair_margin(df.where(F.col(label) >= 0), vector, label))
 
 
 def _side_by_side(*one_row: DataFrame) -> DataFrame:
@@ -239,9 +264,13 @@ def _side_by_side(*one_row: DataFrame) -> DataFrame:
 
 def loo_metrics(df: DataFrame, ks: Sequence[int] = (1, 5, 10), **names) -> DataFrame:
     """The per-item dialect in one row: macro mAP, IACS, inter, margin and precision at each k."""
-    macro = macro_map(average_precision(df, **names))
-    margins = class_margin(df, names.get("vector", "embedding"), names.get("label", "label"))
-    return _side_by_side(macro, margins, precision_at_k(df, ks, **names))
+    per_item = item_ranking(df, ks, **names)
+    sums = [F.sum(f"m{k}").alias(f"m{k}") for k in ks]
+    classes = per_item.groupBy("label").agg(F.avg("ap").alias("class_ap"), F.count(F.lit(1)).alias("n"), *sums)
+    total = F.sum("n")
+    rates = [(F.sum(f"m{k}") / total / F.least(F.lit(k), total - 1)).alias(f"top{k}_precision") for k in ks]
+    ranking = classes.agg(F.avg("class_ap").alias("macro_map"), *rates)
+    return _side_by_side(ranking, class_margin(df, names.get("vector", "embedding"), names.get("label", "label")))
 
 
 # --- pair scores -----------------------------------------------------------------------------

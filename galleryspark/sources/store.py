@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 REQUIRED = ("original_filename", "page_num", "component_type", "parent_pdf_id")  # fixed metadata keys
 
 
-def upsert(current: DataFrame, batch: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
+def latest(rows: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """Newest version of every id. The maximum is partly made before the shuffle, so an id written over and
     over does not fill one task."""
-    merged = current.unionByName(batch, allowMissingColumns=True)
-    rest = [c for c in merged.columns if c != key]
-    latest = merged.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_row"))
-    return latest.select(key, "_row.*")
+    rest = [c for c in rows.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_row"))
+    return newest.select(key, "_row.*")
+
+
+def upsert(current: DataFrame, batch: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
+    """Current rows with the batch inserted or replaced by id."""
+    return latest(current.unionByName(batch, allowMissingColumns=True), key, version)
 
 
 def check_batch(batch: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -52,8 +56,7 @@ class VectorStore:
         return self.spark.read.option("mergeSchema", True).parquet(self.path)
 
     def current(self) -> DataFrame:
-        rows = self.versions()
-        return upsert(rows, rows.limit(0))
+        return latest(self.versions())
 
     def compact(self, path: str) -> VectorStore:
         target = VectorStore(self.spark, path)

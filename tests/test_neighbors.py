@@ -104,6 +104,12 @@ def test_average_precision_one_and_two_passes(cloud, cell_rows, monkeypatch):
         assert got[q] == pytest.approx(brute_ap(values, labels, q), abs=1e-9)
 
 
+def test_matches_agree_within_and_beyond_a_cell(cloud):
+    _, labels, df = cloud
+    rows = lambda n: {r.id: (round(r.ap, 9), r.m1, r.m5) for r in E.item_ranking(df, (1, 5), cell_rows=n).collect()}
+    assert rows(60) == rows(65_536)
+
+
 def test_margins_match_pair_means(cloud):
     values, labels, df = cloud
     sims, _ = brute_order(values, exclude_self=False)

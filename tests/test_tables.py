@@ -228,6 +228,8 @@ def test_store(spark, tmp_path):
     store.append(spark.createDataFrame([row("a", 2)], schema), 1)  # the same batch again
     state = lambda s: {(r.id, r.page_num) for r in s.current().collect()}
     assert state(store) == {("a", 2), ("b", 1)} and store.current().count() == 2
+    merged = S.upsert(store.versions(), first.limit(1).withColumn("version", F.lit(7)))
+    assert {(r.id, r.version) for r in merged.collect()} == {("a", 7), ("b", 0)}
     assert state(store.compact(str(tmp_path / "c"))) == {("a", 2), ("b", 1)}
     with pytest.raises(ValueError, match="page_num"):
         store.append(first.drop("page_num"), 2)
