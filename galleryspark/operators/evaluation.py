@@ -16,6 +16,7 @@ from galleryspark.functions import vectors as V
 from galleryspark.operators import blocks
 from galleryspark.operators.knn import knn
 from galleryspark.operators.quantiles import exact_quantiles
+from galleryspark.session import cut_lineage
 
 AP_CELL_ROWS = 65_536  # galleries up to this size are ranked inside one cell
 THRESHOLDS = 4_096  # relevant scores carried by one row of the two-pass ranking
@@ -145,7 +146,9 @@ def _two_pass_ranking(asked, items, id_type, cell_rows):
         asked, items, ["query_id"], ["id"], list_relevant,
         f"query_id {id_type}, qv array<double>, asked {label_type}, ids array<{id_type}>, value array<double>",
         cell_rows, 4096,
-    ).withColumn("chunk", F.element_at("ids", 1))  # an id is in one chunk of a query only
+    )
+    # An id is in one chunk of a query only. Stored, because the second grid counts and then reads it.
+    marks = cut_lineage(marks.withColumn("chunk", F.element_at("ids", 1)))
 
     def count_before(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -70,6 +70,11 @@ def f7_class_margin(spark, sf):
     return rounded(E.class_margin(emb(spark, sf)), "iacs", "inter", "margin")
 
 
+def f7_loo_metrics(spark, sf):
+    """All metrics of the per-item dialect in one row."""
+    return rounded(E.loo_metrics(emb(spark, sf)), *METRIC_ORDER)
+
+
 def _with_distractors(spark, sf):
     return emb(spark, sf).withColumn("label", F.when(F.col("label") == 9, F.lit(-1)).otherwise(F.col("label")))
 
@@ -124,6 +129,7 @@ QUERIES = {
     "f5_average_precision": f5_average_precision,
     "f6_macro_map": f6_macro_map,
     "f7_class_margin": f7_class_margin,
+    "f7_loo_metrics": f7_loo_metrics,
     "f8_group_metrics": f8_group_metrics,
     "f9_export_pair_scores": f9_export_pair_scores,
     "f10_score_distribution": f10_score_distribution,
@@ -183,7 +189,6 @@ def _bins(series, low, width, value):
  where {value} between {low} and {low + 99 * width} group by 1, 2)"""
 
 
-_SUMMARY = "round(macro_map, 6) as macro_map, round(iacs, 6) as iacs, round(inter, 6) as inter, round(iacs - inter, 6) as margin"
 _DELTAS = ", ".join(f"('{m}', {i + 1})" for i, m in enumerate(METRIC_ORDER))
 _ALL7 = "macro_map, iacs, inter, iacs - inter as margin, top1_precision, top5_precision, top10_precision"
 
@@ -204,6 +209,8 @@ ORACLE = {
     "f6_macro_map": sql(more=_loo() + ", " + _margins()) + "select round(macro_map, 6) as macro_map from mm",
     "f7_class_margin": sql(more=_loo() + ", " + _margins())
     + "select round(iacs, 6) as iacs, round(inter, 6) as inter, round(iacs - inter, 6) as margin from m",
+    "f7_loo_metrics": sql(more=_loo() + ", " + _margins() + ", " + _precision([1, 5, 10]))
+    + "select " + ", ".join(f"round({m if m != 'margin' else 'iacs - inter'}, 6) as {m}" for m in METRIC_ORDER) + " from m, mm, p",
     "f8_group_metrics": sql(more="e2 as (select vec_id, embedding, case when label = 9 then -1 else label end as label from embeddings), " + _loo("e2"))
     + """select round((select sum(x) / 50 from (select avg(ap) as x from ap where label >= 0 group by label)), 6) as macro_map,
  round(a, 6) as iacs, round(b, 6) as inter, round(a - b, 6) as margin, round(h1, 6) as top1_accuracy, round(h5, 6) as top5_accuracy
