@@ -25,6 +25,12 @@ TIE_DECIMALS = 12  # scores equal to this many places are ties, broken by id
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
+def stored(df: DataFrame, vector: str) -> Column:
+    """The vector column as it is kept, for the shuffle; ``matrix`` makes doubles of it inside the task."""
+    kept = dict(df.dtypes)[vector]
+    return F.col(vector) if kept in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+
+
 def cell_rows_for(df: DataFrame, vector: str, most: int = CELL_ROWS) -> int:
     """Rows of a cell side: at most ``most``, fewer where the vectors are long."""
     first = df.select(F.size(vector).alias("d")).first()

@@ -73,7 +73,7 @@ def item_ranking(
     While the gallery fits into a cell one ranking per query gives all of them; beyond, the matches come from
     top-k lists.
     """
-    items = df.select(F.col(id_col).alias("id"), V.as_double(F.col(vector)).alias("v"), F.col(label).alias("label"))
+    items = df.select(F.col(id_col).alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
     asked = (items if queries is None else items.where(queries)).select(
         F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked")
     )
@@ -141,10 +141,10 @@ def _two_pass_ranking(asked, items, id_type, cell_rows):
                     out.append((row.query_id, row.qv, row.asked, ids[at[chunk]], value[chunk]))
         return pd.DataFrame(out, columns=["query_id", "qv", "asked", "ids", "value"])
 
-    label_type = dict(items.dtypes)["label"]
+    label_type, vector_type = dict(items.dtypes)["label"], dict(items.dtypes)["v"]
     marks = blocks.grid(
         asked, items, ["query_id"], ["id"], list_relevant,
-        f"query_id {id_type}, qv array<double>, asked {label_type}, ids array<{id_type}>, value array<double>",
+        f"query_id {id_type}, qv {vector_type}, asked {label_type}, ids array<{id_type}>, value array<double>",
         cell_rows, 4096,
     )
     # An id is in one chunk of a query only. Stored, because the second grid counts and then reads it.
@@ -303,7 +303,7 @@ def export_pair_scores(
     The same-class pairs are the result the report asks for, so they are all written; of the
     cross-class pairs a cell returns no more than the sample can use.
     """
-    items = df.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vector)).alias("v"), F.col(label).alias("label"))
+    items = df.select(F.col(id_col).cast("long").alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
     left = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked"))
 
     def same_class(qid, asked, qv, ids, labels, gv):

@@ -40,8 +40,8 @@ def knn(
         raise ValueError("k must be at least 1")
     if where is not None:
         gallery = gallery.where(where)
-    left = queries.select(F.col(query_id).alias("query_id"), V.as_double(F.col(vector)).alias("qv"))
-    right = gallery.select(F.col(gallery_id).alias("id"), V.as_double(F.col(vector)).alias("gv"))
+    left = queries.select(F.col(query_id).alias("query_id"), blocks.stored(queries, vector).alias("qv"))
+    right = gallery.select(F.col(gallery_id).alias("id"), blocks.stored(gallery, vector).alias("gv"))
     n_left, n_right = left.count(), right.count()
     if not n_right:
         raise ValueError("the gallery is empty")
@@ -164,8 +164,8 @@ def ann_knn(
     most 4096), drawn from the gallery in hash order. A crowded cell is cut into a grid of its own, so no
     task grows with it and no pairs are written. With all cells probed the result is exact.
     """
-    left = queries.select(F.col(query_id).alias("query_id"), V.as_double(F.col(vector)).alias("qv"))
-    right = gallery.select(F.col(gallery_id).alias("id"), V.as_double(F.col(vector)).alias("gv"))
+    left = queries.select(F.col(query_id).alias("query_id"), blocks.stored(queries, vector).alias("qv"))
+    right = gallery.select(F.col(gallery_id).alias("id"), blocks.stored(gallery, vector).alias("gv"))
     n_right = right.count()
     if not n_right:
         raise ValueError("the gallery is empty")
@@ -183,8 +183,8 @@ def ann_knn(
 
         return assign
 
-    asked = left.mapInPandas(nearest("qv", probes), f"query_id {dict(left.dtypes)['query_id']}, qv array<double>, cell bigint")
-    stored = right.mapInPandas(nearest("gv", 1), f"id {dict(right.dtypes)['id']}, gv array<double>, cell bigint")
+    asked = left.mapInPandas(nearest("qv", probes), f"query_id {dict(left.dtypes)['query_id']}, qv {dict(left.dtypes)['qv']}, cell bigint")
+    stored = right.mapInPandas(nearest("gv", 1), f"id {dict(right.dtypes)['id']}, gv {dict(right.dtypes)['gv']}, cell bigint")
     sizes = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n_right")).join(
         asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left")), "cell"
     )

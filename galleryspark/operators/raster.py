@@ -249,7 +249,8 @@ def component_stats(labelled: DataFrame) -> DataFrame:
         (F.max(x) - F.min(x) + 1).alias("w"), (F.max(y) - F.min(y) + 1).alias("h"),
         F.count(F.lit(1)).alias("pixel_area"),
     )
-    sized = boxes.withColumn("bbox_area", F.col("w").cast("bigint") * F.col("h"))
+    # One row per component: stored, so that the pixels are not labelled again for the bucket sizes.
+    sized = cut_lineage(boxes.withColumn("bbox_area", F.col("w").cast("bigint") * F.col("h")))
     band = F.shiftright("root", 28)  # 256 page rows
     return bucketed_rank(sized, ["image_id"], band, [F.col("root")], "label").withColumn("label", F.col("label").cast("int"))
 

@@ -48,7 +48,7 @@ def pairwise_distance_stats(
     Pairs are never written: each grid cell returns one row of partial sums. The variance is merged
     from per-cell means, so the parts do not cancel.
     """
-    rows = df.select(F.col(id_col).alias("id"), V.as_double(F.col(vector)).alias("v"))
+    rows = df.select(F.col(id_col).alias("id"), blocks.stored(df, vector).alias("v"))
     if sample is not None:
         rows = sample_n(rows, sample, seed, F.col("id"))
 
