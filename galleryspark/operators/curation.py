@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleryspark.functions import text as T
 from galleryspark.operators.ordering import hash_key, hash_rank, sample_n
+from galleryspark.session import cut_lineage
 
 
 def uniform(seed: int | Column, key: Column) -> Column:
@@ -45,7 +46,7 @@ def stratified_split(
     ``minimum``: ``one`` keeps a group of every class for training; ``bernoulli`` does so with
     probability ``ratio`` where the floor is 0; ``zero`` takes the floor as it is.
     """
-    groups = df.select(class_col, group_col).distinct()
+    groups = cut_lineage(df.select(class_col, group_col).distinct())  # read for the sizes and for the ranks
     return df.join(assign_split(groups, ratio, seed, F.col(group_col), [class_col], minimum), [class_col, group_col])
 
 
@@ -89,7 +90,7 @@ def repeated_splits(
     df: DataFrame, class_col: str, group_col: str, runs: int, base_seed: int = 42, ratio: float = 0.8, minimum: str = "one"
 ) -> DataFrame:
     """Row counts per run and split; run i uses seed base + i. Works on one row per group and run."""
-    groups = df.groupBy(class_col, group_col).agg(F.count(F.lit(1)).alias("_rows"))
+    groups = cut_lineage(df.groupBy(class_col, group_col).agg(F.count(F.lit(1)).alias("_rows")))
     numbered = groups.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     seeded = numbered.withColumn("_seed", F.col("_i") + base_seed)
     named = seeded.withColumn("run", T.run_name(F.col("_i") + 1, F.col("_seed")))
