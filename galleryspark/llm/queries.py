@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galleryspark.llm import chat_format, jaccard_join, quality_rules, sharding
+from galleryspark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, sharding
 from galleryspark.llm.common import documents
 
 
@@ -12,6 +12,14 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir), n=3, percent=90)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
@@ -24,19 +32,28 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(chat_format.with_hard_case(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.drop_repeated_runs(docs, removed="n_removed")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_chat_format": op9_chat_format,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
+    "op3_decontaminate": decontaminate.CONTAINED_SQL,
     "op6_quality_rules": quality_rules.REPORT_SQL,
     "op8_sharding": sharding.placement_sql(),
     "op9_chat_format": chat_format.DIGEST_SQL,
     "op1_jaccard_join": r"""
-with recursive t as (select doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), w -> translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+with recursive t as (select doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
 g as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i : i + 2], ' ') end as g
       from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from t where len(w) > 0)),
 n as (select doc_id, count(*) as n from g group by doc_id),
