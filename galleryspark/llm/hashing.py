@@ -31,12 +31,14 @@ _CODES = mix(np.arange(1, 257, dtype=U) * U(_BASE))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 LOWER_CODES = _CODES[_LOWER]
+EXACT_CODES = _CODES
 
 #: Bytes between words: white space only, or all ASCII characters but letters and digits.
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:128] = [not chr(c).isalnum() for c in range(128)]
+KINDS = NOT_ALNUM.astype(np.uint8)
 
 
 class _Powers:
@@ -73,8 +75,17 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def words(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = SPACES, codes: np.ndarray = LOWER_CODES):
-    """Hash, row (relative to the block), first byte and end byte of every word."""
+def words(
+    data: np.ndarray,
+    starts: np.ndarray,
+    breaks: np.ndarray = SPACES,
+    codes: np.ndarray = LOWER_CODES,
+    kinds: np.ndarray | None = None,
+):
+    """Hash, row (relative to the block), first byte and end byte of every word.
+
+    With ``kinds`` (a number per byte value) a word also ends where the kind of its bytes changes.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -82,6 +93,9 @@ def words(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = SPACES, cod
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     edge[n] = True
+    if kinds is not None:
+        kind = kinds[data]
+        edge[1:n] |= kind[1:] != kind[:-1]
     live = ~breaks[data]
     before = np.concatenate(([False], live[:-1]))
     after = np.concatenate((live[1:], [False]))

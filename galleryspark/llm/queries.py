@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from galleryspark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, sharding
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from galleryspark.llm import (
+    chat_format,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+)
 from galleryspark.llm.common import documents
 
 
@@ -12,6 +22,14 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir), n=3, percent=90)
 
 
+def _fold(buckets: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % buckets
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), _fold(4) != 2)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -20,6 +38,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.score_quality(documents(spark, sf_dir), labels, _fold(3) != 1)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
@@ -39,8 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_chat_format": op9_chat_format,
