@@ -1,13 +1,70 @@
-"""A cleaning pipeline over ``documents``."""
+"""A cleaning pipeline over ``documents``: rules, line dedup, near-duplicate removal, decontamination, packing.
 
-from galleryspark.llm import quality_rules
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. Cases (nulls, empty
+texts, repeated rows, clashing names) are those of the operators that the stages call; of the rows of one component
+that share the kept doc_id one stays.
+"""
 
-STAGES = [("quality_rules", lambda spark, docs, sf_dir: quality_rules.keep_good(docs))]
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from galleryspark.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from galleryspark.llm.common import fresh, store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later repeated runs of lines; ``n_chars`` follows the text."""
+    changed = line_dedup.drop_repeated_runs(docs)
+    if "n_chars" not in changed.columns:
+        return changed
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each component of near copies; null doc_ids stay."""
+    groups = jaccard_join.jaccard_components(docs, n=5, percent=80)
+    node = fresh(docs, "_node")
+    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(node)).distinct()
+    kept = docs.join(later, docs["doc_id"] == later[node], "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = store(repeated.select(F.col("doc_id").alias(node)), "repeated")
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(repeated, kept["doc_id"] == repeated[node], "left_anti")
+    multiple = kept.join(repeated, kept["doc_id"] == repeated[node], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(multiple)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", pack),
+]
+
+#: Tokenizer ids and hash-ordered fingerprints have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name)
     return docs

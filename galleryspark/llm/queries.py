@@ -10,6 +10,7 @@ from galleryspark.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    lm_score,
     packing,
     quality_model,
     quality_rules,
@@ -47,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir), _fold(5) != 1)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), F.col("doc_id"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_score": op7_lm_score,
     "op8_sharding": op8_sharding,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
