@@ -23,7 +23,6 @@ links it. Other columns are ignored, whatever their names. Ties do not occur: la
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +142,7 @@ def _sets(n: int, percent: int, hot):
 
 
 def _postings(bits):
-    """(token, rep, place, size) of prefix tokens that may be in another set."""
+    """(token, rep, place, size, kept) of prefix tokens that may be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,57 +152,63 @@ def _postings(bits):
             row = np.repeat(np.arange(len(lists)), lengths)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = present(bits.value, flat)
-            reps, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rep, size, kept = (batch.column(i).to_numpy()[row[keep]] for i in (0, 1, 3))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (flat[keep], reps[row[keep]], place[keep].astype(np.int32), sizes[row[keep]])],
-                names=["token", "rep", "place", "size"],
+                [pa.array(x) for x in (flat[keep], rep, place[keep].astype(np.int32), size, kept)],
+                names=["token", "rep", "place", "size", "kept"],
             )
 
     return run
 
 
 def _signatures(percent: int, rare_df: int):
-    """(signature, band, rep) of one set from its shared prefix tokens."""
+    """(signature, band, rep, size, own) of sets from their shared prefix tokens; own: prefix tokens that no other set has."""
 
-    def one(size: int, tokens: list, places: list, dfs: list) -> Iterator[tuple[int, int]]:
+    def one(size: int, token: list, place: list, df: list, group) -> Iterator[tuple[int, int, int]]:
         need = _tau(size, percent) + 1
-        order = np.argsort(places)
-        token = np.array(tokens, np.int64).view(U)[order]
-        place = np.array(places, np.int64)[order]
-        common = np.array(dfs, np.int64)[order] > rare_df
         below = int(_band(np.array([size]), percent)[0])
         for band in (below, below + 1):
             groups = _band_groups(band, percent)
-            group = (mix(token + U(1)) % U(groups)).astype(np.int64)
             held: dict[int, list[int]] = {}
             lost = 0  # first frequent tokens of a group cover nothing by themselves
-            for i in range(len(token)):
-                if place[i] - lost >= need:  # the tokens before this place cover enough
+            for t, at, n, g in zip(token, place, df, group):
+                if at - lost >= need:  # the tokens before this place cover enough
                     break
-                if not common[i]:
-                    yield int(mix(token[i : i + 1])[0]), band
+                if n <= rare_df:
+                    yield t, 0, band
                     continue
-                mates = held.setdefault(int(group[i]), [])
+                mates = held.setdefault(g % groups, [])
                 lost += not mates
-                for j in mates:
-                    pair = np.sort(token[[i, j]])
-                    yield int(mix(mix(pair[:1] + U(7)) * U(31) + pair[1:])[0]), band
-                mates.append(i)
+                for other in mates:
+                    yield (t, other, band) if t < other else (other, t, band)
+                mates.append(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for rep, size, items in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens, places, dfs = ([x[k] for x in items] for k in ("token", "place", "df"))
-                out += [(sig, band, rep) for sig, band in one(size, tokens, places, dfs)]
-            columns = list(zip(*out)) or [(), (), ()]
+            rep, size, kept = (batch.column(i).to_numpy() for i in range(3))
+            items = batch.column(3)
+            flat = items.flatten()
+            bounds = items.offsets.to_numpy()
+            row = np.repeat(np.arange(len(rep)), np.diff(bounds))
+            token, place, df = (flat.field(i).to_numpy() for i in range(3))
+            order = np.lexsort((place, row))
+            group = (mix(token.view(U) + U(1)) >> U(8)).astype(np.int64)[order].tolist()
+            token, place, df = token[order].tolist(), place[order].tolist(), df[order].tolist()
+            own = kept - np.diff(bounds)
+            at = bounds - bounds[0]
+            first, second, bands, rows = [], [], [], []
+            for i in np.flatnonzero(100 * (size - own) >= percent * size).tolist():
+                part = slice(at[i], at[i + 1])
+                for x, y, band in one(int(size[i]), token[part], place[part], df[part], group[part]):
+                    first.append(x)
+                    second.append(y)
+                    bands.append(band)
+                    rows.append(i)
+            sig = mix(mix(np.array(first, np.int64).view(U) + U(7)) * U(31) + np.array(second, np.int64).view(U))
+            rows = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(columns[0], U).view(np.int64)),
-                    pa.array(columns[1], pa.int32()),
-                    pa.array(columns[2], pa.int64()),
-                ],
-                names=["sig", "band", "rep"],
+                [pa.array(x) for x in (sig.view(np.int64), np.array(bands, np.int32), rep[rows], size[rows], own[rows])],
+                names=["sig", "band", "rep", "size", "own"],
             )
 
     return run
@@ -275,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
     prefixes = (
         sets.join(classes.withColumn("doc_id", F.col("rep")), [*one, "doc_id"], "left_semi")
         .where("n_shingles > 1")
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefix")
+        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.size("prefix").cast("long").alias("kept"), "prefix")
         .dropDuplicates(["rep", "size"])
     )
     prefixes = store(prefixes, "prefixes")
@@ -283,49 +288,61 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
     often = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     often = store(often, "often")
     bits = share(membership_bits(often, F.col("token")))
-    postings = prefixes.mapInArrow(_postings(bits), "token long, rep long, place int, size long")
+    postings = prefixes.select("rep", "size", "prefix", "kept").mapInArrow(_postings(bits), "token long, rep long, place int, size long, kept long")
     signatures = (
         postings.join(often, "token")
-        .groupBy("rep", "size")
+        .groupBy("rep", "size", "kept")
         .agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))  # of one set's own prefix
-        .mapInArrow(_signatures(percent, rare_df), "sig long, band int, rep long")
-        .distinct()
+        .mapInArrow(_signatures(percent, rare_df), "sig long, band int, rep long, size long, own long")
     )
     index = store(signatures, "index")
 
     labels = None
     lo, hi = 0, 1
+    # What two sets share is at most what neither has alone; that must suffice for the threshold.
+    room = lambda a, b: F.least(F.col(f"{a}size") - F.col(f"{a}own"), F.col(f"{b}size") - F.col(f"{b}own"))
+    may = lambda a, b: 100 * room(a, b) >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - room(a, b))
     while True:
-        rows = index if labels is None else index.join(labels, index.rep == labels.node, "left").select(
-            "sig", "band", "rep", F.coalesce("label", "rep").alias("label")
-        )
         if labels is None:
-            rows = rows.withColumn("label", F.col("rep"))
+            rows = index.withColumn("label", F.col("rep"))
+        else:
+            rows = index.join(labels, index.rep == labels.node, "left").select(*index.columns, F.coalesce("label", "rep").alias("label"))
+        # The hub of a bucket is the member with the fewest tokens of its own. Buckets of the same members are one.
         buckets = (
             rows.groupBy("sig", "band")
-            .agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("hub"))
+            .agg(
+                F.count(F.lit(1)).alias("members"),
+                F.min("label").alias("low"),
+                F.max("label").alias("high"),
+                F.min(F.struct("own", "rep", "size")).alias("h"),
+                F.bit_xor(F.xxhash64("rep")).alias("k1"),
+                F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("k2"),
+            )
             .where("low <> high")
         )
         if lo:
             buckets = buckets.where(F.col("members") >= lo)
+        buckets = buckets.groupBy("members", "k1", "k2").agg(F.min(F.struct("sig", "band", "h")).alias("b"))
+        buckets = buckets.select("b.sig", "b.band", "members", F.col("b.h.rep").alias("hub"), F.col("b.h.own").alias("hub_own"), F.col("b.h.size").alias("hub_size"))
         live = store(rows.join(buckets, ["sig", "band"]), "live")
         if live.isEmpty():
             break
-        # Each member has a random number; the hubs of a batch are those in an interval of it.
-        draw = F.pmod(F.xxhash64("rep", "sig"), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("members")
-        drawn = live.withColumn("draw", draw)
         if lo == 0:
-            pairs = drawn.where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y"))
+            pairs = live.where((F.col("rep") != F.col("hub")) & may("", "hub_")).select(F.col("hub").alias("x"), F.col("rep").alias("y"))
         else:
+            # Each member has a random number; the hubs of a batch are those in an interval of it.
+            draw = F.pmod(F.xxhash64("rep", "sig"), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("members")
+            drawn = live.withColumn("draw", draw)
             hubs = drawn.where((F.col("draw") < hi) & (F.col("draw") >= lo - 1)).select(
-                "sig", "band", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("draw").alias("dx")
+                "sig", "band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "label", "draw", "own", "size")]
             )
-            pairs = drawn.join(hubs, ["sig", "band"]).where("label <> lx and (draw > dx or (draw = dx and rep > x))").select("x", F.col("rep").alias("y"))
+            met = (F.col("label") != F.col("x_label")) & ((F.col("draw") > F.col("x_draw")) | ((F.col("draw") == F.col("x_draw")) & (F.col("rep") > F.col("x_rep"))))
+            pairs = drawn.join(hubs, ["sig", "band"]).where(met & may("", "x_")).select(F.col("x_rep").alias("x"), F.col("rep").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         found = _links(docs, prefixes, pairs, n, percent, hot)
         labels = components(found if labels is None else found.union(labels.selectExpr("node as x", "label as y")), "x", "y")
         labels = store(labels, "labels")
-        index = live.select("sig", "band", "rep")
+        index = live.select(*index.columns)
         lo, hi = (1, BATCH_GROWTH) if lo == 0 else (hi + 1, hi * BATCH_GROWTH)
     ends = classes if labels is None else classes.join(labels, classes.rep == labels.node, "left")
     ends = ends.select(*one, (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("component"))
