@@ -11,7 +11,7 @@ one by one and frequent tokens as pairs. Tokens that no other set has count in t
 
 Links are looked for until the components are known, not until every pair of a group of copies has been seen:
 copies of one set are one node from the start; every bucket of the index compares its members to one hub; then
-only pairs of different components are left, and they meet through batches of hubs that grow eightfold until each
+only pairs of different components are left, and they meet through batches of hubs that grow until each
 remaining pair has met. A pair is discarded only when its prefixes prove it too different, and is otherwise
 checked on the whole texts.
 
@@ -34,7 +34,10 @@ from galleryspark.llm.hashing import U, mix, ngrams, blocks, shingle_sets, words
 HOT_SHARE = 4096  # a token in more than 1/4096 of the documents is hot: at most 4096 x the mean set size of them
 CHUNK_TOKENS = 1 << 21
 GROUP_TOKENS = 4
-BATCH_GROWTH = 8
+BATCH_GROWTH = 32
+
+
+SKETCH = 8  # words of 64 bits
 
 
 def _tau(size: int, percent: int) -> int:
@@ -118,12 +121,15 @@ def _sets(n: int, percent: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, prefixes = [], [], [], []
+            sizes, first, second, prefixes, sketches = [], [], [], [], []
             for _, tokens in shingle_sets(batch.column(1), n):
                 size = len(tokens)
                 sizes.append(size)
                 first.append(np.bitwise_xor.reduce(mix(tokens + U(size))).view(np.int64) if size else 0)
                 second.append(int(np.sum(mix(tokens ^ U(0x5851F42D4C957F2D)), dtype=U).view(np.int64)) if size else 0)
+                marks = np.zeros(64 * SKETCH, np.uint8)
+                marks[mix(tokens ^ U(0xA5A5)) % U(64 * SKETCH)] = 1
+                sketches.append(np.packbits(marks).view(np.int64))
                 keep = min(size, _tau(size, percent) + 1 + _band_groups(int(_band(np.array([size]), percent)[0]) + 1, percent))
                 keys = _order_keys(tokens, hot.value)
                 prefixes.append(tokens[np.argsort(keys, kind="stable")[:keep]].view(np.int64) if size > 1 else np.zeros(0, np.int64))
@@ -134,8 +140,9 @@ def _sets(n: int, percent: int, hot):
                     pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(SKETCH)),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "prefix"],
+                names=["doc_id", "n_shingles", "d1", "d2", "prefix", *(f"b{k}" for k in range(SKETCH))],
             )
 
     return run
@@ -272,15 +279,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
     share = spark.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = share(hot_tokens(docs, n))
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>" + "".join(f", b{k} long" for k in range(SKETCH))
     sets = store(docs.mapInArrow(_sets(n, percent, hot), schema), "sets")
     one = ["n_shingles", "d1", "d2"]
+    sketch = [f"b{k}" for k in range(SKETCH)]
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*one).agg(F.min("doc_id").alias("rep"))
     classes = store(classes, "classes")
     prefixes = (
         sets.join(classes.withColumn("doc_id", F.col("rep")), [*one, "doc_id"], "left_semi")
         .where("n_shingles > 1")
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.size("prefix").cast("long").alias("kept"), "prefix")
+        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.size("prefix").cast("long").alias("kept"), "prefix", *sketch)
         .dropDuplicates(["rep", "size"])
     )
     prefixes = store(prefixes, "prefixes")
@@ -332,12 +340,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
         else:
             # Each member has a random number; the hubs of a batch are those in an interval of it.
             draw = F.pmod(F.xxhash64("rep", "sig"), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("members")
-            drawn = live.withColumn("draw", draw)
+            drawn = live.join(prefixes.select("rep", *sketch), "rep").withColumn("draw", draw)
             hubs = drawn.where((F.col("draw") < hi) & (F.col("draw") >= lo - 1)).select(
-                "sig", "band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "label", "draw", "own", "size")]
+                "sig", "band", *[F.col(c).alias(f"x_{c}") for c in ("rep", "label", "draw", "own", "size", *sketch)]
             )
             met = (F.col("label") != F.col("x_label")) & ((F.col("draw") > F.col("x_draw")) | ((F.col("draw") == F.col("x_draw")) & (F.col("rep") > F.col("x_rep"))))
-            pairs = drawn.join(hubs, ["sig", "band"]).where(met & may("", "x_")).select(F.col("x_rep").alias("x"), F.col("rep").alias("y"))
+            # A sketch bit that only one set has stands for at least one token that the other lacks.
+            lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(f"{b}{k}"))) for k in sketch), F.lit(0))
+            common = F.least(F.col("size") - lacks("", "x_"), F.col("x_size") - lacks("x_", ""))
+            near = 100 * common >= percent * (F.col("size") + F.col("x_size") - common)
+            pairs = drawn.join(hubs, ["sig", "band"]).where(met & may("", "x_") & near).select(F.col("x_rep").alias("x"), F.col("rep").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         found = _links(docs, prefixes, pairs, n, percent, hot)
         labels = components(found if labels is None else found.union(labels.selectExpr("node as x", "label as y")), "x", "y")
