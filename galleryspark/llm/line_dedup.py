@@ -37,44 +37,30 @@ def _key(doc_id: str, text: str) -> Column:
 
 def _fingerprints(units: DataFrame) -> DataFrame:
     """(key, n, h, at, prev): the selected units of every document; prev is the last selected place of the same hash."""
-    rated = units.withColumn(
-        "rated", F.transform("h", lambda h, i: F.when(F.get(F.col("w"), i) >= MIN_UNIT_WORDS, F.struct(h.alias("h"), i.alias("at"))))
+    rated = units.select(
+        "key",
+        "h",
+        F.transform("h", lambda h, i: F.when(F.get(F.col("w"), i) >= MIN_UNIT_WORDS, F.struct(h.alias("h"), i.alias("at")))).alias("rated"),
     )
     windows = F.sequence(F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(1)))
-    minima = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(F.col("rated"), i, F.lit(WINDOW)))))
-    ranked = F.sort_array(F.filter(minima, lambda x: x.isNotNull()))
-    rated = rated.where(F.size("h") > 0).select("key", F.size("h").alias("n"), ranked.alias("ranked"))
+    places = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(F.col("rated"), i, F.lit(WINDOW)))["at"]))
+    chosen = F.transform(F.filter(places, lambda at: at.isNotNull()), lambda at: F.struct(F.get(F.col("h"), at).alias("h"), at.alias("at")))
+    ranked = rated.select("key", F.size("h").alias("n"), F.sort_array(chosen).alias("ranked"))
+    before = lambda i: F.get(F.col("ranked"), i - 1)
     chained = F.transform(
-        "ranked",
-        lambda x, i: F.struct(
-            x["h"].alias("h"),
-            x["at"].alias("at"),
-            F.when(F.get(F.col("ranked"), i - 1)["h"] == x["h"], F.get(F.col("ranked"), i - 1)["at"]).alias("prev"),
-        ),
+        "ranked", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.when(before(i)["h"] == x["h"], before(i)["at"]).alias("prev"))
     )
-    return rated.select("key", "n", F.explode(chained).alias("f")).select("key", "n", "f.h", "f.at", "f.prev")
+    return ranked.select("key", "n", F.explode(chained).alias("f")).select("key", "n", "f.h", "f.at", "f.prev")
 
 
 def _runs(low: Column, high: Column, same, words: Column) -> Column:
-    """Maximal runs [from, to) of equal units in [low, high) that have enough words."""
-    run = "struct<s:int,e:int>"
-    start = F.struct(low.alias("s"), F.lit(0).alias("w"), F.array().cast(f"array<{run}>").alias("found"))
-
-    def closed(acc: Column, end: Column) -> Column:
-        found = F.struct(acc["s"].alias("s"), end.cast("int").alias("e"))
-        return F.when(acc["w"] >= MIN_RUN_WORDS, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
-
-    def step(acc: Column, i: Column) -> Column:
-        equal = same(i)
-        return F.struct(
-            F.when(equal, acc["s"]).otherwise(i + 1).cast("int").alias("s"),
-            F.when(equal, acc["w"] + F.get(words, i)).otherwise(0).cast("int").alias("w"),
-            F.when(equal, acc["found"]).otherwise(closed(acc, i)).alias("found"),
-        )
-
-    return F.when(high > low, F.aggregate(F.sequence(low, high - 1), start, step, lambda acc: closed(acc, high))).otherwise(
-        F.array().cast(f"array<{run}>")
-    )
+    """Maximal runs [s, e) of equal units in [low, high) that have enough words."""
+    apart = F.filter(F.sequence(low, high - 1), lambda i: ~same(i))
+    edges = F.concat(F.array(low - 1), apart, F.array(high))
+    runs = F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda at, k: F.struct((at + 1).alias("s"), F.get(edges, k + 1).alias("e")))
+    count = lambda r: F.aggregate(F.slice(words, r["s"] + 1, r["e"] - r["s"]), F.lit(0), lambda n, w: n + w)
+    long = F.filter(runs, lambda r: (r["e"] > r["s"]) & (count(r) >= MIN_RUN_WORDS))
+    return F.when(high > low, long).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,8 +71,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.transform("u", lambda u: F.xxhash64(F.btrim(u, F.lit(" \t\n\x0b\x0c\r")))).alias("h"),
         F.transform("u", lambda u: F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+"))).alias("w"),
     )
-    units = store(units, "units").dropDuplicates(["key"])
-    marks = _fingerprints(units)
+    units = store(units.dropDuplicates(["key"]), "units")
+    marks = store(_fingerprints(units), "marks")
     new = marks.where("prev is null").select("key", "n", "h", "at")
     first = new.groupBy("h").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs")
     across = new.join(first, "h").where("key <> first.key").select(
@@ -98,8 +84,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     facing = F.slice(F.col("h"), F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("n"))
     lines = lines.join(units.select(F.col("key").alias("other"), "h"), "other").select("key", "shift", facing.alias("b"))
     lines = lines.join(units, "key")
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("h"), low + F.size("b"))
+    lines = lines.withColumn("low", F.greatest(F.col("shift"), F.lit(0)))
+    lines = lines.withColumn("high", F.least(F.size("h"), F.col("low") + F.size("b")))
+    low, high = F.col("low"), F.col("high")
     runs = _runs(low, high, lambda i: F.get(F.col("h"), i) == F.get(F.col("b"), i - low), F.col("w"))
     return (
         lines.select("key", runs.alias("runs"))
