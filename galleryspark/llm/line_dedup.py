@@ -42,8 +42,10 @@ def _fingerprints(units: DataFrame) -> DataFrame:
         "h",
         F.transform("h", lambda h, i: F.when(F.get(F.col("w"), i) >= MIN_UNIT_WORDS, F.struct(h.alias("h"), i.alias("at")))).alias("rated"),
     )
-    windows = F.sequence(F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(1)))
-    places = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(F.col("rated"), i, F.lit(WINDOW)))["at"]))
+    # An array that a lambda reads must be a column with several uses, or Spark makes it anew for every element.
+    window = lambda i: F.array(*[F.get(F.col("rated"), i + k) for k in range(WINDOW)])
+    starts = F.slice("rated", 1, F.greatest(F.size("rated") - (WINDOW - 1), F.lit(1)))
+    places = F.array_distinct(F.transform(starts, lambda _, i: F.array_min(window(i))["at"]))
     chosen = F.transform(F.filter(places, lambda at: at.isNotNull()), lambda at: F.struct(F.get(F.col("h"), at).alias("h"), at.alias("at")))
     ranked = rated.select("key", F.size("h").alias("n"), F.sort_array(chosen).alias("ranked"))
     before = lambda i: F.get(F.col("ranked"), i - 1)
@@ -53,14 +55,19 @@ def _fingerprints(units: DataFrame) -> DataFrame:
     return ranked.select("key", "n", F.explode(chained).alias("f")).select("key", "n", "f.h", "f.at", "f.prev")
 
 
-def _runs(low: Column, high: Column, same, words: Column) -> Column:
-    """Maximal runs [s, e) of equal units in [low, high) that have enough words."""
-    apart = F.filter(F.sequence(low, high - 1), lambda i: ~same(i))
-    edges = F.concat(F.array(low - 1), apart, F.array(high))
-    runs = F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda at, k: F.struct((at + 1).alias("s"), F.get(edges, k + 1).alias("e")))
-    count = lambda r: F.aggregate(F.slice(words, r["s"] + 1, r["e"] - r["s"]), F.lit(0), lambda n, w: n + w)
-    long = F.filter(runs, lambda r: (r["e"] > r["s"]) & (count(r) >= MIN_RUN_WORDS))
-    return F.when(high > low, long).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+def _with_runs(lines: DataFrame) -> DataFrame:
+    """(key, runs): along each diagonal the maximal runs [s, e) of equal units that have enough words.
+
+    ``lines`` has the unit hashes ``h`` and word counts ``w`` of the document and ``b``, the units that face those from ``low`` on.
+    """
+    lines = lines.withColumn("high", F.least(F.size("h"), F.col("low") + F.size("b"))).where("high > low")
+    apart = F.filter(F.sequence(F.col("low"), F.col("high") - 1), lambda i: F.get(F.col("h"), i) != F.get(F.col("b"), i - F.col("low")))
+    lines = lines.select("key", "w", F.concat(F.array(F.col("low") - 1), apart, F.array("high")).alias("edges"))
+    runs = F.transform(
+        F.slice("edges", 1, F.size("edges") - 1), lambda at, k: F.struct((at + 1).alias("s"), F.get(F.col("edges"), k + 1).alias("e"))
+    )
+    count = lambda r: F.aggregate(F.slice(F.col("w"), r["s"] + 1, r["e"] - r["s"]), F.lit(0), lambda n, w: n + w)
+    return lines.select("key", F.filter(runs, lambda r: (r["e"] > r["s"]) & (count(r) >= MIN_RUN_WORDS)).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,15 +92,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = lines.join(units.select(F.col("key").alias("other"), "h"), "other").select("key", "shift", facing.alias("b"))
     lines = lines.join(units, "key")
     lines = lines.withColumn("low", F.greatest(F.col("shift"), F.lit(0)))
-    lines = lines.withColumn("high", F.least(F.size("h"), F.col("low") + F.size("b")))
-    low, high = F.col("low"), F.col("high")
-    runs = _runs(low, high, lambda i: F.get(F.col("h"), i) == F.get(F.col("b"), i - low), F.col("w"))
-    return (
-        lines.select("key", runs.alias("runs"))
-        .where(F.size("runs") > 0)
-        .groupBy("key")
-        .agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
-    )
+    found = _with_runs(lines).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
+    return found.where(F.size("runs") > 0)  # above the aggregate: below it, Spark would compute the runs twice
 
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
