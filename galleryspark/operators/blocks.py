@@ -105,6 +105,20 @@ def slices(rows: int, columns: int) -> Iterator[slice]:
         yield slice(start, min(rows, start + step))
 
 
+#: Below this share of both squared lengths the expanded square has lost too many digits.
+NEAR_COPY = 1e-4
+
+
+def squared_distances(queries: np.ndarray, gallery: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; those of near copies are summed again from the differences."""
+    length = (queries**2).sum(1)[:, None] + (gallery**2).sum(1)[None, :]
+    square = length - 2.0 * (queries @ gallery.T)
+    row, col = np.nonzero(square < NEAR_COPY * length)
+    for part in slices(len(row), queries.shape[1]):
+        square[row[part], col[part]] = ((queries[row[part]] - gallery[col[part]]) ** 2).sum(1)
+    return np.maximum(square, 0.0)
+
+
 def scores(queries: np.ndarray, gallery: np.ndarray, metric: str) -> np.ndarray:
     """Score matrix where larger is better; distances are negated."""
     if metric == "ip":
@@ -112,8 +126,7 @@ def scores(queries: np.ndarray, gallery: np.ndarray, metric: str) -> np.ndarray:
     elif metric == "cosine":
         value = unit_rows(queries) @ unit_rows(gallery).T - 1.0
     elif metric == "l2":
-        square = (queries**2).sum(1)[:, None] + (gallery**2).sum(1)[None, :] - 2.0 * (queries @ gallery.T)
-        value = -np.sqrt(np.maximum(square, 0.0))
+        value = -np.sqrt(squared_distances(queries, gallery))
     else:
         raise ValueError(f"unknown metric {metric!r}")
     return value

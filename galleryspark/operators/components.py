@@ -39,10 +39,15 @@ def select_components(components: DataFrame, top_n: int = 0, max_bbox_ratio: flo
     return kept.withColumn("_place", F.row_number().over(largest)).where(F.col("_place") <= top_n).drop("_place")
 
 
+def _size_step(size: Column) -> Column:
+    """Steps that rise as the size falls; sizes of 0 (and null) come last, as they do in a falling order."""
+    return F.when(size > 0, -F.floor(F.log2(size) * 8)).otherwise(F.lit(1 << 20)).cast("long")
+
+
 def _by_area(components: DataFrame, rank: str) -> DataFrame:
     """Rank by box area, largest first; size steps are the buckets, so a crowded image is spread."""
     area = bbox_area()
-    return bucketed_rank(components, ["image_id"], -F.floor(F.log2(area) * 8), [area.desc(), F.col("label")], rank)
+    return bucketed_rank(components, ["image_id"], _size_step(area), [area.desc(), F.col("label")], rank)
 
 
 def large_and_small(components: DataFrame, top_n: int, remove_largest: bool = True) -> DataFrame:
@@ -61,7 +66,7 @@ def pad_bbox(components: DataFrame, pad: int) -> DataFrame:
 
 def order_by_topology(components: DataFrame) -> DataFrame:
     """1-based ``place`` in the image: most holes first, then largest pixel area."""
-    bucket = F.struct(-F.col("n_holes"), -F.floor(F.log2("pixel_area") * 8))
+    bucket = F.struct(-F.col("n_holes"), _size_step(F.col("pixel_area")))
     return bucketed_rank(components, ["image_id"], bucket, [F.desc("n_holes"), F.desc("pixel_area"), F.col("label")], "place")
 
 

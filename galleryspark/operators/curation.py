@@ -47,7 +47,10 @@ def stratified_split(
     probability ``ratio`` where the floor is 0; ``zero`` takes the floor as it is.
     """
     groups = cut_lineage(df.select(class_col, group_col).distinct())  # read for the sizes and for the ranks
-    return df.join(assign_split(groups, ratio, seed, F.col(group_col), [class_col], minimum), [class_col, group_col])
+    # One struct key, which is equal also where the class or the group is null.
+    split = assign_split(groups, ratio, seed, F.col(group_col), [class_col], minimum)
+    unit = F.struct(class_col, group_col).alias("_unit")
+    return df.withColumn("_unit", unit).join(split.select(unit, "split"), "_unit").select(*df.columns, "split")
 
 
 def component_split(df: DataFrame, class_col: str, key: Column, ratio: float = 0.8, seed: int = 42) -> DataFrame:

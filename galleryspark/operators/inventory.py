@@ -11,7 +11,8 @@ from galleryspark.operators.ordering import hash_rank
 
 # Fixed list of directory names left out of roll-ups.
 IGNORED = (".git", "__pycache__", ".idea", ".vscode", "node_modules")
-IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff")
+# Fixed list of image file suffixes.
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
 
 
 def select_files(listing: DataFrame, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:

@@ -88,8 +88,8 @@ def tag_outliers(df: DataFrame, outlier_flag: str | None = None) -> DataFrame:
     return df.withColumn("tags", F.filter(F.array(*tags), lambda t: t.isNotNull()))
 
 
-def project_2d(df: DataFrame, vector: str = "embedding", sample: int | None = 5000, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
-    """(id, px, py): the two first principal components of the sample."""
+def project_2d(df: DataFrame, vector: str = "embedding", sample: int | None = None, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
+    """(id, px, py): the two first principal components of all rows, or of a sample of so many."""
     rows = df.select(id_col, array_to_vector(V.as_double(F.col(vector))).alias("features"))
     if sample is not None:
         rows = sample_n(rows, sample, seed, F.col(id_col))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from galleryspark.functions import vectors as V
+from galleryspark.functions import text as T, vectors as V
 from galleryspark.operators.knn import knn
 from galleryspark.operators.vector_stats import Strategy, max_pool
 
@@ -47,10 +47,11 @@ def retrieve_documents(
 
 
 def with_lookup_label(df: DataFrame, label_map: DataFrame | None, resolved: str = "resolved_path", raw: str = "path") -> DataFrame:
-    """Label of the resolved path, else of the raw path, else the parent directory name."""
-    parent = F.element_at(F.split(F.col(raw), "/"), -2)
+    """Label of the resolved path, else of the raw path, else the parent directory name (null for a bare file name)."""
+    parent = T.parent_name(F.col(raw))
     if label_map is None:
         return df.withColumn("lookup_label", parent)
+    label_map = label_map.groupBy("path").agg(F.max("label").alias("label"))  # a path has one label
     first = label_map.select(F.col("path").alias(resolved), F.col("label").alias("_resolved_label"))
     second = label_map.select(F.col("path").alias(raw), F.col("label").alias("_raw_label"))
     return (

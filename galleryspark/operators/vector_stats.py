@@ -41,9 +41,9 @@ def collapse_std(df: DataFrame, vectors: Sequence[str] = ("embedding",)) -> Data
 
 
 def pairwise_distance_stats(
-    df: DataFrame, sample: int | None = 5000, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding"
+    df: DataFrame, sample: int | None = None, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """Count, mean, sample std, min and max of the distance over unordered pairs of the sample.
+    """Count, mean, sample std, min and max of the distance over unordered pairs of all rows, or of a sample of so many.
 
     Pairs are never written: each grid cell returns one row of partial sums. The variance is merged
     from per-cell means, so the parts do not cancel.
@@ -85,7 +85,7 @@ PARTIAL_BELOW = 0.3
 COLLAPSED_DISTANCE = 1e-2
 
 
-def collapse_report(df: DataFrame, sample: int | None = 5000, seed: int = 42, vector: str = "embedding") -> DataFrame:
+def collapse_report(df: DataFrame, sample: int | None = None, seed: int = 42, vector: str = "embedding") -> DataFrame:
     """Spread of the embedding against the ideal 1/sqrt(d), with a verdict. One row."""
     spread = collapse_std(df, [vector])
     distances = pairwise_distance_stats(df, sample, seed, vector=vector)

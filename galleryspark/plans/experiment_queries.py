@@ -52,7 +52,7 @@ def j5_expand_grid(spark, sf):
     """Grid over the distinct market segments, order priorities and return flags of the tables."""
     pick = lambda name, column: table(spark, sf, name).agg(F.array_sort(F.collect_set(column)).alias(column), F.lit(1).alias("_k"))
     lists = pick("customer", "c_mktsegment").join(pick("orders", "o_orderpriority"), "_k").join(pick("lineitem", "l_returnflag"), "_k")
-    return X.expand_grid(lists, ["c_mktsegment", "o_orderpriority", "l_returnflag"], "sweep", 60)
+    return X.expand_grid(lists, ["c_mktsegment", "o_orderpriority", "l_returnflag"], "sweep")
 
 
 def j6_sweep_summary(spark, sf):
@@ -175,7 +175,7 @@ ORACLE = {
  round(max(-val_loss) filter (status = 'success'), 6) as best_score, 'failed at ' || max(arrival) filter (status = 'failed') as error from log group by run""",
     "j5_expand_grid": """with grid as (select c_mktsegment, o_orderpriority, l_returnflag, row_number() over (order by c_mktsegment, o_orderpriority, l_returnflag) as i
  from (select distinct c_mktsegment from customer), (select distinct o_orderpriority from orders), (select distinct l_returnflag from lineitem))
- select concat('sweep_', lpad(cast(i as varchar), 3, '0')) as run_name, c_mktsegment, o_orderpriority, l_returnflag from grid where i <= 60""",
+ select concat('sweep_', lpad(cast(i as varchar), 3, '0')) as run_name, c_mktsegment, o_orderpriority, l_returnflag from grid""",
     "j6_sweep_summary": sql("log")
     + """select run as run_name, max(epoch) as epochs, null::bigint as errors, round(min(val_loss), 6) as val_loss from log where status = 'success' group by run
  union all select run || '_failed', null, count(*), null from log where status = 'failed' group by run""",

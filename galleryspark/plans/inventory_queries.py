@@ -138,7 +138,7 @@ _ARTIFACT = f"""(regexp_matches({_NAME}, '^.+_merged\\.png$') or regexp_matches(
 _COS = "list_dot_product(p.e, g.e) / (greatest(sqrt(list_dot_product(p.e, p.e)), 1e-12) * greatest(sqrt(list_dot_product(g.e, g.e)), 1e-12))"
 
 ORACLE = {
-    "a1_select_files": sql("files") + "select path, length from files where regexp_matches(lower(path), '\\.(png|jpg|jpeg|bmp|tif|tiff)$')",
+    "a1_select_files": sql("files") + "select path, length from files where regexp_matches(lower(path), '\\.(png|jpg|jpeg|bmp|tif|tiff|webp)$')",
     "a2_path_columns": sql("files")
     + f"""select path, {_NAME} as filename, {_STEM} as stem, lower(regexp_extract({_NAME}, '\\.[^.]*$')) as suffix,
  split_part(path, '/', -2) as parent, class as class_name from files""",

@@ -104,7 +104,7 @@ def b12_flatten_config(spark, sf):
     """One nested configuration per run, as dotted columns and as a map."""
     runs = log(spark, sf).groupBy("run").agg(F.max("epoch").alias("epochs"), F.count(F.lit(1)).alias("rows"))
     nested = runs.select("run", F.struct("epochs", F.struct("rows", F.repeat("run", 40).alias("note")).alias("log")).alias("training"))
-    flat = P.flatten_config(nested)
+    flat = P.flatten_config(nested, 250)
     return flat.select(F.col("run"), F.col("`training.epochs`").alias("epochs"), F.col("`training.log.rows`").alias("n"), F.col("`training.log.note`").alias("note"))
 
 

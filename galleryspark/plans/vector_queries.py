@@ -203,8 +203,7 @@ _UNIT = f"""unit as (select vec_id, label, list_transform(v, lambda x: x / great
 _COS = "list_dot_product(a, b) / (greatest(sqrt(list_dot_product(a, a)), 1e-12) * greatest(sqrt(list_dot_product(b, b)), 1e-12))"
 _DISTANCES = """distances as (select sqrt(list_sum(list_transform(list_zip(p.v, q.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) as d
  from sampled p join sampled q on p.vec_id < q.vec_id)"""
-_SAMPLED = """sampled as (select vec_id, embedding::double[] as v from embeddings
- order by md5(concat('42:', cast(vec_id as varchar))), vec_id limit 5000)"""
+_SAMPLED = "sampled as (select vec_id, embedding::double[] as v from embeddings)"
 _STD = """spread as (select avg(s) as std, count(*) as dim from (
  select pos, stddev_samp(x) as s from (select unnest(u) as x, unnest(range(1, len(u) + 1)) as pos from unit) group by pos))"""
 

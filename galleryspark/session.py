@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "galleryspark", cores: str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import the package too
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH", "")]))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

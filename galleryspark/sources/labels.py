@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    """(path, label) from a CSV with or without a header naming both; a row without a label is an error."""
+    """(path, label) from a CSV with or without a header naming both; a row without a label is an error,
+    and of several rows of one path the last one counts."""
     first = spark.read.text(path).first()
     line = first.value if first else ""
     has_header = "," in line and "path" in line and "label" in line
@@ -15,7 +16,9 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     else:
         rows = spark.read.schema("path string, label string").csv(path)
     message = F.concat(F.lit("label map row without a label: "), F.coalesce("path", F.lit("")))
-    return rows.select("path", F.when(F.col("label").isNull(), F.raise_error(message)).otherwise(F.col("label")).alias("label"))
+    checked = F.when(F.col("label").isNull(), F.raise_error(message)).otherwise(F.col("label"))
+    placed = rows.select("path", checked.alias("label"), F.monotonically_increasing_id().alias("line"))
+    return placed.groupBy("path").agg(F.max_by("label", "line").alias("label"))
 
 
 def export_tags(df: DataFrame, path: str = "path", tags: str = "tags") -> DataFrame:

@@ -58,8 +58,8 @@ def append_processing_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def flatten_config(df: DataFrame, limit: int = 250) -> DataFrame:
-    """Nested struct columns as dotted columns of text, cut to ``limit`` characters."""
+def flatten_config(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Nested struct columns as dotted columns of text, cut to ``limit`` characters if one is given."""
 
     def leaves(schema, prefix: str, quoted: str):
         for field in schema.fields:
@@ -69,7 +69,8 @@ def flatten_config(df: DataFrame, limit: int = 250) -> DataFrame:
             else:
                 yield name, path
 
-    return df.select(*[F.substring(F.col(path).cast("string"), 1, limit).alias(name) for name, path in leaves(df.schema, "", "")])
+    cut = lambda text: text if limit is None else F.substring(text, 1, limit)
+    return df.select(*[cut(F.col(path).cast("string")).alias(name) for name, path in leaves(df.schema, "", "")])
 
 
 def config_map(flat: DataFrame) -> DataFrame:

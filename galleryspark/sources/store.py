@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 REQUIRED = ("original_filename", "page_num", "component_type", "parent_pdf_id")  # fixed metadata keys
@@ -52,6 +53,22 @@ class VectorStore:
         single = checked.groupBy("id").agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")).select("id", "_row.*")
         single.write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
+    def stream_number(self, checkpoint: str) -> int:
+        """Number of the stream with this checkpoint: the one it got before, else the next free one.
+
+        The register has one row per stream and lies next to the store.
+        """
+        folder = f"{self.path}-streams"
+        try:
+            known = {r["checkpoint"]: r["number"] for r in self.spark.read.schema("checkpoint string, number long").json(folder).collect()}
+        except AnalysisException:  # no stream yet
+            known = {}
+        if checkpoint not in known:
+            known[checkpoint] = max(known.values(), default=-1) + 1
+            row = self.spark.range(1).select(F.lit(checkpoint).alias("checkpoint"), F.lit(known[checkpoint]).cast("long").alias("number"))
+            row.write.mode("append").json(folder)
+        return known[checkpoint]
+
     def versions(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", True).parquet(self.path)
 

@@ -261,6 +261,6 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 
 def test_config(spark):
     df = spark.sql("select named_struct('lr', 0.1, 'opt', named_struct('name', repeat('x', 300))) as train, 1 as seed")
-    flat = R.flatten_config(df)
+    flat = R.flatten_config(df, limit=250)
     assert flat.columns == ["train.lr", "train.opt.name", "seed"] and len(flat.first()[1]) == 250
     assert R.config_map(flat).first().params["train.lr"] == "0.1"
