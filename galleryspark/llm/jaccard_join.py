@@ -361,7 +361,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
     return sets.select("doc_id", *one).join(ends, one, "left").select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
