@@ -110,7 +110,11 @@ def _with_verdict(rows: DataFrame, host: str, mark: str) -> tuple[DataFrame, str
     verdicts = host_verdicts(rows, host, failed).where("bad").select("host", "bad")
     key, bad = fresh(rows, "_q_host"), fresh(rows, "_q_bad")
     verdicts = verdicts.withColumnsRenamed({"host": key, "bad": bad})
-    return rows.withColumn(key, F.struct(F.col(host))).join(verdicts, key, "left").drop(key), bad
+    # Only documents whose fate depends on their host travel to its verdict.
+    open_case = F.col(mark)["mild"] & ~F.col(mark)["base"] & ~F.col(mark)["severe"]
+    clear = rows.where(~open_case).withColumn(bad, F.lit(False))
+    asked = rows.where(open_case).withColumn(key, F.struct(F.col(host))).join(verdicts, key, "left").drop(key)
+    return clear.unionByName(asked), bad
 
 
 def quality_report(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
