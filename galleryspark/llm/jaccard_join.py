@@ -10,9 +10,9 @@ Then two similar sets share a rare token or, inside one group, a pair of frequen
 one by one and frequent tokens as pairs. Tokens that no other set has count in the prefix and are not indexed.
 
 Links are looked for until the components are known, not until every pair of a group of copies has been seen:
-copies of one set are one node from the start; every bucket of the index compares its members to one hub; then
-only pairs of different components are left, and they meet through batches of hubs that grow until each
-remaining pair has met. A pair is discarded only when its prefixes prove it too different, and is otherwise
+copies of one set are one node from the start; every bucket of the index compares its members to one hub, which
+then leaves it; only pairs of different components are left, and they meet through batches of hubs that grow until
+each remaining pair has met. A pair is discarded only when its prefixes prove it too different, and is otherwise
 checked on the whole texts.
 
 Cases: null, empty or blank texts have an empty set, no links, and are their own component. A null doc_id has no
@@ -354,6 +354,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
         found = _links(docs, prefixes, pairs, n, percent, hot)
         labels = components(found if labels is None else found.union(labels.selectExpr("node as x", "label as y")), "x", "y")
         labels = store(labels, "labels")
+        if lo == 0:  # the hub has met all others; what remains of a pair is no bucket any more
+            live = live.where((F.col("rep") != F.col("hub")) | (F.col("size") != F.col("hub_size")))
         index = live.select(*index.columns)
         lo, hi = (1, BATCH_GROWTH) if lo == 0 else (hi + 1, hi * BATCH_GROWTH)
     ends = classes if labels is None else classes.join(labels, classes.rep == labels.node, "left")
