@@ -498,74 +498,46 @@ def high_freq_ratio(pixels: DataFrame) -> DataFrame:
 # --- pruning ---------------------------------------------------------------------------------
 
 
-def _windows(mask: np.ndarray, k: int, anchor: int, fold) -> np.ndarray:
-    """Fold the k x k window of each pixel; outside the image the window has no say."""
-    neutral = fold is np.logical_and
-    padded = np.pad(mask, ((anchor, k - 1 - anchor), (anchor, k - 1 - anchor)), constant_values=neutral)
-    out = np.full(mask.shape, neutral)
-    for dy in range(k):
-        for dx in range(k):
-            out = fold(out, padded[dy : dy + mask.shape[0], dx : dx + mask.shape[1]])
-    return out
-
-
-def _opening(mask: np.ndarray, k: int) -> np.ndarray:
-    """Erosion, then dilation with the mirrored window. The anchor is k // 2."""
-    eroded = _windows(mask, k, k // 2, np.logical_and)
-    return _windows(eroded, k, k - 1 - k // 2, np.logical_or)
-
-
-def _regrow(marker: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Grow the marker inside ``within`` until it stops: the 8-connected parts that hold some marker."""
-    y, x = np.nonzero(within)
-    width = within.shape[1] + 2
-    root = _label_tiles(y * width + x + 1, [1, width, width + 1, width - 1])
-    grown = np.zeros_like(within)
-    keep = np.isin(root, root[marker[y, x]])
-    grown[y[keep], x[keep]] = True
-    return grown
-
-
-def _crop_holes(mask: np.ndarray) -> int:
-    """Hole count of the tight crop without padding: the ``crop`` form of ``count_holes`` inside a task."""
-    if not mask.any():
-        return 0
-    bits = np.zeros((max(mask.shape[0] - 1, 0), max(mask.shape[1] - 1, 0)), dtype=int)
-    for dy, dx, bit in ((0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)):
-        bits += bit * mask[dy : dy + bits.shape[0], dx : dx + bits.shape[1]]
-    seen = np.bincount(bits.ravel(), minlength=16)
-    euler = (seen[[1, 2, 4, 8]].sum() - seen[[7, 11, 13, 14]].sum() - 2 * seen[[6, 9]].sum()) // 4
-    return max(0, 1 - int(euler))
+def _line_runs(cells: DataFrame, line: list[str], along: str) -> DataFrame:
+    """(line..., s, e): the runs of consecutive ``along`` values of each line, both ends inside."""
+    place = F.row_number().over(Window.partitionBy(*line).orderBy(along))
+    runs = cells.withColumn("_run", F.col(along) - place).groupBy(*line, "_run")
+    return runs.agg(F.min(along).alias("s"), F.max(along).alias("e")).drop("_run")
+
+
+def _with_centres(runs: DataFrame, low: str, high: str) -> DataFrame:
+    """Runs that hold a window of length ``k``, with its ``first`` and ``last`` centre; windows are cut at ``low`` and ``high``."""
+    before = F.expr("cast(k div 2 as int)")
+    first = F.when(F.col("s") == F.col(low), F.col("s")).otherwise(F.col("s") + before)
+    last = F.when(F.col("e") == F.col(high), F.col("e")).otherwise(F.col("e") - (F.col("k") - 1 - before))
+    return runs.withColumn("first", first).withColumn("last", last).where("first <= last")
+
+
+def pruning_steps(labelled: DataFrame, rounds: int = 3, start: int = 2) -> DataFrame:
+    """(image_id, root, steps): how many of the windows k = start, start + 1, ... fit into each component.
+
+    A window that fits holds a smaller one around the same centre, so the number of sizes that fit is the number
+    of rounds. Row runs give the centres at which a window fits sideways; runs of those along columns give
+    the rest. A task needs no more than a line of a component.
+    """
+    keys = ["image_id", "root"]
+    box = labelled.groupBy(*keys).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    sizes = F.explode(F.array(*[F.lit(k) for k in range(start, start + rounds)]))
+    rows = _line_runs(labelled.select(*keys, "y", "x"), [*keys, "y"], "x").join(box, keys).withColumn("k", sizes)
+    cells = _with_centres(rows, "x0", "x1").select(*keys, "k", "y", F.explode(F.sequence("first", "last")).alias("x"))
+    columns = _line_runs(cells, [*keys, "k", "x"], "y").join(box, keys)
+    fits = _with_centres(columns, "y0", "y1").groupBy(*keys).agg(F.collect_set("k").alias("ks"))  # at most ``rounds``
+    return box.select(*keys).join(fits, keys, "left").select(*keys, F.coalesce(F.size("ks"), F.lit(0)).alias("steps"))
 
 
 def prune_preserving_topology(labelled: DataFrame, rounds: int = 3, start: int = 2) -> DataFrame:
-    """(image_id, root, y, x, steps): components after opening and regrowth by growing windows.
+    """(image_id, root, y, x, steps): components after opening by growing windows and regrowth inside themselves.
 
-    A round is kept only while the hole count stays and pixels remain. A component is no larger than its crop
-    on the page; a task prunes a chunk of components.
+    ``labelled`` has one connected piece per root, as ``label_components`` makes them. Regrowth from any pixel left
+    by the opening restores such a piece whole, holes included, and a round that leaves nothing is not kept: the
+    pixels stay as they are, and ``steps`` says how many rounds succeed.
     """
-    schema = f"image_id {dict(labelled.dtypes)['image_id']}, root bigint, y int, x int, steps int"
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([prune_one(part) for _, part in pdf.groupby(["image_id", "root"], sort=False)], ignore_index=True)
-
-    def prune_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), dtype=bool)
-        mask[y - y.min(), x - x.min()] = True
-        holes, steps = _crop_holes(mask), 0
-        for k in range(start, start + rounds):
-            opened = _opening(mask, k)
-            candidate = _regrow(opened, mask) if opened.any() else opened
-            if not candidate.any() or _crop_holes(candidate) != holes:
-                break
-            mask, steps = candidate, steps + 1
-        ys, xs = np.nonzero(mask)
-        head = pdf.iloc[0]
-        return pd.DataFrame({"image_id": head["image_id"], "root": head["root"], "y": ys + y.min(), "x": xs + x.min(), "steps": steps})
-
-    pixels = labelled.select("image_id", "root", "y", "x")
-    return _in_chunks(pixels, pixels.count(), ["image_id", "root"]).applyInPandas(prune, schema)
+    return labelled.select("image_id", "root", "y", "x").join(pruning_steps(labelled, rounds, start), ["image_id", "root"])
 
 
 def prune_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -577,3 +549,13 @@ def prune_report(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = area(before, "before").join(holes(before, "before"), keys).join(area(after, "after"), keys).join(holes(after, "after"), keys).join(steps, keys)
     reduction = (F.lit(1.0) - F.col("area_after") / F.greatest("area_before", F.lit(1))) * 100
     return joined.withColumn("area_reduction", reduction).withColumn("topology_preserved", F.col("holes_before") == F.col("holes_after"))
+
+
+def preserved_rate(report: DataFrame) -> DataFrame:
+    """One row: components, share with unchanged holes, mean area reduction and mean number of rounds."""
+    return report.agg(
+        F.count(F.lit(1)).alias("components"),
+        F.avg(F.col("topology_preserved").cast("double")).alias("preserved_rate"),
+        F.avg("area_reduction").alias("mean_reduction"),
+        F.avg("pruning_steps").alias("mean_steps"),
+    )

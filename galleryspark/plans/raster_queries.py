@@ -118,6 +118,12 @@ def h19_prune_report(spark, sf):
     return rounded(R.prune_report(before, cut_lineage(R.prune_preserving_topology(before))), "area_reduction")
 
 
+def h19_preserved_rate(spark, sf):
+    before = _stored(spark, sf)
+    report = R.prune_report(before, cut_lineage(R.prune_preserving_topology(before)))
+    return rounded(R.preserved_rate(report), "preserved_rate", "mean_reduction", "mean_steps")
+
+
 def h24_image_entropy(spark, sf):
     return rounded(R.image_entropy(ras(spark, sf)), "entropy")
 
@@ -168,6 +174,7 @@ QUERIES = {
     "h17_merge_small": h17_merge_small,
     "h18_prune_preserving_topology": h18_prune_preserving_topology,
     "h19_prune_report": h19_prune_report,
+    "h19_preserved_rate": h19_preserved_rate,
     "h24_image_entropy": h24_image_entropy,
     "h25_sparsity": h25_sparsity,
     "h25_quality_status": h25_quality_status,
@@ -210,6 +217,14 @@ _PRUNED = """tight as (select image_id, root, min(y) as y0, max(y) as y1, min(x)
  fits as (select image_id, root, bool_or(k = 2 and cells = filled) as f2, bool_or(k = 3 and cells = filled) as f3, bool_or(k = 4 and cells = filled) as f4 from full_win group by 1, 2),
  pruned as (select image_id, root, case when not f2 then 0 when not f3 then 1 when not f4 then 2 else 3 end as steps from fits)"""
 
+_REPORT = "after as (select image_id, root, y, x from comp join pruned using (image_id, root)), " + quads("quad_after", "after", "image_id, root") + """,
+ left_over as (select image_id, root, count(*) as area_after from after group by 1, 2),
+ report as (select s.image_id, s.root, pixel_area as area_before, area_after, n_holes as holes_before,
+ cast(greatest(0, 1 - floor((a.q1 - a.q3 - 2 * a.qd) / 4.0)) as int) as holes_after, steps as pruning_steps,
+ round((1 - area_after::double / pixel_area) * 100, 6) as area_reduction,
+ n_holes = cast(greatest(0, 1 - floor((a.q1 - a.q3 - 2 * a.qd) / 4.0)) as int) as topology_preserved
+ from stats s join holes h using (image_id, root) join pruned p using (image_id, root) join left_over l using (image_id, root) join quad_after a using (image_id, root))"""
+
 ORACLE = {
     "b13_normalize_intensity": sql("ras")
     + f"select image_id, y, x, round((v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z, round((1 - v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z_inverted from ras",
@@ -251,9 +266,10 @@ ORACLE = {
     + """select p.image_id, coalesce(a.large, p.root) as root, count(*) as pixels from comp p left join assigned a on a.image_id = p.image_id and a.small = p.root group by 1, 2""",
     "h18_prune_preserving_topology": sql("ras", more=f"{LABELLED}, {_PRUNED}", recursive=True)
     + "select image_id, root, y, x, steps from comp join pruned using (image_id, root)",
-    "h19_prune_report": sql("ras", more=f"{LABELLED}, {STATS}, {HOLES}, {_PRUNED}", recursive=True)
-    + """select image_id, root, pixel_area as area_before, pixel_area as area_after, n_holes as holes_before, n_holes as holes_after, steps as pruning_steps,
- 0.0::double as area_reduction, true as topology_preserved from stats join holes using (image_id, root) join pruned using (image_id, root)""",
+    "h19_prune_report": sql("ras", more=f"{LABELLED}, {STATS}, {HOLES}, {_PRUNED}, {_REPORT}", recursive=True) + "select * from report",
+    "h19_preserved_rate": sql("ras", more=f"{LABELLED}, {STATS}, {HOLES}, {_PRUNED}, {_REPORT}", recursive=True)
+    + """select count(*) as components, round(avg(cast(topology_preserved as int)), 6) as preserved_rate, round(avg(area_reduction), 6) as mean_reduction,
+ round(avg(pruning_steps), 6) as mean_steps from report""",
     "h24_image_entropy": sql("ras", more=hist_entropy("e")) + "select image_id, round(entropy, 6) as entropy from e",
     "h25_sparsity": sql("ras") + "select image_id, round(avg(case when v / 255.0::double > 0.95 then 1.0 else 0.0 end), 6) as sparsity from ras group by image_id",
     "h25_quality_status": sql("ras")

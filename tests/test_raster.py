@@ -60,9 +60,7 @@ def test_holes(spark):
     contour = {r.image_id: r.n_holes for r in R.count_holes(labelled).collect()}
     assert contour == {0: 1, 1: 0, 2: 0}
     crop = {r.image_id: r.n_holes for r in R.count_holes(labelled, "crop").collect()}
-    for i, page in enumerate((RING, open_ring, np.ones((3, 3), dtype=int))):
-        assert crop[i] == R._crop_holes(page.astype(bool))
-    assert crop[2] == 1  # the unpadded form counts a full crop as holed
+    assert crop == {0: 2, 1: 2, 2: 1}  # the unpadded form counts a full crop as holed
     features = R.topology_features(ink(spark, RING)).first()
     assert (features.beta_0, features.beta_1, features.euler, features.complexity) == (1, 1, 0, 3)
 
@@ -129,6 +127,30 @@ def test_pruning_keeps_holes_and_removes_nothing_connected(spark):
     assert report.pruning_steps >= 1
 
 
+def test_pruning_rounds_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pages = [rng.random((14, 15)) < share for share in (0.4, 0.6, 0.8, 0.95)] + [np.ones((1, 1)), np.ones((1, 7)), np.ones((6, 6)), np.eye(5)]
+    labelled = R.label_components(ink(spark, *pages))
+    got = {(r.image_id, r.root): r.steps for r in R.pruning_steps(labelled).collect()}
+    pieces = {}
+    for r in labelled.collect():
+        pieces.setdefault((r.image_id, r.root), set()).add((r.y, r.x))
+    assert got.keys() == pieces.keys()
+    for key, cells in pieces.items():
+        ys, xs = sorted({y for y, _ in cells}), sorted({x for _, x in cells})
+        box = [(y, x) for y in range(ys[0], ys[-1] + 1) for x in range(xs[0], xs[-1] + 1)]
+
+        def fits(k):
+            return any(
+                all((y, x) in cells for y, x in box if -(k // 2) <= y - cy < k - k // 2 and -(k // 2) <= x - cx < k - k // 2) for cy, cx in box
+            )
+
+        want = 0
+        while want < 3 and fits(want + 2):
+            want += 1
+        assert got[key] == want
+
+
 def test_high_frequency_share(spark):
     rng = np.random.default_rng(5)
     pages = [rng.integers(0, 255, (8, 16)), rng.integers(0, 255, (9, 7))]
