@@ -288,24 +288,21 @@ def _pair_order(q: np.ndarray, g: np.ndarray, seed: int) -> np.ndarray:
     return (x * x + x * PAIR_MIX) % PAIR_PRIME
 
 
-def pair_order_sql(q: str, g: str, seed: int) -> str:
-    """The same order as SQL text over two BIGINT expressions."""
-    x = f"(({q} % {PAIR_PRIME} * {PAIR_Q} + {g} % {PAIR_PRIME} * {PAIR_G} + {seed}) % {PAIR_PRIME})"
-    return f"(({x} * {x} + {x} * {PAIR_MIX}) % {PAIR_PRIME})"
-
-
 def export_pair_scores(
-    df: DataFrame, max_fp: int = 100_000, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding", label: str = "label"
+    df: DataFrame, max_fp: int | None = None, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding", label: str = "label"
 ) -> DataFrame:
-    """(query_id, id, similarity, is_tp): all ordered same-class pairs, and the cross-class pairs
-    that come first in a pseudo-random order, at most ``max_fp``.
+    """(query_id, id, similarity, is_tp): all ordered pairs of different items.
 
-    The same-class pairs are the result the report asks for, so they are all written; of the
-    cross-class pairs a cell returns no more than the sample can use.
+    With ``max_fp`` the cross-class pairs are a sample, those that come first in a pseudo-random order, and a
+    cell returns no more of them than the sample can use.
     """
     items = df.select(F.col(id_col).cast("long").alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
     left = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked"))
 
+    def all_pairs(qid, asked, qv, ids, labels, gv):
+        row, col = np.nonzero(qid[:, None] != ids[None, :])
+        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], asked[row] == labels[col], -1)
+
     def same_class(qid, asked, qv, ids, labels, gv):
         row, col = np.nonzero((asked[:, None] == labels[None, :]) & (qid[:, None] != ids[None, :]))
         return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], True, -1)
@@ -332,6 +329,8 @@ def export_pair_scores(
         return blocks.grid(left, items, ["query_id"], ["id"], kernel, schema, rows, n_left=n, n_right=n)
 
     n, rows = items.count(), blocks.cell_rows_for(items, "v")
+    if max_fp is None:
+        return of(all_pairs).drop("ord")
     sampled = of(cross_class).orderBy("ord", "query_id", "id").limit(max_fp)
     return of(same_class).unionByName(sampled).drop("ord")
 

@@ -139,6 +139,10 @@ def test_pair_export_cap_and_content(cloud):
     assert (~out.is_tp).sum() == 500
     sims, _ = brute_order(values, exclude_self=False)
     assert np.allclose(out.similarity, sims[out.query_id, out.id], atol=1e-6)
+    whole = E.export_pair_scores(df).toPandas()
+    assert len(whole) == len(values) * (len(values) - 1) == len(whole[["query_id", "id"]].drop_duplicates())
+    assert (whole.is_tp == same[whole.query_id, whole.id]).all()
+    assert np.allclose(whole.similarity, sims[whole.query_id, whole.id], atol=1e-6)
 
 
 def test_pairwise_stats_against_numpy(cloud):
