@@ -13,7 +13,8 @@ Links are looked for until the components are known, not until every pair of a g
 copies of one set are one node from the start; every bucket of the index compares its members to one hub, which
 then leaves it; only pairs of different components are left, and they meet through batches of hubs that grow until
 each remaining pair has met. A pair is discarded only when its prefixes prove it too different, and is otherwise
-checked on the whole texts.
+checked on the whole texts. Buckets of one hub are united before that where their union has no more pairs than they
+have apart, so texts that meet in very many buckets are compared in one.
 
 Cases: null, empty or blank texts have an empty set, no links, and are their own component. A null doc_id has no
 links and a null component. Rows that share a doc_id are one document with several texts; a link of any of them
@@ -35,8 +36,6 @@ HOT_SHARE = 4096  # a token in more than 1/4096 of the documents is hot: at most
 CHUNK_TOKENS = 1 << 21
 GROUP_TOKENS = 4
 BATCH_GROWTH = 32
-
-
 SKETCH = 8  # words of 64 bits
 
 
@@ -273,6 +272,24 @@ def _linked(n: int, percent: int):
     return run
 
 
+def _merged_by_hub(live: DataFrame, band: int) -> DataFrame:
+    """Buckets of one hub become a single bucket where this makes no more pairs than they do apart.
+
+    Texts that share long parts meet in thousands of buckets of nearly the same members. All pairs of those buckets
+    are pairs of the united one, so no link is lost. ``band`` tells united buckets of different rounds apart.
+    """
+    hub = ["hub", "hub_own", "hub_size"]
+    apart = live.groupBy(*hub).agg(F.sum(F.col("members").cast("double")).alias("apart"))  # sum of squared bucket sizes
+    united = live.select(*hub, "rep", "size", "own", "label").distinct()
+    united = store(united, "united")
+    together = united.groupBy(*hub).agg(F.count(F.lit(1)).alias("together"))
+    chosen = store(apart.join(together, hub).where("1D * together * together <= apart").select(*hub, "together"), "chosen")
+    merged = united.join(chosen, hub).select(
+        F.xxhash64("hub", "hub_size").alias("sig"), F.lit(band).alias("band"), "rep", "size", "own", "label", F.col("together").alias("members"), *hub
+    )
+    return live.join(chosen, hub, "left_anti").select(*merged.columns).union(merged)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id. Links: 100 * shared >= percent * united."""
     spark = docs.sparkSession
@@ -335,6 +352,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
         live = store(rows.join(buckets, ["sig", "band"]), "live")
         if live.isEmpty():
             break
+        if lo <= 1:  # before the first batch of hubs
+            live = store(_merged_by_hub(live, -1 - lo), "live")
         if lo == 0:
             pairs = live.where((F.col("rep") != F.col("hub")) & may("", "hub_")).select(F.col("hub").alias("x"), F.col("rep").alias("y"))
         else:
