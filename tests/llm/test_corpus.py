@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from galleryspark.llm import chat_format, decontaminate, language_id, lm_score, packing, quality_model, quality_rules, queries, sharding
+from galleryspark.llm import chat_format, decontaminate, jaccard_join, language_id, lm_score, packing, quality_model, quality_rules, queries, sharding
 from galleryspark.llm.jaccard_join import jaccard_components
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,29 @@ def test_jaccard_join(spark, odd, none):
     assert jaccard_components(odd, 3, 90).count() == len(ODD)
 
 
+def test_jaccard_join_unites_buckets(spark, monkeypatch):
+    """Versions of one text around the threshold meet in very many buckets; united buckets lose no link."""
+    rng = np.random.default_rng(4)
+    base, rows = prose(6, 400).split(), []
+    for k in range(24):
+        own = list(base)
+        for at in rng.choice(400, 2 + k % 8, replace=False):
+            own[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(own)))
+    united, real = [], jaccard_join.store
+
+    def store(df, name):
+        stored = real(df, name)
+        if name == "chosen":
+            united.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(jaccard_join, "store", store)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, 3, 90).collect()), key=str) == components_of(rows, 3, 90)
+    assert sum(united) > 0
+
+
 def test_language_id(spark, odd, none):
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     got = language_id.identify(odd, learn).collect()
