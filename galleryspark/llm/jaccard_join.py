@@ -24,6 +24,7 @@ links it. Other columns are ignored, whatever their names. Ties do not occur: la
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,25 @@ def hot_tokens(docs: DataFrame, n: int) -> np.ndarray:
     return np.stack([tokens[order], level[order].astype(U)])
 
 
+def _kept(size: int, percent: int) -> int:
+    """Length of the stored prefix."""
+    return min(size, _tau(size, percent) + 1 + _band_groups(int(_band(np.array([size]), percent)[0]) + 1, percent))
+
+
+@lru_cache(1 << 16)
+def _least_met(size: int, percent: int) -> int:
+    """So many tokens of a set of this size stand at least in the prefix of any set that it links to, if the other prefix ends first.
+
+    Of the other prefix only what the sets do not share can be missing here; the least is taken over all sizes that can link.
+    """
+    sizes = np.arange(-(-percent * size // 100), 100 * size // percent + 1)
+    needed = -(-percent * (size + sizes) // (100 + percent))
+    bands = _band(sizes, percent) + 1
+    groups = np.array([_band_groups(int(b), percent) for b in range(int(bands.min()), int(bands.max()) + 1)])[bands - bands.min()]
+    kept = np.minimum(sizes, sizes * (100 - percent) // 100 + 1 + groups)
+    return max(0, int((kept - (sizes - needed)).min()))
+
+
 def _order_keys(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """One integer per token that sorts hot tokens last and others at random."""
     level = np.zeros(len(tokens), U)
@@ -129,9 +149,8 @@ def _sets(n: int, percent: int, hot):
                 marks = np.zeros(64 * SKETCH, np.uint8)
                 marks[mix(tokens ^ U(0xA5A5)) % U(64 * SKETCH)] = 1
                 sketches.append(np.packbits(marks).view(np.int64))
-                keep = min(size, _tau(size, percent) + 1 + _band_groups(int(_band(np.array([size]), percent)[0]) + 1, percent))
                 keys = _order_keys(tokens, hot.value)
-                prefixes.append(tokens[np.argsort(keys, kind="stable")[:keep]].view(np.int64) if size > 1 else np.zeros(0, np.int64))
+                prefixes.append(tokens[np.argsort(keys, kind="stable")[: _kept(size, percent)]].view(np.int64) if size > 1 else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -168,7 +187,17 @@ def _postings(bits):
 
 
 def _signatures(percent: int, rare_df: int):
-    """(signature, band, rep, size, own) of sets from their shared prefix tokens; own: prefix tokens that no other set has."""
+    """(signature, band, rep, size, own) of sets from their shared prefix tokens; own: prefix tokens that no linked set has.
+
+    A prefix token that no other prefix has may stand in another set, past the end of its prefix. It is certain to be
+    missing there only before that end: all of them are if this prefix ends first, and else those before the token
+    that is the least_met-th of this prefix in other prefixes, as so many stand in the other prefix.
+    """
+
+    def owned(kept: int, place: list, met: int) -> int:
+        if not met:
+            return 0
+        return kept - len(place) if len(place) < met else place[met - 1] - (met - 1)
 
     def one(size: int, token: list, place: list, df: list, group) -> Iterator[tuple[int, int, int]]:
         need = _tau(size, percent) + 1
@@ -200,8 +229,8 @@ def _signatures(percent: int, rare_df: int):
             order = np.lexsort((place, row))
             group = (mix(token.view(U) + U(1)) >> U(8)).astype(np.int64)[order].tolist()
             token, place, df = token[order].tolist(), place[order].tolist(), df[order].tolist()
-            own = kept - np.diff(bounds)
             at = bounds - bounds[0]
+            own = np.array([owned(int(kept[i]), place[at[i] : at[i + 1]], _least_met(int(size[i]), percent)) for i in range(len(rep))], np.int64)
             first, second, bands, rows = [], [], [], []
             for i in np.flatnonzero(100 * (size - own) >= percent * size).tolist():
                 part = slice(at[i], at[i + 1])
@@ -324,7 +353,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
 
     labels = None
     lo, hi = 0, 1
-    # What two sets share is at most what neither has alone; that must suffice for the threshold.
+    # What two linked sets share is at most what neither has alone; that must suffice for the threshold.
     room = lambda a, b: F.least(F.col(f"{a}size") - F.col(f"{a}own"), F.col(f"{b}size") - F.col(f"{b}own"))
     may = lambda a, b: 100 * room(a, b) >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - room(a, b))
     while True:

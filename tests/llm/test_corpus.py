@@ -259,3 +259,17 @@ def test_pipeline(spark, tmp_path):
             assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted({c for _, _, c in want})
         before = after
     assert before.count() > 0
+
+
+def test_jaccard_join_part_of_longer_text(spark):
+    """Isolated pairs at the threshold, where one text is all of the other but a passage."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(600):
+        n = int(rng.integers(8, 90))
+        words = [f"p{k}x{i}" for i in range(100 * n // 80 + 4)]
+        more = (n * 100) // 80 - n  # shingles of the longer text beside those of the shorter one
+        cut = 0 if k % 2 else more
+        rows += [(2 * k, " ".join(words[: n + more + 4])), (2 * k + 1, " ".join(words[cut : cut + n + 4]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, 5, 80).collect()), key=str) == components_of(rows, 5, 80)
