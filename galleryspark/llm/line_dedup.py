@@ -1,13 +1,13 @@
-"""Deletion of repeated runs of lines by winnowing (built-in functions only).
+"""Deletion of repeated runs of lines by hashes of all shortest runs (built-in functions only).
 
 A text is cut into lines, and lines after sentence ends, so that long one-line texts have units too; the units
-joined again are the text. Every window of WINDOW units selects its smallest unit hash (of units with at least
-MIN_UNIT_WORDS words) as a fingerprint: two texts that share a run of WINDOW such units share a fingerprint, whatever surrounds
-the run. A fingerprint that is new in its document is compared with its first occurrence in the corpus, a later one
-with the one before it in the same document, so matches grow with the input and not with the square of a group.
-A match names a diagonal of two documents; along it, equal units are joined in both directions into maximal runs,
-and runs of at least MIN_RUN_WORDS words are deleted from the later place. Each deleted unit equals one at an
-earlier place, so the first copy of everything stays.
+joined again are the text. From every unit on, the shortest run of units that has MIN_RUN_WORDS words is a window, and
+so is the shortest one up to every unit. A window depends on nothing but its own units: two texts, or two places of
+one text, that share a run of at least MIN_RUN_WORDS words share windows that cover all of it, whatever surrounds the
+run, however long its units are and wherever else parts of it stand. The units of every window that stands at an
+earlier place too are deleted. Each deleted unit equals one at an earlier place, so the first copy of everything stays.
+
+Every window is compared with its first place only, so matches grow with the input and not with the square of a group.
 
 Order is (doc_id, hash of the text, position), null doc_ids first. Cases: null and empty texts stay as they are; rows
 equal in doc_id and text are one document and get the same result as often as they occur; surrounding white
@@ -21,10 +21,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from galleryspark.llm.common import fresh, store
 
+#: Of the winnowing rule that this one replaces: it deletes no unit that the windows do not. Tests compare with it.
 WINDOW = 3
 MIN_UNIT_WORDS = 4
+
 MIN_RUN_WORDS = 30
 _CUT = r"(?<=\n)|(?<=[.!?] )"
+_CHUNK = 128
+_PLACES = 1 << 32
 
 
 def _units(text: Column) -> Column:
@@ -35,39 +39,49 @@ def _key(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("t"))
 
 
-def _fingerprints(units: DataFrame) -> DataFrame:
-    """(key, n, h, at, prev): the selected units of every document; prev is the last selected place of the same hash."""
-    rated = units.select(
-        "key",
-        "h",
-        F.transform("h", lambda h, i: F.when(F.get(F.col("w"), i) >= MIN_UNIT_WORDS, F.struct(h.alias("h"), i.alias("at")))).alias("rated"),
-    )
-    # An array that a lambda reads must be a column with several uses, or Spark makes it anew for every element.
-    window = lambda i: F.array(*[F.get(F.col("rated"), i + k) for k in range(WINDOW)])
-    starts = F.slice("rated", 1, F.greatest(F.size("rated") - (WINDOW - 1), F.lit(1)))
-    places = F.array_distinct(F.transform(starts, lambda _, i: F.array_min(window(i))["at"]))
-    chosen = F.transform(F.filter(places, lambda at: at.isNotNull()), lambda at: F.struct(F.get(F.col("h"), at).alias("h"), at.alias("at")))
-    ranked = rated.select("key", F.size("h").alias("n"), F.sort_array(chosen).alias("ranked"))
-    before = lambda i: F.get(F.col("ranked"), i - 1)
-    chained = F.transform(
-        "ranked", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.when(before(i)["h"] == x["h"], before(i)["at"]).alias("prev"))
-    )
-    return ranked.select("key", "n", F.explode(chained).alias("f")).select("key", "n", "f.h", "f.at", "f.prev")
+def _start(p: Column) -> Column:
+    return F.shiftright(p, 32)
+
+
+def _end(p: Column) -> Column:
+    return p.bitwiseAND(F.lit(_PLACES - 1))
 
 
-def _with_runs(lines: DataFrame) -> DataFrame:
-    """(key, runs): along each diagonal the maximal runs [s, e) of equal units that have enough words.
+def _sums(values: Column) -> Column:
+    """0 and the running sums of an array of at most a few hundred numbers."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    ``lines`` has the unit hashes ``h`` and word counts ``w`` of the document and ``b``, the units that face those from ``low`` on.
+
+def _windows(units: DataFrame) -> DataFrame:
+    """(d, t, h, p): the hash h and the places [s, e) of every window of ``units`` (key, h, w); p is s * _PLACES + e.
+
+    An array that a lambda reads must be a column with several uses, or Spark makes it anew for every element. No
+    filter may stand here: Spark would move it down to the texts and compute for it what it asks about once more.
     """
-    lines = lines.withColumn("high", F.least(F.size("h"), F.col("low") + F.size("b"))).where("high > low")
-    apart = F.filter(F.sequence(F.col("low"), F.col("high") - 1), lambda i: F.get(F.col("h"), i) != F.get(F.col("b"), i - F.col("low")))
-    lines = lines.select("key", "w", F.concat(F.array(F.col("low") - 1), apart, F.array("high")).alias("edges"))
-    runs = F.transform(
-        F.slice("edges", 1, F.size("edges") - 1), lambda at, k: F.struct((at + 1).alias("s"), F.get(F.col("edges"), k + 1).alias("e"))
+    # running sums of the word counts, in chunks, so that the work is no square of a text's length
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _CHUNK).cast("int")), lambda k: _sums(F.slice("w", k * _CHUNK + 1, _CHUNK)))
+    units = units.select("key", "h", "w", chunks.alias("chunks"))
+    units = units.select("key", "h", "w", "chunks", _sums(F.transform("chunks", lambda x: F.element_at(x, -1))).alias("before"))
+    starts = F.flatten(
+        F.transform("chunks", lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda n: n + F.get(F.col("before"), k)))
     )
-    count = lambda r: F.aggregate(F.slice(F.col("w"), r["s"] + 1, r["e"] - r["s"]), F.lit(0), lambda n, w: n + w)
-    return lines.select("key", F.filter(runs, lambda r: (r["e"] > r["s"]) & (count(r) >= MIN_RUN_WORDS)).alias("runs"))
+    total = F.element_at("before", -1)
+    units = units.select(
+        "key",
+        "h",
+        F.concat(starts, F.array(total)).alias("c"),  # words before every unit, and in all
+        F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n))).alias("u"),  # the unit of every word
+    )
+    start = lambda i: F.get(F.col("c"), i)
+    unit = lambda at: F.get(F.col("u"), at)
+    # numbers, since array_distinct compares structs pair by pair
+    ahead = F.transform("h", lambda _, i: i * F.lit(_PLACES) + unit(start(i) + (MIN_RUN_WORDS - 1)) + 1)
+    back = F.transform("h", lambda _, i: unit(start(i + 1) - MIN_RUN_WORDS) * F.lit(_PLACES) + i + 1)
+    places = F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull())
+    units = units.select("key", "h", places.alias("places"))
+    own = lambda p: F.slice(F.col("h"), (_start(p) + 1).cast("int"), (_end(p) - _start(p)).cast("int"))
+    hashed = F.transform("places", lambda p: F.struct(F.xxhash64(own(p)).alias("h"), p.alias("p")))
+    return units.select("key", F.explode(hashed).alias("x")).select("key.d", "key.t", "x.h", "x.p")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,22 +92,18 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.transform("u", lambda u: F.xxhash64(F.btrim(u, F.lit(" \t\n\x0b\x0c\r")))).alias("h"),
         F.transform("u", lambda u: F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+"))).alias("w"),
     )
-    units = store(units.dropDuplicates(["key"]), "units")
-    marks = store(_fingerprints(units), "marks")
-    new = marks.where("prev is null").select("key", "n", "h", "at")
-    first = new.groupBy("h").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs")
-    across = new.join(first, "h").where("key <> first.key").select(
-        "key", "n", F.col("first.key").alias("other"), (F.col("at") - F.col("first.at")).alias("shift")
-    )
-    within = marks.where("prev is not null").select("key", "n", F.col("key").alias("other"), (F.col("at") - F.col("prev")).alias("shift"))
-    lines = across.union(within).distinct()
-    # of the other document only what can face this one travels on
-    facing = F.slice(F.col("h"), F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("n"))
-    lines = lines.join(units.select(F.col("key").alias("other"), "h"), "other").select("key", "shift", facing.alias("b"))
-    lines = lines.join(units, "key")
-    lines = lines.withColumn("low", F.greatest(F.col("shift"), F.lit(0)))
-    found = _with_runs(lines).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"))
-    return found.where(F.size("runs") > 0)  # above the aggregate: below it, Spark would compute the runs twice
+    windows = store(_windows(units), "windows")
+    place = F.struct("d", "t", "p")
+    first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, "h").where(place > F.col("first"))
+    key = F.struct("d", "t").alias("key")
+    # Windows in the order of their starts are in the order of their ends too: a run ends where the next window starts later.
+    found = later.groupBy(key).agg(F.sort_array(F.collect_set("p")).alias("all"))
+    at = lambda k: F.get(F.col("all"), k)
+    heads = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda k: (k == 0) | (_start(at(k)) > _end(at(k - 1))))
+    found = found.select("key", "all", heads.alias("heads"))
+    run = lambda k, j: F.struct(_start(at(k)).alias("s"), _end(at(F.coalesce(F.get(F.col("heads"), j + 1), F.size("all")) - 1)).alias("e"))
+    return found.select("key", F.transform("heads", run).alias("runs"))
 
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:

@@ -90,3 +90,34 @@ def test_empty(spark):
 def test_whole_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     check(spark, [(r["doc_id"], r["text"], None, None) for r in docs])
+
+
+def without_repeats(spark, texts):
+    """New texts by doc_id, held against a comparison with all earlier places of all texts."""
+    got = drop_repeated_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in got.collect()}
+    units = [[u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u] for t in texts]
+    place, earlier, gone = {}, [], set()
+    for d, us in enumerate(units):
+        for i, u in enumerate(us):
+            for e, j in place.get(u.strip(), []):
+                n = 0
+                while i + n < len(us) and j + n < len(units[e]) and us[i + n].strip() == units[e][j + n].strip():
+                    n += 1
+                if sum(len(x.split()) for x in us[i : i + n]) >= MIN_RUN_WORDS:
+                    gone.update((d, i + k) for k in range(n))
+            place.setdefault(u.strip(), []).append((d, i))
+    assert got == {d: "".join(u for i, u in enumerate(us) if (d, i) not in gone) for d, us in enumerate(units)}
+    return got
+
+
+def test_short_units(spark):
+    """Passages of units of one to three words, and of lines and blank lines in turn."""
+    verse = "".join(f"v{i} x\n" for i in range(40))
+    shout = "".join(f"s{i}!! " for i in range(60))
+    table = "".join(f"t{i}\n\n" for i in range(35))
+    got = without_repeats(
+        spark,
+        ["First own line of text\n" + verse + shout, "Another line stands here\n" + verse + "End of it\n", "Third text, " + "so. " + shout + "end", table, "x\n" + table + "y"],
+    )
+    assert got[1] == "Another line stands here\nEnd of it\n" and got[2] == "Third text, so. end" and got[4] == "x\ny"
