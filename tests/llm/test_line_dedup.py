@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from galleryspark.llm.line_dedup import MIN_RUN_WORDS, MIN_UNIT_WORDS, WINDOW, drop_repeated_runs
@@ -121,3 +122,14 @@ def test_short_units(spark):
         ["First own line of text\n" + verse + shout, "Another line stands here\n" + verse + "End of it\n", "Third text, " + "so. " + shout + "end", table, "x\n" + table + "y"],
     )
     assert got[1] == "Another line stands here\nEnd of it\n" and got[2] == "Third text, so. end" and got[4] == "x\ny"
+
+
+def test_parts_stand_alone_before(spark):
+    """Every unit of a shared passage stands alone in an earlier text too, or earlier in the same one; and random mixtures."""
+    passage = [sentence(300 + i) + " " for i in range(6)]
+    alone = [f"Before number {i} there is this. {u}And after number {i} that." for i, u in enumerate(passage)]
+    got = without_repeats(spark, alone + ["A first copy. " + "".join(passage) + "Its end.", passage[2] + "A second copy. " + "".join(passage) + "Another end."])
+    assert got[7] == passage[2] + "A second copy. Another end."
+    rng = np.random.default_rng(3)
+    some = [sentence(400 + i, int(n)) + " " for i, n in enumerate(rng.integers(1, 25, 12))] + ["\n"]
+    without_repeats(spark, ["".join(some[int(k)] for k in rng.integers(0, 13, rng.integers(1, 40))) for _ in range(60)])
