@@ -133,3 +133,11 @@ def test_parts_stand_alone_before(spark):
     rng = np.random.default_rng(3)
     some = [sentence(400 + i, int(n)) + " " for i, n in enumerate(rng.integers(1, 25, 12))] + ["\n"]
     without_repeats(spark, ["".join(some[int(k)] for k in rng.integers(0, 13, rng.integers(1, 40))) for _ in range(60)])
+
+
+def test_one_or_two_units(spark):
+    """One long unit, or two, between other neighbours in every text."""
+    for shared in (sentence(500, 55) + " ", sentence(501, 28) + " " + sentence(502, 27) + " "):
+        own = [[sentence(1000 + 10 * d + i) + " " for i in range(6)] for d in range(12)]
+        got = without_repeats(spark, ["".join(o[:3]) + shared + "".join(o[3:]) for o in own])
+        assert all(got[d] == "".join(o) for d, o in enumerate(own) if d)
