@@ -9,9 +9,11 @@ from galleryspark.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    lexical_search,
     line_dedup,
     lm_score,
     packing,
+    periodic_runs,
     quality_model,
     quality_rules,
     sharding,
@@ -65,6 +67,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_runs(docs, removed="n_removed")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_tails(documents(spark, sf_dir).select("doc_id", "text"))
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(docs.select("doc_id", "text")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lexical_search.ranked_search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -76,6 +88,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
@@ -83,6 +97,7 @@ ORACLE = {
     "op6_quality_rules": quality_rules.REPORT_SQL,
     "op8_sharding": sharding.placement_sql(),
     "op9_chat_format": chat_format.DIGEST_SQL,
+    "op13_lexical_search": lexical_search.RANKED_SQL,
     "op1_jaccard_join": r"""
 with recursive t as (select doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
 g as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i : i + 2], ' ') end as g
