@@ -17,6 +17,7 @@ from galleryspark.llm import (
     quality_model,
     quality_rules,
     sharding,
+    toxicity,
 )
 from galleryspark.llm.common import documents
 
@@ -67,6 +68,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_runs(docs, removed="n_removed")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels, _fold(5) != 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_tails(documents(spark, sf_dir).select("doc_id", "text"))
     return periodic_runs.run_digest(periodic_runs.periodic_runs(docs.select("doc_id", "text")))
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_lexical_search": op13_lexical_search,
 }
