@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +18,42 @@ def store(df: DataFrame, name: str) -> DataFrame:
     lost executor costs no more than the tasks that it was running."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[stored] = path
+    return stored
+
+
+#: The folder of every stored table that is still referred to, and the folders made since ``folders_made`` was entered.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The list that gets the folder of every ``store`` inside the block."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no later job reads."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables made by ``store`` that nothing reads any more (other frames and None are left alone)."""
+    for df in stored:
+        path = None if df is None else _FOLDERS.pop(df, None)
+        if path:
+            delete_folders(df.sparkSession, [path])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +116,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         after = store(small, "links")
         mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
         if links.agg(*mark).first() == after.agg(*mark).first():
+            discard(after)
             break
+        discard(links)
         links = after
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -1,38 +1,58 @@
-"""Deletion of repeated runs of lines by hashes of all shortest runs (built-in functions only).
+"""Deletion of repeated runs of lines by winnowing over line hashes (built-in functions only).
 
 A text is cut into lines, and lines after sentence ends, so that long one-line texts have units too; the units
 joined again are the text. From every unit on, the shortest run of units that has MIN_RUN_WORDS words is a window, and
 so is the shortest one up to every unit. A window depends on nothing but its own units: two texts, or two places of
 one text, that share a run of at least MIN_RUN_WORDS words share windows that cover all of it, whatever surrounds the
-run, however long its units are and wherever else parts of it stand. The units of every window that stands at an
-earlier place too are deleted. Each deleted unit equals one at an earlier place, so the first copy of everything stays.
+run, however long its units are and wherever else parts of it stand.
+
+The smallest unit hash of a window is its fingerprint, so equal windows have equal fingerprints, and neighbouring
+windows mostly share theirs: a text is stored as stretches of windows of one fingerprint. Fingerprints are counted; only the
+stretches of those that occur again are joined, window by window, with the window's first place. A match
+extends both ways by the union of the windows that meet, and the units of every window that stands at an earlier place
+too are deleted. Each deleted unit equals one at an earlier place, so the first copy of everything stays.
 
 Every window is compared with its first place only, so matches grow with the input and not with the square of a group.
 
 Order is (doc_id, hash of the text, position), null doc_ids first. Cases: null and empty texts stay as they are; rows
 equal in doc_id and text are one document and get the same result as often as they occur; surrounding white
 space does not count in comparisons; a text that is deleted whole becomes empty, its row stays. Other columns
-pass through, no name can clash.
+pass through, no name can clash. The work on a text grows with its length, also where much of it is repeated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from galleryspark.llm.common import fresh, store
-
-#: Of the winnowing rule that this one replaces: it deletes no unit that the windows do not. Tests compare with it.
-WINDOW = 3
-MIN_UNIT_WORDS = 4
+from galleryspark.llm.common import discard, fresh, store
 
 MIN_RUN_WORDS = 30
 _CUT = r"(?<=\n)|(?<=[.!?] )"
+_ENDS = ("\n", ". ", "! ", "? ")
+_SEAM = "\u0001"
+_WHITE = " \t\n\x0b\x0c\r"
 _CHUNK = 128
 _PLACES = 1 << 32
 
 
 def _units(text: Column) -> Column:
-    return F.array_remove(F.split(text, _CUT), "")
+    """The units of a text: a mark is set after every end and the text split there, unless it has such a mark of its own."""
+    marked = text
+    for end in _ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + _SEAM))
+    cut = F.when(F.contains(text, F.lit(_SEAM)), F.split(text, _CUT)).otherwise(F.split(marked, _SEAM))
+    return F.array_remove(cut, "")
+
+
+def _word_counts(units: Column, text: Column) -> Column:
+    """Words of every trimmed unit. In a text with no white space but single spaces and line ends, spaces tell the number."""
+    odd = F.contains(text, F.lit("  "))
+    for space in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(space))
+    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
+    return F.when(odd, F.transform(units, lambda u: F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")))).otherwise(
+        F.transform(units, lambda u: F.when(u == "", 0).otherwise(spaces(u) + 1))
+    )
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -52,8 +72,12 @@ def _sums(values: Column) -> Column:
     return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def _windows(units: DataFrame) -> DataFrame:
-    """(d, t, h, p): the hash h and the places [s, e) of every window of ``units`` (key, h, w); p is s * _PLACES + e.
+def _stretches(units: DataFrame) -> DataFrame:
+    """(d, t, f, hs, ps, m) of every text of ``units`` (key, h, w): its windows by the order of their places.
+
+    Neighbouring windows of one fingerprint are a stretch: f has its fingerprint, hs the hashes of the windows and ps their
+    places, s * _PLACES + e for the units [s, e). m has the fingerprints once for each stretch, twice where
+    a window repeats inside one.
 
     An array that a lambda reads must be a column with several uses, or Spark makes it anew for every element. No
     filter may stand here: Spark would move it down to the texts and compute for it what it asks about once more.
@@ -77,25 +101,42 @@ def _windows(units: DataFrame) -> DataFrame:
     # numbers, since array_distinct compares structs pair by pair
     ahead = F.transform("h", lambda _, i: i * F.lit(_PLACES) + unit(start(i) + (MIN_RUN_WORDS - 1)) + 1)
     back = F.transform("h", lambda _, i: unit(start(i + 1) - MIN_RUN_WORDS) * F.lit(_PLACES) + i + 1)
-    places = F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull())
+    places = F.sort_array(F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull()))
     units = units.select("key", "h", places.alias("places"))
     own = lambda p: F.slice(F.col("h"), (_start(p) + 1).cast("int"), (_end(p) - _start(p)).cast("int"))
-    hashed = F.transform("places", lambda p: F.struct(F.xxhash64(own(p)).alias("h"), p.alias("p")))
-    return units.select("key", F.explode(hashed).alias("x")).select("key.d", "key.t", "x.h", "x.p")
+    units = units.select(
+        "key",
+        "places",
+        F.transform("places", lambda p: F.xxhash64(own(p))).alias("hashes"),
+        F.transform("places", lambda p: F.array_min(own(p))).alias("least"),
+    )
+    at = lambda i: F.get(F.col("least"), i)
+    every = F.when(F.size("least") > 0, F.sequence(F.lit(0), F.size("least") - 1)).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(every, lambda i: (i == 0) | (at(i) != at(i - 1)))
+    units = units.select("key", "places", "hashes", "least", heads.alias("heads"))
+    cut = lambda c: F.transform("heads", lambda i, j: F.slice(c, i + 1, F.coalesce(F.get(F.col("heads"), j + 1), F.size(c)) - i))
+    units = units.select("key", F.transform("heads", at).alias("f"), cut("hashes").alias("hs"), cut("places").alias("ps"))
+    repeats = lambda j: F.size(F.array_distinct(F.get(F.col("hs"), j))) < F.size(F.get(F.col("hs"), j))
+    return units.select("key.d", "key.t", "f", "hs", "ps", F.concat("f", F.filter("f", lambda _, j: repeats(j))).alias("m"))
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, runs): per document the runs [s, e) of unit places that repeat an earlier place."""
-    units = docs.select(_key(doc_id, text).alias("key"), _units(F.col(text).cast("string")).alias("u")).where(F.size("u") > 0)
-    units = units.select(
-        "key",
-        F.transform("u", lambda u: F.xxhash64(F.btrim(u, F.lit(" \t\n\x0b\x0c\r")))).alias("h"),
-        F.transform("u", lambda u: F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+"))).alias("w"),
-    )
-    windows = store(_windows(units), "windows")
+    value = F.col(text).cast("string")
+    units = docs.select(_key(doc_id, text).alias("key"), value.alias("text"), _units(value).alias("u")).where(F.size("u") > 0)
+    units = units.select("key", "text", F.transform("u", lambda u: F.btrim(u, F.lit(_WHITE))).alias("u"))
+    units = units.select("key", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), _word_counts(F.col("u"), F.col("text")).alias("w"))
+    stretches = store(_stretches(units), "stretches")
+    often = stretches.select(F.explode("m").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
+    often = store(often, "often")
+    each = stretches.select("d", "t", F.explode(F.arrays_zip("f", "hs", "ps")).alias("x")).select("d", "t", "x.*")
+    shared = store(each.join(often, "f").select("d", "t", "hs", "ps"), "shared")
+    discard(stretches, often)
+    windows = shared.select("d", "t", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("d", "t", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
     place = F.struct("d", "t", "p")
     first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, "h").where(place > F.col("first"))
+    # Stored, so that both sides of the join are read anew and Spark can split the partition of a frequent window.
+    later = windows.join(store(first, "first"), "h").where(place > F.col("first"))
     key = F.struct("d", "t").alias("key")
     # Windows in the order of their starts are in the order of their ends too: a run ends where the next window starts later.
     found = later.groupBy(key).agg(F.sort_array(F.collect_set("p")).alias("all"))
@@ -108,15 +149,19 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``; ``removed`` names a column for the number of deleted units."""
-    key, runs, gone = (fresh(docs, x) for x in ("_key", "_runs", "_gone"))
+    key, runs, units, rest = (fresh(docs, x) for x in ("_key", "_runs", "_units", "_rest"))
     found = repeated_runs(docs, doc_id, text).withColumnsRenamed({"key": key, "runs": runs})
     joined = docs.withColumn(key, _key(doc_id, text)).join(found, key, "left")
-    inside = lambda i: F.exists(F.col(runs), lambda r: (r["s"] <= i) & (i < r["e"]))
-    rest = F.filter(_units(F.col(text)), lambda _, i: ~inside(i))
-    joined = joined.withColumn(gone, F.when(F.col(runs).isNull(), None).otherwise(rest))
-    new_text = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(gone, ""))
+    joined = joined.withColumn(units, F.when(F.col(runs).isNotNull(), _units(F.col(text).cast("string"))))
+    # what stands before every run, and after the last one
+    end = lambda k: F.coalesce(F.get(F.col(runs), k)["e"], F.lit(0))
+    gaps = F.transform(runs, lambda r, k: F.slice(F.col(units), (end(k - 1) + 1).cast("int"), (r["s"] - end(k - 1)).cast("int")))
+    last = F.element_at(F.col(runs), -1)["e"]
+    tail = F.slice(F.col(units), (last + 1).cast("int"), (F.size(units) - last).cast("int"))
+    joined = joined.withColumn(rest, F.concat(F.flatten(gaps), tail))
+    new_text = F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.array_join(rest, ""))
     columns = [new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        count = F.when(F.col(gone).isNull(), 0).otherwise(F.size(_units(F.col(text))) - F.size(gone))
+        count = F.when(F.col(runs).isNull(), 0).otherwise(F.size(units) - F.size(rest))
         columns.append(count.cast("long").alias(removed))
     return joined.select(*columns)
