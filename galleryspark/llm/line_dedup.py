@@ -31,7 +31,6 @@ _CUT = r"(?<=\n)|(?<=[.!?] )"
 _ENDS = ("\n", ". ", "! ", "? ")
 _SEAM = "\u0001"
 _WHITE = " \t\n\x0b\x0c\r"
-_CHUNK = 128
 _PLACES = 1 << 32
 
 
@@ -49,7 +48,7 @@ def _word_counts(units: Column, text: Column) -> Column:
     odd = F.contains(text, F.lit("  "))
     for space in "\t\x0b\x0c\r":
         odd = odd | F.contains(text, F.lit(space))
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
+    spaces = lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit("")))
     return F.when(odd, F.transform(units, lambda u: F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")))).otherwise(
         F.transform(units, lambda u: F.when(u == "", 0).otherwise(spaces(u) + 1))
     )
@@ -67,71 +66,62 @@ def _end(p: Column) -> Column:
     return p.bitwiseAND(F.lit(_PLACES - 1))
 
 
-def _sums(values: Column) -> Column:
-    """0 and the running sums of an array of at most a few hundred numbers."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def _own(hashes: str, p: Column) -> Column:
+    """The hashes of the units of a place."""
+    return F.slice(hashes, (_start(p) + 1).cast("int"), (_end(p) - _start(p)).cast("int"))
 
 
 def _stretches(units: DataFrame) -> DataFrame:
-    """(d, t, f, hs, ps, m) of every text of ``units`` (key, h, w): its windows by the order of their places.
+    """(d, t, f, part, ps, m) of every text of ``units`` (key, h, w): its windows by the order of their places.
 
-    Neighbouring windows of one fingerprint are a stretch: f has its fingerprint, hs the hashes of the windows and ps their
-    places, s * _PLACES + e for the units [s, e). m has the fingerprints once for each stretch, twice where
-    a window repeats inside one.
+    Neighbouring windows of one fingerprint are a stretch: f has its fingerprint, ps the places of its windows, s * _PLACES + e
+    for the units [s, e), and part the hashes of the units from the first window's start to the last one's end. m has
+    the fingerprints once for each stretch, twice where the unit stands in it twice, so that a window may repeat inside.
 
     An array that a lambda reads must be a column with several uses, or Spark makes it anew for every element. No
-    filter may stand here: Spark would move it down to the texts and compute for it what it asks about once more.
+    filter on what is made here may follow: Spark would move it down to the texts and make it once more.
     """
-    # running sums of the word counts, in chunks, so that the work is no square of a text's length
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _CHUNK).cast("int")), lambda k: _sums(F.slice("w", k * _CHUNK + 1, _CHUNK)))
-    units = units.select("key", "h", "w", chunks.alias("chunks"))
-    units = units.select("key", "h", "w", "chunks", _sums(F.transform("chunks", lambda x: F.element_at(x, -1))).alias("before"))
-    starts = F.flatten(
-        F.transform("chunks", lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda n: n + F.get(F.col("before"), k)))
-    )
-    total = F.element_at("before", -1)
-    units = units.select(
-        "key",
-        "h",
-        F.concat(starts, F.array(total)).alias("c"),  # words before every unit, and in all
-        F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n))).alias("u"),  # the unit of every word
-    )
-    start = lambda i: F.get(F.col("c"), i)
+    # For every unit -1, and its number for each of its words: the k-th -1 stands k places after the words before unit k.
+    marks = F.flatten(F.transform("w", lambda n, i: F.concat(F.array(F.lit(-1)), F.array_repeat(i, n))))
+    units = units.select("key", "h", "w", marks.alias("marks"))
+    of_words = F.flatten(F.transform("w", lambda n, i: F.array_repeat(i, n)))
+    heads = F.filter(F.transform("marks", lambda x, k: F.when(x < 0, k)), lambda k: k.isNotNull())
+    units = units.select("key", "h", of_words.alias("u"), F.concat(heads, F.array(F.size("marks"))).alias("heads"))
+    start = lambda i: F.get(F.col("heads"), i) - i  # noqa: E731  the words before unit i
     unit = lambda at: F.get(F.col("u"), at)
     # numbers, since array_distinct compares structs pair by pair
     ahead = F.transform("h", lambda _, i: i * F.lit(_PLACES) + unit(start(i) + (MIN_RUN_WORDS - 1)) + 1)
     back = F.transform("h", lambda _, i: unit(start(i + 1) - MIN_RUN_WORDS) * F.lit(_PLACES) + i + 1)
     places = F.sort_array(F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull()))
     units = units.select("key", "h", places.alias("places"))
-    own = lambda p: F.slice(F.col("h"), (_start(p) + 1).cast("int"), (_end(p) - _start(p)).cast("int"))
-    units = units.select(
-        "key",
-        "places",
-        F.transform("places", lambda p: F.xxhash64(own(p))).alias("hashes"),
-        F.transform("places", lambda p: F.array_min(own(p))).alias("least"),
-    )
+    units = units.select("key", "h", "places", F.transform("places", lambda p: F.array_min(_own("h", p))).alias("least"))
     at = lambda i: F.get(F.col("least"), i)
     every = F.when(F.size("least") > 0, F.sequence(F.lit(0), F.size("least") - 1)).otherwise(F.array().cast("array<int>"))
     heads = F.filter(every, lambda i: (i == 0) | (at(i) != at(i - 1)))
-    units = units.select("key", "places", "hashes", "least", heads.alias("heads"))
-    cut = lambda c: F.transform("heads", lambda i, j: F.slice(c, i + 1, F.coalesce(F.get(F.col("heads"), j + 1), F.size(c)) - i))
-    units = units.select("key", F.transform("heads", at).alias("f"), cut("hashes").alias("hs"), cut("places").alias("ps"))
-    repeats = lambda j: F.size(F.array_distinct(F.get(F.col("hs"), j))) < F.size(F.get(F.col("hs"), j))
-    return units.select("key.d", "key.t", "f", "hs", "ps", F.concat("f", F.filter("f", lambda _, j: repeats(j))).alias("m"))
+    units = units.select("key", "h", "places", "least", heads.alias("heads"))
+    ps = F.transform("heads", lambda i, j: F.slice("places", i + 1, F.coalesce(F.get(F.col("heads"), j + 1), F.size("places")) - i))
+    units = units.select("key", "h", F.transform("heads", at).alias("f"), ps.alias("ps"))
+    part = lambda p: _own("h", _start(F.element_at(p, 1)) * F.lit(_PLACES) + _end(F.element_at(p, -1)))
+    units = units.select("key", "f", "ps", F.transform("ps", part).alias("part"))
+    twice = F.filter("f", lambda f, j: F.size(F.filter(F.get(F.col("part"), j), lambda x: x == f)) > 1)
+    return units.select("key.d", "key.t", "f", "part", "ps", F.concat("f", twice).alias("m"))
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, runs): per document the runs [s, e) of unit places that repeat an earlier place."""
     value = F.col(text).cast("string")
-    units = docs.select(_key(doc_id, text).alias("key"), value.alias("text"), _units(value).alias("u")).where(F.size("u") > 0)
+    units = docs.where(F.octet_length(value) > 0).select(_key(doc_id, text).alias("key"), value.alias("text"), _units(value).alias("u"))
     units = units.select("key", "text", F.transform("u", lambda u: F.btrim(u, F.lit(_WHITE))).alias("u"))
     units = units.select("key", F.transform("u", lambda u: F.xxhash64(u)).alias("h"), _word_counts(F.col("u"), F.col("text")).alias("w"))
     stretches = store(_stretches(units), "stretches")
     often = stretches.select(F.explode("m").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     often = store(often, "often")
-    each = stretches.select("d", "t", F.explode(F.arrays_zip("f", "hs", "ps")).alias("x")).select("d", "t", "x.*")
-    shared = store(each.join(often, "f").select("d", "t", "hs", "ps"), "shared")
+    each = stretches.select("d", "t", F.explode(F.arrays_zip("f", "part", "ps")).alias("x")).select("d", "t", "x.*")
+    shared = store(each.join(often, "f").select("d", "t", "part", "ps"), "shared")
     discard(stretches, often)
+    based = F.transform("ps", lambda p: p - F.lit(_PLACES + 1) * _start(F.element_at("ps", 1)))  # places inside the part
+    shared = shared.select("d", "t", "part", "ps", based.alias("based"))
+    shared = shared.select("d", "t", "ps", F.transform("based", lambda p: F.xxhash64(_own("part", p))).alias("hs"))
     windows = shared.select("d", "t", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("d", "t", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
     place = F.struct("d", "t", "p")
     first = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

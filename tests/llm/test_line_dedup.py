@@ -1,58 +1,44 @@
-"""Line dedup against a plain Python version of the same rules."""
+"""Line dedup against a comparison of every unit with all earlier places of all texts."""
 
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from galleryspark.llm.line_dedup import MIN_RUN_WORDS, MIN_UNIT_WORDS, WINDOW, drop_repeated_runs
-
-
-def brute(docs, hashed):
-    """{(doc_id, text): new text}; ``hashed`` maps a stripped unit to its hash."""
-    cut = lambda t: [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t or "") if u]
-    keys = sorted({(-(1 << 63) if d is None else d, t) for d, t in docs if t}, key=lambda k: (k[0], hashed[k[1]]))
-    units = {k: cut(k[1]) for k in keys}
-    h = {k: [hashed[u.strip(" \t\n\x0b\x0c\r")] for u in us] for k, us in units.items()}
-    w = {k: [len(re.findall(r"[^\x20\x09-\x0D]+", u)) for u in us] for k, us in units.items()}
-    first, lines = {}, set()
-    for k in keys:
-        places = set()
-        for i in range(max(len(h[k]) - WINDOW + 1, 1)):
-            own = [(h[k][j], j) for j in range(i, min(i + WINDOW, len(h[k]))) if w[k][j] >= MIN_UNIT_WORDS]
-            if own:
-                places.add(min(own)[1])
-        last = {}
-        for at in sorted(places):
-            x = h[k][at]
-            if x in last:
-                lines.add((k, k, at - last[x]))
-            elif x in first:
-                lines.add((k, first[x][0], at - first[x][1]))
-            else:
-                first[x] = (k, at)
-            last[x] = at
-    gone = {k: set() for k in keys}
-    for k, other, shift in lines:
-        run = []
-        for i in range(max(shift, 0), len(h[k]) + 1):
-            if i < len(h[k]) and 0 <= i - shift < len(h[other]) and h[k][i] == h[other][i - shift]:
-                run.append(i)
-                continue
-            if sum(w[k][j] for j in run) >= MIN_RUN_WORDS:
-                gone[k].update(run)
-            run = []
-    return {k: "".join(u for i, u in enumerate(units[k]) if i not in gone[k]) for k in keys}
+from galleryspark.llm.line_dedup import MIN_RUN_WORDS, drop_repeated_runs
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def brute(keys):
+    """New texts of the documents ``keys`` (doc_id, text), in their order: a unit goes if it lies in a run that equals an
+    earlier one, of MIN_RUN_WORDS words or more."""
+    units = [[u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u] for _, t in keys]
+    bare = [[u.strip(WHITE) for u in us] for us in units]
+    words = [[len(re.findall(r"[^\x20\x09-\x0D]+", u)) for u in us] for us in units]
+    place, gone = {}, set()
+    for d, us in enumerate(bare):
+        for i, u in enumerate(us):
+            for e, j in place.get(u, []):
+                if i and j and us[i - 1] == bare[e][j - 1]:
+                    continue  # part of a longer run that was seen from its start
+                n = 0
+                while i + n < len(us) and j + n < len(bare[e]) and us[i + n] == bare[e][j + n]:
+                    n += 1
+                if sum(words[d][i : i + n]) >= MIN_RUN_WORDS:
+                    gone.update((d, i + k) for k in range(n))
+            place.setdefault(u, []).append((d, i))
+    return {k: "".join(u for i, u in enumerate(us) if (d, i) not in gone) for d, (k, us) in enumerate(zip(keys, units))}
 
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, runs int")
     got = drop_repeated_runs(docs, removed="n")
     assert got.columns == ["doc_id", "text", "key", "runs", "n"]
-    texts = {t for _, t, _, _ in rows if t}
-    parts = texts | {u.strip(" \t\n\x0b\x0c\r") for t in texts for u in re.split(r"(?<=\n)|(?<=[.!?] )", t)}
-    hashed = dict(spark.createDataFrame([(p,) for p in parts] or [("",)], "p string").select("p", F.xxhash64("p")).collect())
-    want = brute([(d, t) for d, t, _, _ in rows], hashed)
+    texts = [(t,) for t in {t for _, t, _, _ in rows if t}]
+    hashed = dict(spark.createDataFrame(texts or [("",)], "p string").select("p", F.xxhash64("p")).collect())
+    keys = sorted({(-(1 << 63) if d is None else d, t) for d, t, _, _ in rows if t}, key=lambda k: (k[0], hashed[k[1]]))
+    want = brute(keys)
     expect = sorted([(d, want[(-(1 << 63) if d is None else d, t)] if t else t) for d, t, _, _ in rows], key=str)
     assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == expect
     return {(d, t) for d, t in expect}
@@ -97,21 +83,31 @@ def without_repeats(spark, texts):
     """New texts by doc_id, held against a comparison with all earlier places of all texts."""
     got = drop_repeated_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r["doc_id"]: r["text"] for r in got.collect()}
-    units = [[u for u in re.split(r"(?<=\n)|(?<=[.!?] )", t) if u] for t in texts]
-    place, earlier, gone = {}, [], set()
-    for d, us in enumerate(units):
-        for i, u in enumerate(us):
-            for e, j in place.get(u.strip(), []):
-                n = 0
-                while i + n < len(us) and j + n < len(units[e]) and us[i + n].strip() == units[e][j + n].strip():
-                    n += 1
-                if sum(len(x.split()) for x in us[i : i + n]) >= MIN_RUN_WORDS:
-                    gone.update((d, i + k) for k in range(n))
-            place.setdefault(u.strip(), []).append((d, i))
-    assert got == {d: "".join(u for i, u in enumerate(us) if (d, i) not in gone) for d, us in enumerate(units)}
+    want = brute(list(enumerate(texts)))
+    assert got == {d: want[(d, t)] if t else t for d, t in enumerate(texts)}
     return got
 
 
+def test_white_space_and_marks(spark):
+    """Units between odd white space, and texts that hold the mark that is used for cutting."""
+    words = " ".join(f"q{i}" for i in range(35))
+    spaced = "  ".join(f"q{i}" for i in range(35))
+    tabbed = "\t".join(f"q{i}" for i in range(35))
+    got = without_repeats(spark, [words + ".\n", "\x01 first. " + words + ".\x0b\nlast", spaced + "\n\n", "a. " + spaced + " \r\n b", tabbed, tabbed + "\n" + words + "."])
+    assert got[1] == "\x01 first. last" and got[3] == "a.  b" and got[5] == ""
+
+
+def test_very_long_text(spark):
+    """A long text of repeated and own lines in turn, most of it repeated."""
+    line = lambda k: " ".join(f"k{k}w{i}" for i in range(12)) + "\n"
+    shared = [line(i) for i in range(4)]
+    parts = []
+    for k in range(4000):
+        parts += [line(10 + k), *shared]
+    got = without_repeats(spark, ["".join(shared) + "end\n", "".join(parts), "x " * 120_000 + "\n" + "".join(shared)])
+    assert got[1] == "".join(line(10 + k) for k in range(4000)) and got[2] == "x " * 120_000 + "\n"
+
+
 def test_short_units(spark):
     """Passages of units of one to three words, and of lines and blank lines in turn."""
     verse = "".join(f"v{i} x\n" for i in range(40))
