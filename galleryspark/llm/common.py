@@ -120,6 +120,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             break
         discard(links)
         links = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )
+    labels = store(labels, "labels")
+    discard(links)
+    return labels

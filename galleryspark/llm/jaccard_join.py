@@ -17,8 +17,8 @@ checked on the whole texts. Buckets of one hub are united before that where thei
 have apart, so texts that meet in very many buckets are compared in one.
 
 Cases: null, empty or blank texts have an empty set, no links, and are their own component. A null doc_id has no
-links and a null component. Rows that share a doc_id are one document with several texts; a link of any of them
-links it. Other columns are ignored, whatever their names. Ties do not occur: labels are minima.
+links and a null component. Rows that share a doc_id are one document with several texts, all of one component; a link
+of any of them links it. Other columns are ignored, whatever their names. Ties do not occur: labels are minima.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from galleryspark.llm.common import components, membership_bits, present, store
+from galleryspark.llm.common import components, discard, membership_bits, present, store
 from galleryspark.llm.hashing import U, mix, ngrams, blocks, shingle_sets, words
 
 HOT_SHARE = 4096  # a token in more than 1/4096 of the documents is hot: at most 4096 x the mean set size of them
@@ -167,7 +167,7 @@ def _sets(n: int, percent: int, hot):
 
 
 def _postings(bits):
-    """(token, rep, place, size, kept) of prefix tokens that may be in another set."""
+    """(token, rep, place, size, kept, d1) of prefix tokens that may be in another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +177,10 @@ def _postings(bits):
             row = np.repeat(np.arange(len(lists)), lengths)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = present(bits.value, flat)
-            rep, size, kept = (batch.column(i).to_numpy()[row[keep]] for i in (0, 1, 3))
+            rep, size, kept, d1 = (batch.column(i).to_numpy()[row[keep]] for i in (0, 1, 3, 4))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (flat[keep], rep, place[keep].astype(np.int32), size, kept)],
-                names=["token", "rep", "place", "size", "kept"],
+                [pa.array(x) for x in (flat[keep], rep, place[keep].astype(np.int32), size, kept, d1)],
+                names=["token", "rep", "place", "size", "kept", "d1"],
             )
 
     return run
@@ -316,7 +316,9 @@ def _merged_by_hub(live: DataFrame, band: int) -> DataFrame:
     merged = united.join(chosen, hub).select(
         F.xxhash64("hub", "hub_size").alias("sig"), F.lit(band).alias("band"), "rep", "size", "own", "label", F.col("together").alias("members"), *hub
     )
-    return live.join(chosen, hub, "left_anti").select(*merged.columns).union(merged)
+    result = store(live.join(chosen, hub, "left_anti").select(*merged.columns).union(merged), "live")
+    discard(united, chosen)
+    return result
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df: int = 3) -> DataFrame:
@@ -334,25 +336,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
     prefixes = (
         sets.join(classes.withColumn("doc_id", F.col("rep")), [*one, "doc_id"], "left_semi")
         .where("n_shingles > 1")
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.size("prefix").cast("long").alias("kept"), "prefix", *sketch)
-        .dropDuplicates(["rep", "size"])
+        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.size("prefix").cast("long").alias("kept"), "prefix", "d1", "d2", *sketch)
+        .dropDuplicates(["rep", "size", "d1", "d2"])
     )
     prefixes = store(prefixes, "prefixes")
 
     often = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     often = store(often, "often")
     bits = share(membership_bits(often, F.col("token")))
-    postings = prefixes.select("rep", "size", "prefix", "kept").mapInArrow(_postings(bits), "token long, rep long, place int, size long, kept long")
+    postings = prefixes.select("rep", "size", "prefix", "kept", "d1")
+    postings = postings.mapInArrow(_postings(bits), "token long, rep long, place int, size long, kept long, d1 long")
     signatures = (
         postings.join(often, "token")
-        .groupBy("rep", "size", "kept")
+        .groupBy("rep", "size", "kept", "d1")
         .agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))  # of one set's own prefix
+        .select("rep", "size", "kept", "items")
         .mapInArrow(_signatures(percent, rare_df), "sig long, band int, rep long, size long, own long")
     )
     index = store(signatures, "index")
+    discard(often)
 
-    labels = None
+    several = _several_texts(sets, classes)
+    labels = None if several is None else components(several, "low", "rep")
     lo, hi = 0, 1
+    live, whole = None, index  # what the next round reads
     # What two linked sets share is at most what neither has alone; that must suffice for the threshold.
     room = lambda a, b: F.least(F.col(f"{a}size") - F.col(f"{a}own"), F.col(f"{b}size") - F.col(f"{b}own"))
     may = lambda a, b: 100 * room(a, b) >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - room(a, b))
@@ -378,11 +385,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
             buckets = buckets.where(F.col("members") >= lo)
         buckets = buckets.groupBy("members", "k1", "k2").agg(F.min(F.struct("sig", "band", "h")).alias("b"))
         buckets = buckets.select("b.sig", "b.band", "members", F.col("b.h.rep").alias("hub"), F.col("b.h.own").alias("hub_own"), F.col("b.h.size").alias("hub_size"))
-        live = store(rows.join(buckets, ["sig", "band"]), "live")
+        before, live = live, store(rows.join(buckets, ["sig", "band"]), "live")
+        discard(before, whole)
         if live.isEmpty():
+            discard(live, prefixes)
             break
         if lo <= 1:  # before the first batch of hubs
-            live = store(_merged_by_hub(live, -1 - lo), "live")
+            apart, live = live, _merged_by_hub(live, -1 - lo)
+            discard(apart)
         if lo == 0:
             pairs = live.where((F.col("rep") != F.col("hub")) & may("", "hub_")).select(F.col("hub").alias("x"), F.col("rep").alias("y"))
         else:
@@ -400,19 +410,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, rare_df:
             pairs = drawn.join(hubs, ["sig", "band"]).where(met & may("", "x_") & near).select(F.col("x_rep").alias("x"), F.col("rep").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         found = _links(docs, prefixes, pairs, n, percent, hot)
-        labels = components(found if labels is None else found.union(labels.selectExpr("node as x", "label as y")), "x", "y")
-        labels = store(labels, "labels")
+        united, old = found if labels is None else found.union(labels.selectExpr("node as x", "label as y")), labels
+        labels = components(united, "x", "y")
+        discard(found, old)
+        left = live
         if lo == 0:  # the hub has met all others; what remains of a pair is no bucket any more
-            live = live.where((F.col("rep") != F.col("hub")) | (F.col("size") != F.col("hub_size")))
-        index = live.select(*index.columns)
+            left = live.where((F.col("rep") != F.col("hub")) | (F.col("size") != F.col("hub_size")) | (F.col("own") != F.col("hub_own")))
+        index = left.select(*index.columns)
         lo, hi = (1, BATCH_GROWTH) if lo == 0 else (hi + 1, hi * BATCH_GROWTH)
     ends = classes if labels is None else classes.join(labels, classes.rep == labels.node, "left")
     ends = ends.select(*one, (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("component"))
-    return sets.select("doc_id", *one).join(ends, one, "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    rows = sets.select("doc_id", *one).join(ends, one, "left")
+    if several is not None:  # an empty text of a document goes where its other texts are
+        place = several.join(labels, several.low == labels.node, "left").select("doc_id", F.coalesce("label", "low").alias("common")).distinct()
+        rows = rows.join(place, "doc_id", "left").withColumn("component", F.coalesce("common", "component"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _several_texts(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(doc_id, low, rep) for documents with texts of several classes: the smallest representative and another; None without any."""
+    filled = sets.where("n_shingles > 0 and doc_id is not null")
+    again = store(sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        discard(again)
+        return None
+    held = filled.join(again, "doc_id").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct()
+    held = store(held, "held")
+    low = held.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    return store(held.join(low, "doc_id").select("doc_id", "low", "rep"), "several")
 
 
 def _links(docs: DataFrame, prefixes: DataFrame, pairs: DataFrame, n: int, percent: int, hot) -> DataFrame:
@@ -436,4 +462,6 @@ def _links(docs: DataFrame, prefixes: DataFrame, pairs: DataFrame, n: int, perce
         texts.withColumnsRenamed({"doc_id": "y", "text": "ty"}), "y"
     )
     found = both.select("x", "y", "tx", "ty").mapInArrow(_linked(n, percent), "x long, y long").distinct()
-    return store(found, "found")
+    found = store(found, "found")
+    discard(near)
+    return found
