@@ -94,7 +94,18 @@ def _stretches(units: DataFrame) -> DataFrame:
     back = F.transform("h", lambda _, i: unit(start(i + 1) - MIN_RUN_WORDS) * F.lit(_PLACES) + i + 1)
     places = F.sort_array(F.filter(F.array_distinct(F.concat(ahead, back)), lambda p: p.isNotNull()))
     units = units.select("key", "h", places.alias("places"))
-    units = units.select("key", "h", "places", F.transform("places", lambda p: F.array_min(_own("h", p))).alias("least"))
+    # Smallest hashes of two and of four units from each one on: two of them cover a window of up to eight units.
+    ahead_of = lambda c, n: F.transform(c, lambda x, i: F.least(x, F.get(F.col(c), i + n)))
+    units = units.select("key", "h", "places", ahead_of("h", 1).alias("two"))
+    units = units.select("key", "h", "places", "two", ahead_of("two", 2).alias("four"))
+
+    def smallest(p: Column) -> Column:
+        s, e = _start(p).cast("int"), _end(p).cast("int")
+        cover = lambda c, n: F.least(F.get(F.col(c), s), F.get(F.col(c), e - n))
+        size = e - s
+        return F.when(size > 8, F.array_min(_own("h", p))).when(size >= 4, cover("four", 4)).when(size >= 2, cover("two", 2)).otherwise(cover("h", 1))
+
+    units = units.select("key", "h", "places", F.transform("places", smallest).alias("least"))
     at = lambda i: F.get(F.col("least"), i)
     every = F.when(F.size("least") > 0, F.sequence(F.lit(0), F.size("least") - 1)).otherwise(F.array().cast("array<int>"))
     heads = F.filter(every, lambda i: (i == 0) | (at(i) != at(i - 1)))
