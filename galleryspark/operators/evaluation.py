@@ -6,6 +6,7 @@ similarity means follow from class sums, so they never touch a pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,7 +20,8 @@ from galleryspark.operators.quantiles import exact_quantiles
 from galleryspark.session import cut_lineage
 
 AP_CELL_ROWS = 65_536  # galleries up to this size are ranked inside one cell
-THRESHOLDS = 4_096  # relevant scores carried by one row of the two-pass ranking
+AP_BINS = 256  # score bins that are counted per query and block
+THRESHOLDS = 4_096  # relevant scores of mixed bins carried by one row
 
 
 def precision_at_k(df: DataFrame, ks: Sequence[int], **names) -> DataFrame:
@@ -70,8 +72,8 @@ def item_ranking(
 ) -> DataFrame:
     """(id, label, ap, m<k>...): average precision and the matches among the first k, for every query.
 
-    While the gallery fits into a cell one ranking per query gives all of them; beyond, the matches come from
-    top-k lists.
+    A gallery of one cell is ranked there. Beyond, bins of scores are counted block by block and only mixed bins are
+    refined, and the matches come from top-k lists; both give the same rows.
     """
     items = df.select(F.col(id_col).alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
     asked = (items if queries is None else items.where(queries)).select(
@@ -83,7 +85,7 @@ def item_ranking(
     if n <= cell_rows:
         sums = _whole_ranking(asked, items, id_type, cell_rows, n, ks)
     else:
-        terms = _two_pass_ranking(asked, items, id_type, cell_rows)
+        terms = _block_ranking(asked, items, id_type, cell_rows)
         sums = terms.groupBy("query_id").agg(F.sum("gain").alias("gain"), F.sum("relevant").alias("relevant"))
         if ks:
             lists, _ = _top_lists(df, max(ks), id_col, vector, label, queries)
@@ -123,27 +125,96 @@ def _whole_ranking(asked, items, id_type, cell_rows, n, ks):
     return blocks.grid(asked, items, ["query_id"], ["id"], kernel, schema, cell_rows, 1024, n_right=n)
 
 
-def _two_pass_ranking(asked, items, id_type, cell_rows):
-    """Galleries beyond one cell: the first pass lists the relevant scores of a query per cell in
-    bounded rows, the second counts in every cell how many items precede each of them."""
+def _sum_arrays(column: str, size: Column | int) -> Column:
+    """Aggregate: element-wise sum of arrays of one length."""
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), size)
+    return F.aggregate(F.collect_list(column), zeros, lambda total, x: F.zip_with(total, x, lambda s, n: s + n))
+
+
+def _bins(value: np.ndarray) -> np.ndarray:
+    """Bin of a cosine; a smaller bin holds larger scores, equal scores share one."""
+    return np.clip(np.floor((1.0 - value) * (AP_BINS / 2)), 0, AP_BINS - 1).astype(np.int64)
+
+
+def _cell_of(lpdf: pd.DataFrame, rpdf: pd.DataFrame):
+    """The gallery side of a cell in id order, and (slice of queries, their scores, the item itself at -inf)."""
+    gallery = rpdf.sort_values("id", kind="stable")
+    ids, labels, gv = gallery["id"].to_numpy(), gallery["label"].to_numpy(), blocks.matrix(gallery["v"])
+
+    def scored(qid, qv):
+        for part in blocks.slices(len(qv), len(gv)):
+            value = _cosines(qv[part], gv)
+            value[qid[part][:, None] == ids[None, :]] = -np.inf
+            yield part, value
+
+    return ids, labels, scored
+
+
+def _block_ranking(asked, items, id_type, cell_rows) -> DataFrame:
+    """(query_id, gain, relevant) over a gallery of many blocks.
+
+    First every cell counts, per query, all and the relevant scores in AP_BINS bins; the counts of the blocks add up. A
+    bin of relevant items only (or without any) needs no more: its ranks follow from the counts before it. The relevant items of mixed bins
+    are listed in rows of at most THRESHOLDS, and a second count over the blocks gives the place of each; those counts add
+    up as arrays. So what is written is a histogram per query and block, and a number per relevant item of a mixed bin.
+    """
+    label_type, vector_type = dict(items.dtypes)["label"], dict(items.dtypes)["v"]
+
+    def count(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not lpdf.empty and not rpdf.empty:
+            ids, labels, scored = _cell_of(lpdf, rpdf)
+            qid, asked_label = lpdf["query_id"].to_numpy(), lpdf["asked"].to_numpy()
+            for part, value in scored(qid, blocks.matrix(lpdf["qv"])):
+                row, col = np.nonzero(np.isfinite(value))
+                spot = row * AP_BINS + _bins(value[row, col])
+                same = labels[col] == asked_label[part][row]
+                size = len(value) * AP_BINS
+                counts = [np.bincount(s, minlength=size).reshape(-1, AP_BINS) for s in (spot, spot[same])]
+                out.append(pd.DataFrame({"query_id": qid[part], "every": list(counts[0]), "same": list(counts[1])}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "every", "same"])
+
+    counts = blocks.grid(asked, items, ["query_id"], ["id"], count, f"query_id {id_type}, every array<long>, same array<long>", cell_rows, 1024)
+    merged = counts.groupBy("query_id").agg(_sum_arrays("every", AP_BINS).alias("every"), _sum_arrays("same", AP_BINS).alias("same"))
+
+    def settle(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            every, same = np.stack(pdf["every"].to_numpy()), np.stack(pdf["same"].to_numpy())
+            before, before_same = np.cumsum(every, axis=1) - every, np.cumsum(same, axis=1) - same
+            row, col = np.nonzero((same > 0) & (same == every))
+            n = same[row, col]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            at = np.repeat(row, n), np.repeat(col, n)
+            gain = np.bincount(at[0], (before_same[at] + place) / (before[at] + place), minlength=len(pdf))
+            mixed = [np.flatnonzero(m).astype(np.int32) for m in (same > 0) & (same < every)]
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "gain": gain, "relevant": same.sum(axis=1), "mixed": mixed})
+
+    settled = cut_lineage(merged.mapInPandas(settle, f"query_id {id_type}, gain double, relevant long, mixed array<int>"))
+    open_bins = asked.join(settled.where(F.size("mixed") > 0).select("query_id", "mixed"), "query_id")
 
     def list_relevant(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not lpdf.empty and not rpdf.empty:
-            gallery = rpdf.sort_values("id", kind="stable")
-            ids, labels, gv = gallery["id"].to_numpy(), gallery["label"].to_numpy(), blocks.matrix(gallery["v"])
-            qv = blocks.matrix(lpdf["qv"])
-            for i, row in enumerate(lpdf.itertuples(index=False)):
-                at = np.nonzero((labels == row.asked) & (ids != row.query_id))[0]
-                value = _cosines(qv[i : i + 1], gv[at])[0] if len(at) else np.empty(0)
-                for start in range(0, len(at), THRESHOLDS):
-                    chunk = slice(start, start + THRESHOLDS)
-                    out.append((row.query_id, row.qv, row.asked, ids[at[chunk]], value[chunk]))
+            ids, labels, scored = _cell_of(lpdf, rpdf)
+            qid, asked_label, vectors, mixed = (lpdf[c].to_numpy() for c in ("query_id", "asked", "qv", "mixed"))
+            wanted = np.zeros((len(lpdf), AP_BINS), bool)
+            wanted[np.repeat(np.arange(len(lpdf)), [len(m) for m in mixed]), np.concatenate(mixed)] = True
+            for part, value in scored(qid, blocks.matrix(lpdf["qv"])):
+                row, col = np.nonzero((labels[None, :] == asked_label[part][:, None]) & np.isfinite(value))
+                held = wanted[part][row, _bins(value[row, col])]
+                row, col = row[held], col[held]
+                edges = np.searchsorted(row, np.arange(len(value) + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    for start in range(edges[i], edges[i + 1], THRESHOLDS):
+                        chunk = col[start : min(start + THRESHOLDS, edges[i + 1])]
+                        k = part.start + i
+                        out.append((qid[k], vectors[k], asked_label[k], ids[chunk], value[i, chunk]))
         return pd.DataFrame(out, columns=["query_id", "qv", "asked", "ids", "value"])
 
-    label_type, vector_type = dict(items.dtypes)["label"], dict(items.dtypes)["v"]
     marks = blocks.grid(
-        asked, items, ["query_id"], ["id"], list_relevant,
+        open_bins, items, ["query_id"], ["id"], list_relevant,
         f"query_id {id_type}, qv {vector_type}, asked {label_type}, ids array<{id_type}>, value array<double>",
         cell_rows, 4096,
     )
@@ -153,15 +224,14 @@ def _two_pass_ranking(asked, items, id_type, cell_rows):
     def count_before(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not lpdf.empty and not rpdf.empty:
-            gallery = rpdf.sort_values("id", kind="stable")
-            ids, labels, gv = gallery["id"].to_numpy(), gallery["label"].to_numpy(), blocks.matrix(gallery["v"])
-            for row in lpdf.itertuples(index=False):
-                keep = ids != row.query_id
-                value = _cosines(np.asarray(row.qv, dtype=np.float64)[None, :], gv)[0][keep]
-                before = _preceding(value, ids[keep], row.value, row.ids)
-                same = labels[keep] == row.asked
-                before_same = _preceding(value[same], ids[keep][same], row.value, row.ids)
-                out.append((row.query_id, row.chunk, before, before_same))
+            ids, labels, scored = _cell_of(lpdf, rpdf)
+            qid, asked_label, chunk, value_of, ids_of = (lpdf[c].to_numpy() for c in ("query_id", "asked", "chunk", "value", "ids"))
+            for part, value in scored(qid, blocks.matrix(lpdf["qv"])):
+                for i, k in enumerate(range(part.start, part.start + len(value))):
+                    keep = np.isfinite(value[i])
+                    same = keep & (labels == asked_label[k])
+                    before, before_same = (_preceding(value[i][m], ids[m], value_of[k], ids_of[k]) for m in (keep, same))
+                    out.append((qid[k], chunk[k], before, before_same))
         return pd.DataFrame(out, columns=["query_id", "chunk", "before", "before_same"])
 
     counts = blocks.grid(
@@ -169,13 +239,11 @@ def _two_pass_ranking(asked, items, id_type, cell_rows):
         f"query_id {id_type}, chunk {id_type}, before array<long>, before_same array<long>",
         cell_rows, 4096,
     )
-    spots = (
-        counts.select("query_id", "chunk", F.posexplode(F.arrays_zip("before", "before_same")).alias("pos", "c"))
-        .groupBy("query_id", "chunk", "pos")
-        .agg(F.sum("c.before").alias("before"), F.sum("c.before_same").alias("before_same"))
-    )
-    gain = (F.col("before_same") + 1) / (F.col("before") + 1)
-    return spots.select("query_id", gain.alias("gain"), F.lit(1).cast("long").alias("relevant"))
+    size = F.first(F.size("before"))
+    sums = counts.groupBy("query_id", "chunk").agg(_sum_arrays("before", size).alias("before"), _sum_arrays("before_same", size).alias("before_same"))
+    terms = F.zip_with("before_same", "before", lambda s, b: (s + 1) / (b + 1))
+    gains = sums.select("query_id", F.aggregate(terms, F.lit(0.0), lambda total, x: total + x).alias("gain"), F.lit(0).cast("bigint").alias("relevant"))
+    return settled.select("query_id", "gain", "relevant").unionByName(gains)
 
 
 def _preceding(value: np.ndarray, ids: np.ndarray, mark: np.ndarray, mark_ids: np.ndarray) -> np.ndarray:
@@ -278,6 +346,9 @@ def loo_metrics(df: DataFrame, ks: Sequence[int] = (1, 5, 10), **names) -> DataF
 
 # --- pair scores -----------------------------------------------------------------------------
 
+QUARTILES = (0.25, 0.5, 0.75)
+KEY_STEPS, KEY_BITS = 10**12, 14  # scores have 12 decimals; three times 14 bits hold all their steps
+
 # Modulus and factors of the pair order used for sampling.
 PAIR_PRIME = 2_147_483_647
 PAIR_Q, PAIR_G, PAIR_MIX = 48_271, 69_621, 40_692
@@ -289,31 +360,41 @@ def _pair_order(q: np.ndarray, g: np.ndarray, seed: int) -> np.ndarray:
 
 
 def export_pair_scores(
-    df: DataFrame, max_fp: int | None = None, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding", label: str = "label"
+    df: DataFrame,
+    max_fp: int | None = None,
+    seed: int = 42,
+    id_col: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+    min_score: float | None = None,
 ) -> DataFrame:
     """(query_id, id, similarity, is_tp): all ordered pairs of different items.
 
-    With ``max_fp`` the cross-class pairs are a sample, those that come first in a pseudo-random order, and a
+    With ``min_score`` only pairs of at least that similarity leave their cell; ``pair_score_counts`` tells
+    how many lie below. With ``max_fp`` the cross-class pairs are a sample, those that come first in a pseudo-random order, and a
     cell returns no more of them than the sample can use.
     """
     items = df.select(F.col(id_col).cast("long").alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
     left = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked"))
 
     def all_pairs(qid, asked, qv, ids, labels, gv):
-        row, col = np.nonzero(qid[:, None] != ids[None, :])
-        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], asked[row] == labels[col], -1)
+        value = _cosines(qv, gv)
+        row, col = np.nonzero((qid[:, None] != ids[None, :]) & (value >= floor))
+        return _pairs(qid[row], ids[col], value[row, col], asked[row] == labels[col], -1)
 
     def same_class(qid, asked, qv, ids, labels, gv):
-        row, col = np.nonzero((asked[:, None] == labels[None, :]) & (qid[:, None] != ids[None, :]))
-        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], True, -1)
+        value = _cosines(qv, gv)
+        row, col = np.nonzero((asked[:, None] == labels[None, :]) & (qid[:, None] != ids[None, :]) & (value >= floor))
+        return _pairs(qid[row], ids[col], value[row, col], True, -1)
 
     def cross_class(qid, asked, qv, ids, labels, gv):
-        row, col = np.nonzero(asked[:, None] != labels[None, :])
+        value = _cosines(qv, gv)
+        row, col = np.nonzero((asked[:, None] != labels[None, :]) & (value >= floor))
         order = _pair_order(qid[row], ids[col], seed)
         if len(order) > max_fp:  # keep the max_fp smallest, with every tie of the last
             keep = order <= np.partition(order, max_fp - 1)[max_fp - 1]
             row, col, order = row[keep], col[keep], order[keep]
-        return _pairs(qid[row], ids[col], _cosines(qv, gv)[row, col], False, order)
+        return _pairs(qid[row], ids[col], value[row, col], False, order)
 
     def of(pick):
         def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -329,6 +410,7 @@ def export_pair_scores(
         return blocks.grid(left, items, ["query_id"], ["id"], kernel, schema, rows, n_left=n, n_right=n)
 
     n, rows = items.count(), blocks.cell_rows_for(items, "v")
+    floor = -math.inf if min_score is None else min_score
     if max_fp is None:
         return of(all_pairs).drop("ord")
     sampled = of(cross_class).orderBy("ord", "query_id", "id").limit(max_fp)
@@ -339,6 +421,144 @@ def _pairs(q, g, similarity, is_tp, order):
     return pd.DataFrame({"query_id": q, "id": g, "similarity": similarity, "is_tp": is_tp, "ord": order})
 
 
+def _pair_cells(df: DataFrame, count, schema: str, id_col: str, vector: str, label: str, cell_rows: int) -> DataFrame:
+    """What ``count(query ids, scores, masks)`` makes of the pairs of every cell: no pair leaves its cell.
+
+    ``masks`` marks the same-class pairs (True) and the others (False) among the pairs of different items.
+    """
+    items = df.select(F.col(id_col).alias("id"), blocks.stored(df, vector).alias("v"), F.col(label).alias("label"))
+    left = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("asked"))
+    columns = [part.split()[0] for part in schema.split(", ")]
+
+    def kernel(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not lpdf.empty and not rpdf.empty:
+            ids, labels, gv = rpdf["id"].to_numpy(), rpdf["label"].to_numpy(), blocks.matrix(rpdf["v"])
+            qid, asked, qv = lpdf["query_id"].to_numpy(), lpdf["asked"].to_numpy(), blocks.matrix(lpdf["qv"])
+            for p in blocks.slices(len(qv), len(gv)):
+                pair = qid[p][:, None] != ids[None, :]
+                same = asked[p][:, None] == labels[None, :]
+                out.append(count(qid[p], _cosines(qv[p], gv), {True: pair & same, False: pair & ~same}))
+        return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame(columns=columns)
+
+    rows = min(cell_rows, blocks.cell_rows_for(items, "v"))
+    n = items.count()
+    return blocks.grid(left, items, ["query_id"], ["id"], kernel, schema, rows, n_left=n, n_right=n)
+
+
+def _edge_bins(value: np.ndarray, low: float, high: float, edges: int) -> np.ndarray:
+    """The bin of each value, as ``density_histogram`` has it; -1 outside."""
+    bins = edges - 1
+    width = (high - low) / bins
+    at = np.minimum(np.floor((value - low) * (1.0 / width)), bins - 1).astype(np.int64)
+    return np.where((value >= low) & (value <= high), at, -1)
+
+
+def pair_score_counts(
+    df: DataFrame, edges: int = 100, decimals: int = 9, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int = blocks.CELL_ROWS
+) -> DataFrame:
+    """(query_id, is_tp, bin, n): how many pairs of a query have a similarity in each of edges - 1 bins over [-1, 1]."""
+
+    def count(qid, value, masks):
+        out = []
+        at = _edge_bins(np.round(value, decimals), -1.0, 1.0, edges)
+        for is_tp, mask in masks.items():
+            row, col = np.nonzero(mask & (at >= 0))
+            n = np.bincount(row * edges + at[row, col], minlength=0)
+            spot = np.flatnonzero(n)
+            out.append(pd.DataFrame({"query_id": qid[spot // edges], "is_tp": is_tp, "bin": spot % edges, "n": n[spot]}))
+        return pd.concat(out, ignore_index=True)
+
+    id_type = dict(df.dtypes)[id_col]
+    counts = _pair_cells(df, count, f"query_id {id_type}, is_tp boolean, bin long, n long", id_col, vector, label, cell_rows)
+    return counts.groupBy("query_id", "is_tp", "bin").agg(F.sum("n").alias("n"))
+
+
+def pair_score_distribution(
+    df: DataFrame, edges: int = 100, decimals: int = 9, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int = blocks.CELL_ROWS
+) -> DataFrame:
+    """``score_distribution`` of all ordered pairs, counted inside the cells: a row per cell, series, flag and bin."""
+
+    def count(qid, value, masks):
+        out = []
+        value = np.round(value, decimals)
+        far = np.sqrt(np.maximum(2.0 - 2.0 * value, 0.0))
+        for series, at in (("similarity", _edge_bins(value, -1.0, 1.0, edges)), ("distance", _edge_bins(far, 0.0, 2.0, edges))):
+            for is_tp, mask in masks.items():
+                n = np.bincount(at[mask & (at >= 0)], minlength=edges)
+                spot = np.flatnonzero(n)
+                out.append(pd.DataFrame({"series": series, "is_tp": is_tp, "bin": spot, "n": n[spot]}))
+        return pd.concat(out, ignore_index=True)
+
+    counts = _pair_cells(df, count, "series string, is_tp boolean, bin long, n long", id_col, vector, label, cell_rows)
+    counts = counts.groupBy("series", "is_tp", "bin").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("series", "is_tp"))  # at most edges - 1 rows
+    return counts.select("series", "is_tp", "bin", "n", (F.col("n") / (total * F.lit(2.0 / (edges - 1)))).alias("density"))
+
+
+def _pair_moments(df: DataFrame, id_col: str, vector: str, label: str, cell_rows: int) -> DataFrame:
+    """(is_tp, n, mean, min, max) of the similarities of all ordered pairs."""
+
+    def count(qid, value, masks):
+        rows = [(is_tp, int(m.sum()), value[m].sum(), value[m].min(), value[m].max()) for is_tp, m in masks.items() if m.any()]
+        return pd.DataFrame(rows, columns=["is_tp", "n", "total", "low", "high"])
+
+    parts = _pair_cells(df, count, "is_tp boolean, n long, total double, low double, high double", id_col, vector, label, cell_rows)
+    mean = F.sum("total") / F.sum("n")
+    return parts.groupBy("is_tp").agg(F.sum("n").alias("n"), mean.alias("mean"), F.min("low").alias("min"), F.max("high").alias("max"))
+
+
+def pair_score_summary(
+    df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int = blocks.CELL_ROWS
+) -> DataFrame:
+    """``score_summary`` of all ordered pairs: moments from the cells, quartiles by bisection on the scores.
+
+    A score is a whole number of steps of 1e-12 above -1. Each pass counts, inside the cells, what falls into the 2**KEY_BITS parts of
+    the brackets that hold the wanted ranks; after three passes a bracket is one step wide and the order statistic exact.
+    """
+    spark = df.sparkSession
+    known = cut_lineage(_pair_moments(df, id_col, vector, label, cell_rows))
+    sizes = {r["is_tp"]: r["n"] for r in known.collect()}  # two rows
+    places = {(f, q): q * (n - 1) for f, n in sizes.items() for q in QUARTILES}
+    # (flag, rank) -> first key of its bracket and how many scores lie before that
+    wanted = {(f, r): (0, 0) for (f, _), at in places.items() for r in (math.floor(at), math.ceil(at))}
+    for shift in range(2 * KEY_BITS, -1, -KEY_BITS):
+        brackets = sorted({(f, base) for (f, _), (base, _) in wanted.items()})
+
+        def count(qid, value, masks, shift=shift, brackets=brackets):
+            out = []
+            key = np.rint((value + 1.0) * KEY_STEPS).astype(np.int64)
+            for number, (is_tp, base) in enumerate(brackets):
+                part = (key[masks[is_tp]] - base) >> shift
+                n = np.bincount(part[(part >= 0) & (part < 1 << KEY_BITS)])
+                spot = np.flatnonzero(n)
+                out.append(pd.DataFrame({"bracket": number, "part": spot, "n": n[spot]}))
+            return pd.concat(out, ignore_index=True)
+
+        counts = _pair_cells(df, count, "bracket int, part long, n long", id_col, vector, label, cell_rows)
+        # at most 2**KEY_BITS rows for each of the up to twelve brackets
+        counts = counts.groupBy("bracket", "part").agg(F.sum("n").alias("n")).toPandas().sort_values(["bracket", "part"])
+        for (f, rank), (base, before) in wanted.items():
+            own = counts[counts["bracket"] == brackets.index((f, base))]
+            total = own["n"].to_numpy().cumsum()
+            at = int(np.searchsorted(total, rank - before, side="right"))
+            wanted[f, rank] = base + (int(own["part"].iloc[at]) << shift), before + (int(total[at - 1]) if at else 0)
+    score = {k: base / KEY_STEPS - 1.0 for k, (base, _) in wanted.items()}
+    between = lambda f, at: score[f, math.floor(at)] + (score[f, math.ceil(at)] - score[f, math.floor(at)]) * (at - math.floor(at))
+    rows = [(f, *(between(f, places[f, q]) for q in QUARTILES)) for f in sizes]
+    quartiles = spark.createDataFrame(rows, "is_tp boolean, q1 double, median double, q3 double")
+    return known.join(F.broadcast(quartiles), "is_tp")  # two rows
+
+
+def pair_score_margin(
+    df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int = blocks.CELL_ROWS
+) -> DataFrame:
+    """``score_margin`` of all ordered pairs, from sums made inside the cells."""
+    known = _pair_moments(df, id_col, vector, label, cell_rows)
+    means = known.agg(F.max(F.when(F.col("is_tp"), F.col("mean"))).alias("tp_mean"), F.max(F.when(~F.col("is_tp"), F.col("mean"))).alias("fp_mean"))
+    return means.withColumn("margin", F.abs(F.col("tp_mean") - F.col("fp_mean")))
+
+
 def flag_alias(col: Column) -> Column:
     """True-positive flag from the spellings found in pair files."""
     return F.lower(F.trim(col.cast("string"))).isin("true", "1", "true positive")

@@ -8,6 +8,7 @@ from galleryspark.operators import evaluation as E, knn as K, retrieval as R
 from galleryspark.plans.fixtures import emb, gal, rounded, sql
 
 K_LIST = 5
+FLOOR = 0.25
 
 
 def _near(spark, sf, k=K_LIST):
@@ -61,6 +62,11 @@ def f5_average_precision(spark, sf):
     return rounded(E.average_precision(emb(spark, sf)), "ap")
 
 
+def f5_average_precision_blocks(spark, sf):
+    """The same over cells of 128 vectors, so that score bins of many blocks add up and mixed ones are refined."""
+    return rounded(E.average_precision(emb(spark, sf), cell_rows=128), "ap")
+
+
 def f6_macro_map(spark, sf):
     return rounded(E.macro_map(E.average_precision(emb(spark, sf))), "macro_map")
 
@@ -87,17 +93,24 @@ def f9_export_pair_scores(spark, sf):
     return rounded(E.export_pair_scores(emb(spark, sf)), "similarity")
 
 
+def f9_pairs_above(spark, sf):
+    return rounded(E.export_pair_scores(emb(spark, sf), min_score=FLOOR), "similarity")
+
+
+def f9_pair_score_counts(spark, sf):
+    return E.pair_score_counts(emb(spark, sf))
+
+
 def f10_score_distribution(spark, sf):
-    bins = E.score_distribution(E.export_pair_scores(emb(spark, sf)).withColumn("similarity", F.round("similarity", 9)))
-    return rounded(bins, "density")
+    return rounded(E.pair_score_distribution(emb(spark, sf)), "density")
 
 
 def f10_score_summary(spark, sf):
-    return rounded(E.score_summary(E.export_pair_scores(emb(spark, sf))), "mean", "min", "max", "q1", "median", "q3")
+    return rounded(E.pair_score_summary(emb(spark, sf)), "mean", "min", "max", "q1", "median", "q3")
 
 
 def f10_score_margin(spark, sf):
-    return rounded(E.score_margin(E.export_pair_scores(emb(spark, sf))), "tp_mean", "fp_mean", "margin")
+    return rounded(E.pair_score_margin(emb(spark, sf)), "tp_mean", "fp_mean", "margin")
 
 
 def _two_evaluations(spark, sf):
@@ -126,11 +139,14 @@ QUERIES = {
     "f3_per_query_details": f3_per_query_details,
     "f4_precision_at_k": f4_precision_at_k,
     "f5_average_precision": f5_average_precision,
+    "f5_average_precision_blocks": f5_average_precision_blocks,
     "f6_macro_map": f6_macro_map,
     "f7_class_margin": f7_class_margin,
     "f7_loo_metrics": f7_loo_metrics,
     "f8_group_metrics": f8_group_metrics,
     "f9_export_pair_scores": f9_export_pair_scores,
+    "f9_pairs_above": f9_pairs_above,
+    "f9_pair_score_counts": f9_pair_score_counts,
     "f10_score_distribution": f10_score_distribution,
     "f10_score_summary": f10_score_summary,
     "f10_score_margin": f10_score_margin,
@@ -203,6 +219,7 @@ ORACLE = {
     "f4_precision_at_k": sql(more=_loo() + ", " + _precision([1, 5, 10]))
     + "select round(top1_precision, 6) as top1_precision, round(top5_precision, 6) as top5_precision, round(top10_precision, 6) as top10_precision from p",
     "f5_average_precision": sql(more=_loo()) + "select id, label, round(ap, 6) as ap from ap",
+    "f5_average_precision_blocks": sql(more=_loo()) + "select id, label, round(ap, 6) as ap from ap",
     "f6_macro_map": sql(more=_loo() + ", " + _margins()) + "select round(macro_map, 6) as macro_map from mm",
     "f7_class_margin": sql(more=_loo() + ", " + _margins())
     + "select round(iacs, 6) as iacs, round(inter, 6) as inter, round(iacs - inter, 6) as margin from m",
@@ -215,6 +232,10 @@ ORACLE = {
  (select avg(h1) as h1, avg(h5) as h5 from (select q, max(case when r = 1 and ql = gl then 1 else 0 end) as h1,
  max(case when r <= 5 and ql = gl then 1 else 0 end) as h5 from loo where ql >= 0 group by q))""",
     "f9_export_pair_scores": sql(more=_PAIRS) + "select q as query_id, g as id, round(s, 6) as similarity, is_tp from pairs",
+    "f9_pairs_above": sql(more=_PAIRS) + f"select q as query_id, g as id, round(s, 6) as similarity, is_tp from pairs where s >= {FLOOR}",
+    "f9_pair_score_counts": sql(more=_PAIRS)
+    + f"""select q as query_id, is_tp, cast(least(floor((round(s, 9) + 1.0) * ({1.0 / (2.0 / 99)!r})), 98) as bigint) as bin, count(*) as n
+ from pairs where round(s, 9) between -1 and 1 group by 1, 2, 3""",
     "f10_score_distribution": sql(more=_PAIRS + """, nine as (select is_tp, sim, sqrt(greatest(0, 2 - 2 * sim)) as dist
  from (select is_tp, round(s, 9) as sim from pairs))""")
     + _bins("similarity", -1.0, 2.0 / 99, "sim") + " union all " + _bins("distance", 0.0, 2.0 / 99, "dist"),

@@ -206,3 +206,30 @@ def test_best_k_keeps_the_smaller_column_on_ties():
     value = np.array([[1.0, 2.0, 2.0, -np.inf], [5.0, 5.0, 5.0, 5.0]])
     row, col = blocks.best_k(value, 2)
     assert list(zip(row, col)) == [(0, 1), (0, 2), (1, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("cell_rows", [16_384, 60])
+def test_pair_scores_counted_in_cells(cloud, cell_rows):
+    """Counts, moments and quartiles over the pairs of the cells equal those of the written pairs."""
+    _, labels, df = cloud
+    pairs = E.export_pair_scores(df).cache()
+    key = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    columns = ["is_tp", "n", "mean", "min", "max", "q1", "median", "q3"]
+    got = E.pair_score_summary(df, cell_rows=cell_rows).select(*columns)
+    assert key(got.collect()) == key(E.score_summary(pairs).select(*columns).collect())
+    assert key(E.pair_score_margin(df, cell_rows=cell_rows).collect()) == key(E.score_margin(pairs).collect())
+    nine = pairs.withColumn("similarity", F.round("similarity", 9))
+    columns = ["series", "is_tp", "bin", "n", "density"]
+    got = E.pair_score_distribution(df, cell_rows=cell_rows).select(*columns)
+    assert key(got.collect()) == key(E.score_distribution(nine).select(*columns).collect())
+    per_query = E.pair_score_counts(df, cell_rows=cell_rows).groupBy("is_tp", "bin").agg(F.sum("n").alias("n"))
+    assert key(per_query.collect()) == key(got.where("series = 'similarity'").select("is_tp", "bin", "n").collect())
+    above = E.export_pair_scores(df, min_score=0.5)
+    assert key(above.collect()) == key(pairs.where("similarity >= 0.5").collect())
+
+
+def test_pair_scores_of_one_class(spark):
+    rows = spark.createDataFrame([(i, 1, [1.0, float(i)]) for i in range(3)], "vec_id long, label long, embedding array<double>")
+    (row,) = E.pair_score_summary(rows).collect()
+    assert row.is_tp and row.n == 6 and row.max <= 1
+    assert E.pair_score_margin(rows).first().fp_mean is None
