@@ -70,6 +70,17 @@ def a7_upsert_vectors(spark, sf):
     return store.current().select("id", "version", "page_num", "parent_pdf_id", F.size("embedding").alias("dim"))
 
 
+def a7_interleaved_streams(spark, sf):
+    """Stream A, then B, then A again, then B's batch once more: the newest write of an id counts."""
+    g = gal(spark, sf)
+    store = S.VectorStore(spark, work_folder(spark, "store"))
+    store.append_batch(_records(g, 1), "a", 0)
+    store.append_batch(_records(g.where("vec_id % 3 = 0"), 2), "b", 0)
+    store.append_batch(_records(g.where("vec_id % 2 = 0"), 3), "a", 1)
+    store.append_batch(_records(g.where("vec_id % 3 = 0"), 2), "b", 0)
+    return store.current().select("id", "version", "page_num")
+
+
 def a11_tags(spark, sf):
     """Blank and unreadable rasters get tags; files with the tag error are set aside."""
     pixels = ras(spark, sf).where("image_id % 9 <> 0")
@@ -225,6 +236,7 @@ QUERIES = {
     "a5_read_label_map": a5_read_label_map,
     "a6_write_report": a6_write_report,
     "a7_upsert_vectors": a7_upsert_vectors,
+    "a7_interleaved_streams": a7_interleaved_streams,
     "a11_tags": a11_tags,
     "a12_split_manifest": a12_split_manifest,
     "a13_append_training_log": a13_append_training_log,
@@ -274,6 +286,9 @@ ORACLE = {
     "a7_upsert_vectors": sql("gal")
     + """select id, case when vec_id % 5 = 0 then 2 when vec_id % 3 = 0 then 1 else 0 end as version, case when vec_id % 5 = 0 then 3 when vec_id % 3 = 0 then 2 else 1 end as page_num,
  parent_pdf_id, cast(len(embedding) as int) as dim from gal""",
+    "a7_interleaved_streams": sql("gal")
+    + """select id, case when vec_id % 2 = 0 then 2 when vec_id % 3 = 0 then 1 else 0 end as version,
+ case when vec_id % 2 = 0 then 3 when vec_id % 3 = 0 then 2 else 1 end as page_num from gal""",
     "a11_tags": "select concat('/img/', vec_id, '.png') as path, case when vec_id % 2 = 0 then 'move' else 'not_found' end as action from embeddings where vec_id % 9 = 0",
     "a12_split_manifest": sql("gal", more=CURATED_SQL) + "select part, null::varchar as seed, path from sets union all select 'gt', seed, member from truth",
     "a13_append_training_log": sql("log")

@@ -10,9 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from galleryspark.sources.store import VectorStore
 
 
-BATCHES_PER_STREAM = 1_000_000_000
-
-
 def read_parquet_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files of a folder as a stream."""
     return (
@@ -22,12 +19,11 @@ def read_parquet_stream(spark: SparkSession, folder: str, schema, glob: str = "*
 
 def stream_index(records: DataFrame, store: VectorStore, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Upsert every new record into the store, then stop. Files already seen are skipped by the stream's
-    checkpoint; a batch run twice writes the same version again. A version is the stream's number in the store and the
-    batch's in the stream, so another stream with a checkpoint of its own adds versions and replaces none."""
-    first = store.stream_number(checkpoint) * BATCHES_PER_STREAM
+    checkpoint. A batch becomes the newest version when it is written, whichever other streams write to the store; run
+    twice, it replaces itself in its old place."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(transform(batch) if transform else batch, first + batch_id)
+        store.append_batch(transform(batch) if transform else batch, checkpoint, batch_id)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

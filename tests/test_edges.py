@@ -47,8 +47,16 @@ def test_near_copies_keep_their_distances(spark):
 
 
 def test_streams_add_versions(spark, tmp_path):
+    """The newest write counts, whichever stream it comes from; a batch that is run again keeps its place."""
     store = VectorStore(spark, str(tmp_path / "store"))
-    assert [store.stream_number(c) for c in ("p", "q", "p")] == [0, 1, 0]
+    row = lambda page: spark.createDataFrame([("a", [1.0], "f", page, "roi_0", "D")], "id string, embedding array<double>, original_filename string, page_num int, component_type string, parent_pdf_id string")
+    page = lambda: store.current().first().page_num
+    assert [store.append_batch(row(1), "p", 0), store.append_batch(row(2), "q", 0)] == [0, 1] and page() == 2
+    assert store.append_batch(row(3), "p", 1) == 2 and page() == 3
+    assert store.append_batch(row(4), "q", 0) == 1 and page() == 3
+    store.append(row(5), 3)
+    assert page() == 5 and store.append_batch(row(6), "q", 1) == 4 and page() == 6
+    assert "stream" not in store.current().columns and store.versions().count() == 5
 
 
 def test_config_values_stay_whole(spark):
