@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleryspark.operators.ordering import bucketed_running
+from galleryspark.session import cut_lineage
 
 EPOCH_BUCKET = 1_024
 COLLAPSE_BELOW = 0.01  # fixed alert threshold of the embedding spread
@@ -61,14 +62,20 @@ def run_summary(results: DataFrame) -> DataFrame:
 def expand_grid(lists: DataFrame, params: Sequence[str], prefix: str = "run", max_runs: int | None = None) -> DataFrame:
     """All combinations of the array columns of a one-row table, the last parameter changing fastest.
 
-    Combination i is read off the digits of i in mixed radix, so no join is needed.
+    Combination i is read off the digits of i in mixed radix. The numbers are a range that many tasks share, and the one
+    row of lists is sent to them; an empty list, or no row, makes no run.
     """
+    lists = cut_lineage(lists.select(*params))
     sizes = [F.size(p).cast("bigint") for p in params]
     total = sizes[0]
     for size in sizes[1:]:
         total = total * size
-    count = total if max_runs is None else F.least(total, F.lit(max_runs).cast("bigint"))
-    numbered = lists.select(*params, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("_i"))
+    row = lists.select(*[s.alias(f"n{i}") for i, s in enumerate(sizes)], total.alias("total")).first()
+    count = 0 if row is None or min(row[:-1]) < 1 else row["total"]
+    if max_runs is not None:
+        count = min(count, max_runs)
+    numbers = lists.sparkSession.range(count).select(F.col("id").alias("_i"), F.lit(1).alias("_one"))
+    numbered = numbers.join(F.broadcast(lists.withColumn("_one", F.lit(1))), "_one")
     columns, stride = [], F.lit(1).cast("bigint")
     for name, size in reversed(list(zip(params, sizes))):
         columns.append(F.get(name, F.pmod(F.floor(F.col("_i") / stride), size).cast("int")).alias(name))

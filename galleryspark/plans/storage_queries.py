@@ -18,6 +18,15 @@ from galleryspark.streaming import jobs as J
 from galleryspark.session import work_folder
 
 
+def a1_scan_files(spark, sf):
+    """The paths of all drawings, written as text files below a folder per category and found again by a listing."""
+    folder = work_folder(spark, "files")
+    gal(spark, sf).select("category", "path").write.partitionBy("category").text(folder)
+    found = SF.scan_files(spark, [folder], suffixes=(".txt",))
+    folder_name = F.element_at(F.split("path", "/"), -2)
+    return found.groupBy(folder_name.alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
 def a3_scan_archive(spark, sf):
     """Documents packed into archives of about a hundred and listed again."""
     docs = table(spark, sf, "documents")
@@ -232,6 +241,7 @@ def l3_batch_sessions(spark, sf):
 
 
 QUERIES = {
+    "a1_scan_files": a1_scan_files,
     "a3_scan_archive": a3_scan_archive,
     "a5_read_label_map": a5_read_label_map,
     "a6_write_report": a6_write_report,
@@ -279,6 +289,7 @@ _CROPS = """top as (select *, row_number() over (partition by image_id order by
 _COS = "list_dot_product(p.e, g.e) / (greatest(sqrt(list_dot_product(p.e, p.e)), 1e-12) * greatest(sqrt(list_dot_product(g.e, g.e)), 1e-12))"
 
 ORACLE = {
+    "a1_scan_files": sql("gal") + "select concat('category=', category) as folder, sum(strlen(path) + 1)::bigint as bytes from gal group by category",
     "a3_scan_archive": """select concat('pack_', cast(floor(doc_id / 100) as bigint), '.zip') as archive, concat(source, '/', doc_id, '.txt') as member,
  strlen(text) as size, md5(text) as md5 from documents""",
     "a5_read_label_map": sql("gal") + "select path, category as label, 'plain' as kind from gal union all select path, category, 'headed' from gal",

@@ -184,6 +184,10 @@ def test_grid_order(spark):
     rows = X.expand_grid(lists, ["p", "q"], "s").orderBy("run_name").collect()
     assert [(r.run_name, r.p, r.q) for r in rows][:4] == [("s_001", 1, "a"), ("s_002", 1, "b"), ("s_003", 1, "c"), ("s_004", 2, "a")]
     assert X.expand_grid(lists, ["p", "q"], max_runs=2).count() == 2
+    empty = lists.withColumn("q", F.slice("q", 1, 0))
+    assert X.expand_grid(empty, ["p", "q"]).count() == 0 and X.expand_grid(lists.limit(0), ["p", "q"]).count() == 0
+    many = spark.sql("select sequence(1, 300) as p, sequence(1, 200) as q")
+    assert X.expand_grid(many, ["p", "q"]).select("p", "q").distinct().count() == 60_000
 
 
 def test_views_fall_back_to_the_untouched_one(spark):
