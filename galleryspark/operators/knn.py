@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleryspark.functions import vectors as V
-from galleryspark.operators import blocks
+from galleryspark.operators import blocks, pruned
 from galleryspark.operators.ordering import sample_n
 
 # A query side of at most this many rows is sent to the tasks; the gallery then stays in place.
@@ -34,22 +34,16 @@ def knn(
 
     ``ip`` ranks by descending inner product; ``cosine`` and ``l2`` by ascending distance, which is
     then the score. Ties are broken by gallery id; k is clamped to the gallery. ``where`` filters
-    the gallery before ranking. Few queries travel to the gallery; two large sides meet in a block grid.
+    the gallery before ranking. Few queries travel to the gallery; a gallery of one cell meets the queries in a block grid; in
+    a larger one a query is sent only to the blocks that may hold one of its neighbours (``pruned``).
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    if where is not None:
-        gallery = gallery.where(where)
-    left = queries.select(F.col(query_id).alias("query_id"), blocks.stored(queries, vector).alias("qv"))
-    right = gallery.select(F.col(gallery_id).alias("id"), blocks.stored(gallery, vector).alias("gv"))
-    n_left, n_right = left.count(), right.count()
-    if not n_right:
-        raise ValueError("the gallery is empty")
-    rows = min(cell_rows, blocks.cell_rows_for(right, "gv"))
+    left, right, n_left, n_right, rows = _sides(queries, gallery, k, where, query_id, gallery_id, vector, cell_rows)
     top = _TopK(k, metric, exclude_self)
     schema = _schema(left, right)
     if n_left <= min(small_rows, rows) and n_right >= 16 * n_left:
         partial = _queries_to_gallery(left, right, top, schema)
+    elif n_right > rows:
+        partial = pruned.search(left, right, k, metric, top.of_cell, schema, rows, n_left, n_right, int(exclude_self)).partial
     else:
         partial = blocks.grid(
             left, right, ["query_id"], ["id"], top.of_cell, schema, rows, n_left=n_left, n_right=n_right
@@ -57,6 +51,38 @@ def knn(
     return _best_of(partial, k, metric)
 
 
+def knn_work(
+    queries: DataFrame,
+    gallery: DataFrame,
+    k: int,
+    metric: str = "ip",
+    where: Column | None = None,
+    exclude_self: bool = False,
+    query_id: str = "query_id",
+    gallery_id: str = "id",
+    vector: str = "embedding",
+    cell_rows: int = blocks.CELL_ROWS,
+) -> DataFrame:
+    """What the block search of ``knn`` takes: one row (queries, blocks, first_pass, second_pass, skipped, by_blocks)."""
+    left, right, n_left, n_right, rows = _sides(queries, gallery, k, where, query_id, gallery_id, vector, cell_rows)
+    top = _TopK(k, metric, exclude_self)
+    work = pruned.search(left, right, k, metric, top.of_cell, _schema(left, right), rows, n_left, n_right, int(exclude_self))
+    return work.counts()
+
+
+def _sides(queries, gallery, k, where, query_id, gallery_id, vector, cell_rows):
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if where is not None:
+        gallery = gallery.where(where)
+    left = queries.select(F.col(query_id).alias("query_id"), blocks.stored(queries, vector).alias("qv"))
+    right = gallery.select(F.col(gallery_id).alias("id"), blocks.stored(gallery, vector).alias("gv"))
+    n_left, n_right = left.count(), right.count()
+    if not n_right:
+        raise ValueError("the gallery is empty")
+    return left, right, n_left, n_right, min(cell_rows, blocks.cell_rows_for(right, "gv"))
+
+
 def _schema(left: DataFrame, right: DataFrame) -> str:
     return f"query_id {dict(left.dtypes)['query_id']}, id {dict(right.dtypes)['id']}, score double, place double"
 

@@ -119,6 +119,17 @@ def e2_knn_l2(spark, sf):
     return _neighbors(K.knn(_as_queries(e), e, 5, metric="l2", gallery_id="vec_id", exclude_self=True))
 
 
+def _in_blocks(metric):
+    """Neighbours by the first three coordinates, in blocks of a few vectors that a query is sent to only where they can matter."""
+
+    def query(spark, sf):
+        e = emb(spark, sf).withColumn("embedding", F.slice("embedding", 1, 3))
+        found = K.knn(_as_queries(e), e, 5, metric=metric, gallery_id="vec_id", exclude_self=True, small_rows=0, cell_rows=64)
+        return _neighbors(found)
+
+    return query
+
+
 def e3_knn_where(spark, sf):
     g = gal(spark, sf)
     return _neighbors(K.knn(_as_queries(g, "id"), g, 5, metric="cosine", where=F.col("component_type") == "roi_0"))
@@ -187,6 +198,8 @@ QUERIES = {
     "e1_knn_ip": e1_knn_ip,
     "e2_knn_cosine": e2_knn_cosine,
     "e2_knn_l2": e2_knn_l2,
+    "e2_knn_cosine_blocks": _in_blocks("cosine"),
+    "e2_knn_l2_blocks": _in_blocks("l2"),
     "e3_knn_where": e3_knn_where,
     "e4_candidate_pool": e4_candidate_pool,
     "e5_skip_same_path": e5_skip_same_path,
@@ -217,6 +230,8 @@ def _knn_sql(score, k, source="pairs", order="desc"):
 _ALL = """pairs as (select p.vec_id as query_id, q.vec_id as id, p.embedding::double[] as a, q.embedding::double[] as b
  from embeddings p, embeddings q)"""
 _OTHER = _ALL.replace("embeddings q)", "embeddings q where p.vec_id <> q.vec_id)")
+_SHORT = _OTHER.replace("embedding::", "embedding[1:3]::")
+_L2 = "sqrt(list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))"
 _ANN = f"""v as (select vec_id, embedding::double[] as e from embeddings),
  centers as (select vec_id, e from v order by md5(concat('42:', cast(vec_id as varchar))), vec_id limit 16),
  near_center as (select v.vec_id, p.vec_id as cell, row_number() over (partition by v.vec_id order by round({_COS.replace('(a, a)', '(v.e, v.e)').replace('(b, b)', '(p.e, p.e)').replace('(a, b)', '(v.e, p.e)')}, 12) desc, p.vec_id) as r
@@ -263,7 +278,9 @@ ORACLE = {
     "e1_knn_ip": sql(more=_ALL) + _knn_sql("list_dot_product(a, b)", 10),
     "e2_knn_cosine": sql(more=_ALL) + _knn_sql(f"1 - {_COS}", 5, order="asc"),
     "e2_knn_l2": sql(more=_OTHER)
-    + _knn_sql("sqrt(list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))", 5, order="asc"),
+    + _knn_sql(_L2, 5, order="asc"),
+    "e2_knn_cosine_blocks": sql(more=_SHORT) + _knn_sql(f"1 - {_COS}", 5, order="asc"),
+    "e2_knn_l2_blocks": sql(more=_SHORT) + _knn_sql(_L2, 5, order="asc"),
     "e3_knn_where": sql("gal", more=_GALPAIRS) + _knn_sql(f"1 - {_COS}", 5, "pairs where component_type = 'roi_0'", "asc"),
     "e4_candidate_pool": sql(more=_OTHER) + _knn_sql(_COS, 30),
     "e5_skip_same_path": sql("gal", more=_GALPAIRS + """, ranked as (select query_id, id, path, query_path, score,

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from galleryspark.functions import vectors as V
-from galleryspark.operators import blocks, evaluation as E, extensions as X, knn as K, retrieval as R, vector_stats as S
+from galleryspark.operators import blocks, evaluation as E, extensions as X, knn as K, pruned, retrieval as R, vector_stats as S
 
 
 def table(spark, values, ids=None, labels=None):
@@ -52,6 +52,58 @@ def test_knn_paths_agree_with_brute_force(cloud, small_rows, cell_rows):
         assert [got[q, r][0] for r in range(1, 10)] == list(order[q, :9])
 
 
+def brute_knn(queries, values, k, metric, exclude_self):
+    """(query, rank) -> id, by the score itself; values count as ties to 12 places."""
+    q, v = queries.astype(np.float64), values.astype(np.float64)
+    if metric == "l2":
+        score = -np.sqrt(((q[:, None] - v[None, :]) ** 2).sum(2))
+    elif metric == "cosine":
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        score = unit(q) @ unit(v).T
+    else:
+        score = q @ v.T
+    score = np.round(score, 11)
+    if exclude_self:
+        np.fill_diagonal(score, -np.inf)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return {(i, r + 1): int(c) for i in range(len(q)) for r, c in enumerate(order[i]) if np.isfinite(score[i, c])}
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+@pytest.mark.parametrize("k,exclude_self,cell_rows,share", [(5, True, 40, 1e9), (1, False, 17, 1e9), (90, True, 64, 1e9), (5, False, 64, 0)])
+def test_block_search_is_exact(spark, monkeypatch, metric, k, exclude_self, cell_rows, share):
+    """Lengths from tiny to large, a third of all rows copies of one vector (more than a cell), zero vectors, far clusters."""
+    monkeypatch.setattr(pruned, "GRID_SHARE", share)
+    rng = np.random.default_rng(k)
+    values = (rng.integers(-4, 5, size=(8, 5))[rng.integers(0, 8, 240)] * 4 + rng.integers(-2, 3, size=(240, 5))).astype(np.float32)
+    values *= rng.choice([0.25, 1.0, 8.0], size=(240, 1)).astype(np.float32)
+    values[100:180] = values[7]
+    values[[3, 200]] = 0
+    df = table(spark, values)
+    got = K.knn(asked(df), df, k, metric=metric, exclude_self=exclude_self, gallery_id="vec_id", small_rows=0, cell_rows=cell_rows)
+    assert {key: i for key, (i, _) in pairs(got).items()} == brute_knn(values, values, k, metric, exclude_self)
+
+
+def test_block_search_when_k_passes_the_gallery(spark):
+    df = table(spark, np.arange(24).reshape(12, 2))
+    got = pairs(K.knn(asked(df), df, 50, metric="l2", exclude_self=True, gallery_id="vec_id", small_rows=0, cell_rows=4))
+    assert len(got) == 12 * 11
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_block_search_skips_blocks(spark, metric):
+    """Forty tight, far clusters: a query is sent to a small share of the blocks; the counts add up to the full grid."""
+    rng = np.random.default_rng(9)
+    values = np.repeat(rng.normal(size=(40, 8)) * 10, 25, axis=0) + rng.normal(size=(1000, 8)) * 0.05
+    df = table(spark, values)
+    work = K.knn_work(asked(df), df, 5, metric=metric, exclude_self=True, gallery_id="vec_id", cell_rows=40).first()
+    assert work.queries == 1000 and work.first_pass >= 1000
+    assert work.first_pass + work.second_pass + work.skipped == 1000 * work.blocks
+    assert work.by_blocks and work.skipped > 0.8 * 1000 * work.blocks
+    got = K.knn(asked(df), df, 5, metric=metric, exclude_self=True, gallery_id="vec_id", small_rows=0, cell_rows=40)
+    assert {key: i for key, (i, _) in pairs(got).items()} == brute_knn(values.astype(np.float32), values.astype(np.float32), 5, metric, True)
+
+
 def test_knn_edges(spark):
     df = table(spark, [[1, 0], [0, 1], [0, 0], [1, 0]], ids=[4, 3, 2, 1])
     got = pairs(K.knn(asked(df), df, 10, gallery_id="vec_id"))
