@@ -298,7 +298,10 @@ def count_holes(labelled: DataFrame, form: str = "contour") -> DataFrame:
 
 
 def topology_features(foreground: DataFrame, depth: DataFrame | None = None) -> DataFrame:
-    """Betti numbers of each page: beta_0 by 4-connectivity, beta_1 holes, euler, complexity."""
+    """Betti numbers of each page: beta_0 by 4-connectivity, beta_1 holes, euler, complexity.
+
+    ``depth`` (image_id, depth): the deepest outline of each page, as ``contours.contour_stats`` finds it; without it 0.
+    """
     roots = lambda c: label_components(foreground, c).groupBy("image_id").agg(F.count_distinct("root").alias(f"n{c}"))
     holes = _quad_counts(foreground, ["image_id"], False).select("image_id", _euler().alias("chi"))
     joined = roots(4).join(roots(8), "image_id").join(holes, "image_id")

@@ -182,7 +182,24 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOSAIC = f"""{RAS.replace('ras as', 'small as')},
  ras as (select cast(floor(image_id / 9) as bigint) as image_id, cast(y + 8 * floor((image_id % 9) / 3) as int) as y, cast(x + 8 * (image_id % 3) as int) as x, v from small)"""
 
-_ORDER = {"mosaic": MOSAIC, "gal": GAL, "cmp": CMP, "files": FILES, "log": LOG, "tta": TTA, "stage": STAGE, "ras": RAS}
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """17x17 pages of square rings, one per supplier; on every third nation's a line from the centre up has its colour turned."""
+    y, x, key, nation = F.col("y"), F.col("x"), F.col("s_suppkey").cast("bigint"), F.col("s_nationkey").cast("bigint")
+    axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(16)))
+    pages = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey").withColumn("y", axis()).withColumn("x", axis())
+    ring = F.greatest(F.abs(y - 8), F.abs(x - 8))
+    drawn = F.expr("shiftright((cast(s_suppkey as bigint) * 37 + cast(s_nationkey as bigint) * 11) % 512, _ring) % 2 = 1")
+    turned = (nation % 3 == 0) & (x == 8) & (y < 8)
+    return pages.withColumn("_ring", ring).select(key.alias("image_id"), "y", "x", F.when(drawn != turned, 0).otherwise(255).alias("v"))
+
+
+RINGS = """rings as (select s_suppkey::bigint as image_id, cast(y as int) as y, cast(x as int) as x,
+ case when ((((s_suppkey::bigint * 37 + s_nationkey * 11) % 512) >> cast(greatest(abs(y - 8), abs(x - 8)) as bigint)) % 2 = 1)
+  <> (s_nationkey % 3 = 0 and x = 8 and y < 8) then 0 else 255 end as v
+ from supplier, range(0, 17) a(y), range(0, 17) b(x))"""
+
+_ORDER = {"rings": RINGS, "mosaic": MOSAIC, "gal": GAL, "cmp": CMP, "files": FILES, "log": LOG, "tta": TTA, "stage": STAGE, "ras": RAS}
 
 
 def sql(*names: str, more: str = "", recursive: bool = False) -> str:

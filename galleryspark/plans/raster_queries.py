@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galleryspark.functions.geometry import NORM_MEAN, NORM_STD, normalize_intensity
-from galleryspark.operators import raster as R
-from galleryspark.plans.fixtures import mosaic, ras, rounded, sql
+from galleryspark.operators import contours as T, raster as R
+from galleryspark.plans.fixtures import mosaic, ras, rings, rounded, sql
 from galleryspark.plans.raster_sql import HOLES, LABELLED, SOBEL, STATS, THRESHOLDS, components, hist_entropy, quads
 from galleryspark.session import cut_lineage
 
@@ -79,6 +79,25 @@ def h7_topology_features(spark, sf):
     return R.topology_features(cut_lineage(R.binarize(ras(spark, sf)).where("fg")))
 
 
+def _outlines(spark, sf):
+    """Nested rings and the outlines on them."""
+    pages = cut_lineage(rings(spark, sf).withColumn("fg", F.col("v") == 0))
+    return pages, cut_lineage(T.contour_tree(pages))
+
+
+def h7_contour_tree(spark, sf):
+    tree = _outlines(spark, sf)[1]
+    return rounded(tree, "area")
+
+
+def h7_topology_nested(spark, sf):
+    """Topology of the nested rings with the depth of their outlines, and number and area of the outlines."""
+    pages, tree = _outlines(spark, sf)
+    stats = T.contour_stats(tree, pages)
+    features = R.topology_features(pages.where("fg"), stats.select("image_id", F.col("max_depth").alias("depth")))
+    return rounded(features.join(stats, "image_id"), "mean_contour_area", "std_contour_area")
+
+
 def h8_logo_regions(spark, sf):
     pixels = ras(spark, sf)
     mask = R.mask_region(R.page_sizes(pixels), [0.1, 0.2, 0.6, 1.2]).withColumn("strategy", F.lit("mask"))
@@ -166,6 +185,8 @@ QUERIES = {
     "h5_component_stats": h5_component_stats,
     "h6_count_holes": h6_count_holes,
     "h7_topology_features": h7_topology_features,
+    "h7_contour_tree": h7_contour_tree,
+    "h7_topology_nested": h7_topology_nested,
     "h8_logo_regions": h8_logo_regions,
     "h10_erase_regions": h10_erase_regions,
     "h15_topology_mask": h15_topology_mask,
@@ -225,6 +246,22 @@ _REPORT = "after as (select image_id, root, y, x from comp join pruned using (im
  n_holes = cast(greatest(0, 1 - floor((a.q1 - a.q3 - 2 * a.qd) / 4.0)) as int) as topology_preserved
  from stats s join holes h using (image_id, root) join pruned p using (image_id, root) join left_over l using (image_id, root) join quad_after a using (image_id, root))"""
 
+_TREE = components("comp", "fgpx", 8) + ", " + components("bgcomp", "bgpx", 4) + """,
+ piece as (select image_id, y, x, root as node, true as ink from comp union all select image_id, y, x, root, false from bgcomp),
+ node as (select image_id, node, ink from piece group by all having ink or (min(y) > 0 and min(x) > 0 and max(y) < 16 and max(x) < 16)),
+ tree as (select n.*, m.node as parent from node n left join piece p on p.image_id = n.image_id and p.y = n.node // 1048576 and p.x = n.node % 1048576 - 1
+  left join node m on m.image_id = p.image_id and m.node = p.node),
+ win as (select image_id, y - dy as qy, x - dx as qx, node, ink from piece, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)),
+ dark as (select *, sum(ink::int) over w as d, count(*) over w as n from win window w as (partition by image_id, qy, qx)),
+ own as (select image_id, node, sum(case when ink then case d when 4 then 0.25 when 3 then 0.5 / 3 else 0 end
+  else case d when 0 then 0.25 when 1 then 1 / 3.0 else 0.5 end end) as area from dark where n = 4 group by 1, 2),
+ up as (select image_id, node, node as anc, parent as nxt, 0 as d from tree union all
+  select u.image_id, u.node, t.node, t.parent, u.d + 1 from up u join tree t on t.image_id = u.image_id and t.node = u.nxt),
+ depths as (select image_id, node, max(d) as depth from up group by 1, 2),
+ areas as (select u.image_id, u.anc as node, sum(coalesce(area, 0)) as area from up u left join own o on o.image_id = u.image_id and o.node = u.node group by 1, 2),
+ outline as (select t.image_id, node, ink, parent, depth, round(area, 6) as area from tree t join depths using (image_id, node) join areas using (image_id, node))"""
+_RINGS = "fgpx as (select image_id, y, x from rings where v = 0), bgpx as (select image_id, y, x from rings where v > 0), "
+
 ORACLE = {
     "b13_normalize_intensity": sql("ras")
     + f"select image_id, y, x, round((v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z, round((1 - v / 255.0::double - {NORM_MEAN}) / {NORM_STD}, 6) as z_inverted from ras",
@@ -252,6 +289,13 @@ ORACLE = {
  t as (select image_id, (select count(distinct root) from comp4 c where c.image_id = p.image_id) as b0,
  cast(greatest(0, (select count(distinct root) from comp c where c.image_id = p.image_id) - floor((q1 - q3 - 2 * qd) / 4.0)) as bigint) as b1 from page p)""", recursive=True)
     + "select image_id, b0 as beta_0, b1 as beta_1, b0 - b1 as euler, b0 + 2 * b1 as complexity from t",
+    "h7_contour_tree": sql("rings", more=_RINGS + _TREE, recursive=True) + "select * from outline",
+    "h7_topology_nested": sql("rings", more=_RINGS + _TREE + ", " + components("comp4", "fgpx", 4) + ", " + quads("page", "fgpx", "image_id") + """,
+ o as (select image_id, count(*) as n_contours, max(depth) as max_depth, round(coalesce(avg(area) filter (where area > 0), 0), 6) as mean_contour_area,
+ round(coalesce(stddev_pop(area) filter (where area > 0), 0), 6) as std_contour_area from outline group by 1),
+ f as (select image_id, count(distinct root) as b0 from comp4 group by 1), e as (select image_id, count(distinct root) as b8 from comp group by 1),
+ t as (select image_id, b0, cast(greatest(0, b8 - floor((q1 - q3 - 2 * qd) / 4.0)) as bigint) as b1 from f join e using (image_id) join page using (image_id))""", recursive=True)
+    + "select image_id, b0 as beta_0, b1 as beta_1, b0 - b1 as euler, b0 + 2 * b1 + max_depth as complexity, o.* exclude (image_id) from t join o using (image_id)",
     "h8_logo_regions": sql("ras", more=f"{THRESHOLDS}, {_CORNERS}")
     + """select image_id, cast(floor(pw * 0.1) as int) as x1, cast(floor(ph * 0.2) as int) as y1, cast(floor(pw * 0.6) as int) as x2, cast(least(ph, floor(ph * 1.2)) as int) as y2,
  'mask' as strategy from sizes union all select image_id, x1, y1, x2, y2, 'corners' from corners""",
