@@ -120,11 +120,12 @@ def e2_knn_l2(spark, sf):
 
 
 def _in_blocks(metric):
-    """Neighbours by the first three coordinates, in blocks of a few vectors that a query is sent to only where they can matter."""
+    """Neighbours by the first three coordinates, in about 130 blocks that a query is sent to only where they can matter."""
 
     def query(spark, sf):
         e = emb(spark, sf).withColumn("embedding", F.slice("embedding", 1, 3))
-        found = K.knn(_as_queries(e), e, 5, metric=metric, gallery_id="vec_id", exclude_self=True, small_rows=0, cell_rows=64)
+        rows = max(64, e.count() // 32)
+        found = K.knn(_as_queries(e), e, 5, metric=metric, gallery_id="vec_id", exclude_self=True, small_rows=0, cell_rows=rows)
         return _neighbors(found)
 
     return query
