@@ -68,8 +68,13 @@ OUTLIER_RULES = (
 )
 
 
-def tag_outliers(df: DataFrame, outlier_flag: str | None = None) -> DataFrame:
-    """Add ``tags``: the names of the rules a row breaks. Rules on absent columns are skipped."""
+def tag_outliers(df: DataFrame, outlier_flag: str | None = None, status: str | None = None) -> DataFrame:
+    """Add ``tags``: the names of the rules a row breaks. Rules on absent columns are skipped.
+
+    With ``status`` (a column of ``quality_status``) only rows that are ``ok`` are profiled and returned.
+    """
+    if status:
+        df = df.where(F.col(status) == "ok")
     rules = [r for r in OUTLIER_RULES if r[0] in df.columns]
     probs = sorted({r[2] for r in rules})
     long = melt(df, {c: F.col(c) for c in {r[0] for r in rules}})

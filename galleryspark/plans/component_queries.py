@@ -10,7 +10,8 @@ from galleryspark.operators.inventory import with_path_columns
 from galleryspark.operators.ordering import hash_rank, sample_n
 from galleryspark.plans.fixtures import cmp, emb, files, ras, rounded, sql
 from galleryspark.session import cut_lineage
-from galleryspark.plans.raster_sql import LABELLED, hist_entropy
+from galleryspark.plans.raster_queries import h25_quality_status
+from galleryspark.plans.raster_sql import ENERGY, LABELLED, SPECTRUM, STATUS, hist_entropy
 
 STATS = ("mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -119,6 +120,14 @@ def i4_tag_outliers(spark, sf):
     return P.tag_outliers(df).select("image_id", F.array_join("tags", ",").alias("tags"))
 
 
+def i4_tag_outliers_ok(spark, sf):
+    """All rules on the readable images that are not blank, with the high-frequency share."""
+    profile = image_profile(spark, sf).join(R.high_freq_ratio(ras(spark, sf)), "image_id").join(h25_quality_status(spark, sf), "image_id")
+    nine = {c: F.round(c, 9) for c in ("entropy", "sparsity")}
+    df = cut_lineage(profile.withColumns(nine).withColumn("high_freq_energy", F.round("high_freq_energy", 6)))
+    return P.tag_outliers(df, status="status").select("image_id", F.array_join("tags", ",").alias("tags"))
+
+
 def i5_isolation_scores(spark, sf):
     return rounded(P.isolation_scores(emb(spark, sf)), "score")
 
@@ -163,6 +172,7 @@ QUERIES = {
     "i2_size_stats": i2_size_stats,
     "i3_describe": i3_describe,
     "i4_tag_outliers": i4_tag_outliers,
+    "i4_tag_outliers_ok": i4_tag_outliers_ok,
     "i5_isolation_scores": i5_isolation_scores,
     "i6_project_2d": i6_project_2d,
     "i7_sample_n": i7_sample_n,
@@ -228,6 +238,16 @@ ORACLE = {
  quantile_cont(sparsity, 0.99) as s, quantile_cont(cc_count, 0.995) as c from prof)""", recursive=True)
     + """select image_id, concat_ws(',', case when aspect_ratio > ah or aspect_ratio < al then 'extreme_aspect_ratio' end, case when entropy < e then 'low_entropy' end,
  case when sparsity > s then 'high_sparsity' end, case when cc_count > c then 'high_cc_count' end) as tags from prof, lim""",
+    "i4_tag_outliers_ok": sql("ras", more=f"""{LABELLED}, {hist_entropy('entropies')},
+counts as (select image_id, count(distinct root) as cc_count from comp group by image_id),
+states as ({STATUS}), energies as (with {SPECTRUM} {ENERGY}),
+prof as (select s.image_id, 1.0::double as ar, round(entropy, 9) as entropy, round(sparsity, 9) as sparsity, high_freq_energy as hf, coalesce(cc_count, 0)::double as cc
+from (select image_id, avg(case when v / 255.0::double > 0.95 then 1.0 else 0.0 end) as sparsity from ras group by image_id) s
+join entropies using (image_id) join energies using (image_id) join states using (image_id) left join counts using (image_id) where status = 'ok'),
+lim as (select quantile_cont(ar, 0.995) as ah, quantile_cont(ar, 0.005) as al, quantile_cont(entropy, 0.01) as e,
+quantile_cont(sparsity, 0.99) as s, quantile_cont(hf, 0.995) as f, quantile_cont(cc, 0.995) as c from prof)""", recursive=True)
+    + """select image_id, concat_ws(',', case when ar > ah or ar < al then 'extreme_aspect_ratio' end, case when entropy < e then 'low_entropy' end,
+case when sparsity > s then 'high_sparsity' end, case when hf > f then 'high_freq_energy' end, case when cc > c then 'high_cc_count' end) as tags from prof, lim""",
     "i7_sample_n": "select vec_id from embeddings order by md5(concat('42:', cast(vec_id as varchar))), vec_id limit 200",
     "i7_hash_rank": """select vec_id, label, row_number() over (partition by label order by md5(concat('42:', cast(vec_id as varchar))), vec_id) as rn,
  count(*) over (partition by label) as n from embeddings""",

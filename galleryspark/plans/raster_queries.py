@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from galleryspark.functions.geometry import NORM_MEAN, NORM_STD, normalize_intensity
 from galleryspark.operators import contours as T, raster as R
 from galleryspark.plans.fixtures import mosaic, ras, rings, rounded, sql
-from galleryspark.plans.raster_sql import HOLES, LABELLED, SOBEL, STATS, THRESHOLDS, components, hist_entropy, quads
+from galleryspark.plans.raster_sql import ENERGY, HOLES, LABELLED, SOBEL, SPECTRUM, STATS, STATUS, THRESHOLDS, components, hist_entropy, quads
 from galleryspark.session import cut_lineage
 
 
@@ -316,14 +316,10 @@ ORACLE = {
  round(avg(pruning_steps), 6) as mean_steps from report""",
     "h24_image_entropy": sql("ras", more=hist_entropy("e")) + "select image_id, round(entropy, 6) as entropy from e",
     "h25_sparsity": sql("ras") + "select image_id, round(avg(case when v / 255.0::double > 0.95 then 1.0 else 0.0 end), 6) as sparsity from ras group by image_id",
-    "h25_quality_status": sql("ras")
-    + """select image_id, case when image_id % 7 = 0 then 'corrupted' when image_id % 11 = 0 or stddev_samp(v / 255.0::double) < 1e-4 then 'blank' else 'ok' end as status from ras group by image_id""",
+    "h25_quality_status": sql("ras") + STATUS,
     "h26_edge_density": sql("ras", more=SOBEL)
     + "select image_id, round(avg(case when sqrt(gx * gx + gy * gy + 1e-6) > 0.1 then 1.0 else 0.0 end), 6) as edge_density from grad group by image_id",
-    "h27_high_freq_ratio": sql("ras", more="""freq as (select ky, kx from range(-4, 4) a(ky), range(-4, 4) b(kx)),
- spec as (select image_id, ky, kx, sqrt(power(sum(v / 255.0::double * cos(2 * pi() * (ky * y + kx * x) / 8)), 2)
- + power(sum(v / 255.0::double * sin(2 * pi() * (ky * y + kx * x) / 8)), 2)) as m from ras, freq group by all)""")
-    + "select image_id, round(sum(case when ky * ky + kx * kx > 1 then m else 0 end) / sum(m), 6) as high_freq_energy from spec group by image_id",
+    "h27_high_freq_ratio": sql("ras", more=SPECTRUM) + ENERGY,
     "h28_normalization_stats": sql("ras", more=_MOMENTS)
     + f"""select false as inverted, round(avg(s / n / 255), 6) as mean, round(avg({_STD} / 255), 6) as std from mom
  union all select true, round(avg(1 - s / n / 255), 6), round(avg({_STD} / 255), 6) from mom""",

