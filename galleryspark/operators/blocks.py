@@ -63,16 +63,22 @@ def grid(
 
 def grouped_grid(
     left: DataFrame, right: DataFrame, group: str, left_key: Sequence[str], right_key: Sequence[str], kernel: Kernel, schema: str,
-    sizes: DataFrame, cell_rows: int = CELL_ROWS,
+    sizes: DataFrame, cell_rows: int = CELL_ROWS, few: bool = True,
 ) -> DataFrame:
     """A grid of its own for every value of ``group``, so that a crowded group is cut into many cells.
 
-    ``sizes``: (group, n_left, n_right), one row per group, few enough to be sent to every task.
+    ``sizes``: (group, n_left, n_right), one row per group, few enough to be sent to every task; if not ``few``, only the
+    groups that must be cut are joined, by whatever plan suits their number.
     """
     blocks_of = lambda n: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col(n) / cell_rows))
-    cut = F.broadcast(sizes.select(group, blocks_of("n_left").alias("_rows"), blocks_of("n_right").alias("_columns")))
-    spread = left.join(cut, group).withColumn("_r", F.pmod(F.xxhash64(*left_key), F.col("_rows"))).withColumn("_c", _each(F.col("_columns")))
-    replicated = right.join(cut, group).withColumn("_c", F.pmod(F.xxhash64(*right_key), F.col("_columns"))).withColumn("_r", _each(F.col("_rows")))
+    cut = sizes.select(group, blocks_of("n_left").alias("_rows"), blocks_of("n_right").alias("_columns"))
+    if few:
+        left, right = (side.join(F.broadcast(cut), group) for side in (left, right))
+    else:
+        cut = cut.where((F.col("_rows") > 1) | (F.col("_columns") > 1))
+        left, right = (side.join(cut, group, "left").fillna(1, ["_rows", "_columns"]) for side in (left, right))
+    spread = left.withColumn("_r", F.pmod(F.xxhash64(*left_key), F.col("_rows"))).withColumn("_c", _each(F.col("_columns")))
+    replicated = right.withColumn("_c", F.pmod(F.xxhash64(*right_key), F.col("_columns"))).withColumn("_r", _each(F.col("_rows")))
     drop = ("_rows", "_columns")
     cells = sizes.agg(F.sum(blocks_of("n_left") * blocks_of("n_right")).alias("n")).first().n or 1
     return _run_cells(spread.drop(*drop), replicated.drop(*drop), [group, "_r", "_c"], kernel, schema, cells)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from galleryspark.functions import vectors as V
 from galleryspark.operators import knn as K, retrieval as R, vector_stats as S
 from galleryspark.plans.fixtures import emb, gal, rounded, sql, tta
+from galleryspark.session import work_folder
+from galleryspark.sources.cell_index import CellIndex
 
 
 def _pairs(spark, sf):
@@ -158,6 +160,38 @@ def e6_ann_recall(spark, sf):
     return rounded(K.recall_at_k(found, exact), "recall")
 
 
+def _filled_index(spark, sf):
+    """Index of all vectors in three batches: two thirds of the rows, among them every sixth with its coordinates in
+    reverse; then the missing third; then the reversed rows as they should be."""
+    e = emb(spark, sf).select(F.col("vec_id").alias("id"), "embedding")
+    turned = e.withColumn("embedding", F.when(F.col("id") % 6 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    index = CellIndex.create(turned.where("id % 3 <> 1"), work_folder(spark, "cell-index"))
+    index.add(e.where("id % 3 = 1"), 1)
+    index.add(e.where("id % 6 = 0"), 2)
+    return index
+
+
+def _twentieth(spark, sf):
+    return _as_queries(emb(spark, sf).where("vec_id % 20 = 0"))
+
+
+def e6_index_search(spark, sf):
+    """Every twentieth vector against an index that was filled in batches, three quarters of its cells probed."""
+    index = _filled_index(spark, sf)
+    cells = index.spark.read.parquet(f"{index.path}/pivots").count()
+    return _neighbors(index.search(_twentieth(spark, sf), 5, probes=-(-3 * cells // 4), wide=cells))
+
+
+def e6_index_recall(spark, sf):
+    """Share of the exact neighbours within the first quarter, half, three quarters and all of the cells of a query."""
+    index = _filled_index(spark, sf)
+    cells = index.spark.read.parquet(f"{index.path}/pivots").count()
+    asked = _twentieth(spark, sf)
+    exact = K.knn(asked, emb(spark, sf), 5, metric="cosine", gallery_id="vec_id")
+    curve = index.recall(asked, exact, [-(-n * cells // 4) for n in (1, 2, 3, 4)])
+    return rounded(curve.select(F.col("probes").cast("long").alias("probes"), "recall"), "recall")
+
+
 def e7_retrieve_documents(spark, sf):
     g = gal(spark, sf)
     components = g.select(F.col("parent_pdf_id").alias("query_doc"), F.col("id").alias("query_id"), "embedding")
@@ -206,6 +240,8 @@ QUERIES = {
     "e5_skip_same_path": e5_skip_same_path,
     "e6_ann_knn": e6_ann_knn,
     "e6_ann_recall": e6_ann_recall,
+    "e6_index_search": e6_index_search,
+    "e6_index_recall": e6_index_recall,
     "e7_retrieve_documents": e7_retrieve_documents,
     "e7_retrieve_details": e7_retrieve_details,
     "e10_centroid_query": e10_centroid_query,
@@ -239,6 +275,23 @@ _ANN = f"""v as (select vec_id, embedding::double[] as e from embeddings),
  from v, centers p),
  cand as (select a.vec_id as query_id, b.vec_id as id, va.e as a, vb.e as b from near_center a join near_center b on a.cell = b.cell and a.r <= 4 and b.r = 1
  join v va on va.vec_id = a.vec_id join v vb on vb.vec_id = b.vec_id)"""
+_SIM = lambda a, b: _COS.replace("(a, a)", f"({a}, {a})").replace("(b, b)", f"({b}, {b})").replace("(a, b)", f"({a}, {b})")
+_INDEX = f"""v as (select vec_id, embedding::double[] as e from embeddings),
+ first_batch as (select vec_id, case when vec_id % 6 = 0 then list_reverse(e) else e end as e from v where vec_id % 3 <> 1),
+ drawn as (select *, row_number() over (order by md5(concat('42:', cast(vec_id as varchar))), vec_id) as cell from first_batch),
+ pivots as (select e, min(cell) as cell from drawn where cell <= (select cast(round(sqrt(count(*))) as int) from first_batch) group by e),
+ coarse_pivots as (select * from pivots order by cell limit (select cast(ceil(sqrt(count(*))) as int) from pivots)),
+ pivot_home as (select cell, e, home from (select p.cell, p.e, c.cell as home, row_number() over (partition by p.cell order by round({_SIM('p.e', 'c.e')}, 12) desc, c.cell) as r
+ from pivots p, coarse_pivots c) where r = 1),
+ home as (select vec_id, e, home from (select v.vec_id, v.e, c.cell as home, row_number() over (partition by vec_id order by round({_SIM('v.e', 'c.e')}, 12) desc, c.cell) as r
+ from v, coarse_pivots c) where r = 1),
+ placed as (select vec_id, cell from (select h.vec_id, p.cell, row_number() over (partition by vec_id order by round({_SIM('h.e', 'p.e')}, 12) desc, p.cell) as r
+ from home h join pivot_home p on h.home = p.home) where r = 1),
+ visits as (select q.vec_id, p.cell, row_number() over (partition by q.vec_id order by round({_SIM('q.e', 'p.e')}, 12) desc, p.cell) as place
+ from v q, pivots p where q.vec_id % 20 = 0),
+ size as (select count(*) as cells from pivots),
+ cand as (select n.vec_id as query_id, b.vec_id as id, va.e as a, vb.e as b from visits n join placed b on n.cell = b.cell
+ join v va on va.vec_id = n.vec_id join v vb on vb.vec_id = b.vec_id where n.place <= (select cast(ceil(3 * cells / 4) as int) from size))"""
 _GALPAIRS = """pairs as (select p.id as query_id, q.id as id, p.parent_pdf_id as query_doc, q.parent_pdf_id, q.component_type,
  p.path as query_path, q.path as path, p.embedding::double[] as a, q.embedding::double[] as b from gal p, gal q)"""
 _NEAR = """near as (select * from (select *, row_number() over (partition by query_id order by round(1 - similarity, 12), id) as place
@@ -293,6 +346,11 @@ ORACLE = {
     "e6_ann_recall": sql(more=_ALL + ", " + _ANN + ", found as (" + _knn_sql(_COS, 5, "cand") + "), exact as (" + _knn_sql(f"1 - {_COS}", 5, order="asc") + ")")
     + """select count(distinct e.query_id) as queries, round(avg(case when f.id is null then 0.0 else 1.0 end), 6) as recall
  from exact e left join found f on e.query_id = f.query_id and e.id = f.id""",
+    "e6_index_search": sql(more=_INDEX) + _knn_sql(_COS, 5, "cand"),
+    "e6_index_recall": sql(more=f"{_ALL.replace('embeddings q)', 'embeddings q where p.vec_id % 20 = 0)')}, {_INDEX}, exact as (" + _knn_sql(f"1 - {_COS}", 5, order="asc") + """),
+ levels as (select cast(ceil(n * cells / 4) as bigint) as probes from size, range(1, 5) t(n))""")
+    + """select probes, round(avg(case when place <= probes then 1.0 else 0.0 end), 6) as recall
+ from levels, exact x join placed p on x.id = p.vec_id left join visits n on n.vec_id = x.query_id and n.cell = p.cell group by probes""",
     "e7_retrieve_documents": sql("gal", more=_GALPAIRS + ", " + _NEAR.format(cos=_COS, k=10) + """,
  scored as (select query_doc, parent_pdf_id, sum(similarity * case component_type when 'roi_0' then 2 else 1 end) as score,
  count(*) as accumulated_matches from near group by query_doc, parent_pdf_id),
