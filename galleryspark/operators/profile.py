@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from galleryspark.functions import vectors as V
 from galleryspark.operators.ordering import hash_key, sample_n
 from galleryspark.operators.quantiles import exact_quantiles, melt, summary
+from galleryspark.session import cut_lineage
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -94,47 +97,54 @@ def tag_outliers(df: DataFrame, outlier_flag: str | None = None, status: str | N
 
 
 def project_2d(df: DataFrame, vector: str = "embedding", sample: int | None = None, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
-    """(id, px, py): the two first principal components of all rows, or of a sample of so many."""
+    """(id, px, py): the two first principal components of all rows, or of a sample of so many.
+
+    A component points to where its largest coordinate (of equal ones the first) is positive.
+    """
     rows = df.select(id_col, array_to_vector(V.as_double(F.col(vector))).alias("features"))
     if sample is not None:
         rows = sample_n(rows, sample, seed, F.col(id_col))
     model = PCA(k=2, inputCol="features", outputCol="map").fit(rows)
+    axes = model.pc.toArray()
+    largest = np.argmax(np.round(np.abs(axes), 9), axis=0)
+    sign = [float(np.sign(axes[at, axis]) or 1.0) for axis, at in enumerate(largest)]
     placed = model.transform(rows).withColumn("map", vector_to_array("map"))
-    return placed.select(id_col, F.col("map")[0].alias("px"), F.col("map")[1].alias("py"))
+    return placed.select(id_col, (F.col("map")[0] * sign[0]).alias("px"), (F.col("map")[1] * sign[1]).alias("py"))
 
 
 # --- isolation forest ------------------------------------------------------------------------
 
 TREE_ROWS = 256  # fixed size of a tree's sample
+SCORE_DECIMALS = 12  # scores equal to this many places lie on the same side of the limit
 
 
-def _expected_depth(n: np.ndarray) -> np.ndarray:
-    n = np.asarray(n, dtype=float)
-    harmonic = np.log(np.maximum(n - 1, 1)) + np.euler_gamma
-    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+def _expected_depth(n: int) -> float:
+    if n > 2:
+        return 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+    return 1.0 if n == 2 else 0.0
 
 
-def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes as (feature, cut, left, right, depth term); leaves have feature -1."""
-    nodes: list[tuple] = []
-    stack = [(np.arange(len(values)), 0, -1, False)]
+def _grow(values: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes (node, feature, cut, path length) numbered as a heap from 1; leaves have feature -1.
+
+    The md5 of ``seed:tree:node`` says at which coordinate the search for one that varies in the node starts, and
+    where between its extremes the cut lies.
+    """
+    nodes, stack = [], [(1, 0, np.arange(len(values)))]
     while stack:
-        rows, depth, parent, is_right = stack.pop()
-        at = len(nodes)
-        if parent >= 0:
-            feature, cut, left, right, term = nodes[parent]
-            nodes[parent] = (feature, cut, left, at, term) if is_right else (feature, cut, at, right, term)
-        spread = values[rows].max(axis=0) - values[rows].min(axis=0) if len(rows) else np.zeros(values.shape[1])
-        wide = np.nonzero(spread > 0)[0]
-        if depth >= limit or len(rows) <= 1 or not len(wide):
-            nodes.append((-1, 0.0, -1, -1, depth + float(_expected_depth(len(rows)))))
+        node, depth, rows = stack.pop()
+        low, high = (values[rows].min(axis=0), values[rows].max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
+        wide = np.nonzero(high > low)[0]
+        if depth >= limit or not len(wide):
+            nodes.append((node, -1, 0.0, depth + _expected_depth(len(rows))))
             continue
-        feature = int(rng.choice(wide))
-        column = values[rows, feature]
-        cut = float(rng.uniform(column.min(), column.max()))
-        nodes.append((feature, cut, -1, -1, 0.0))
-        stack.append((rows[column >= cut], depth + 1, at, True))
-        stack.append((rows[column < cut], depth + 1, at, False))
+        digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+        start, share = int(digest[:13], 16) % values.shape[1], int(digest[13:26], 16) / 2.0**52
+        feature = int(wide[np.argmin((wide - start) % values.shape[1])])
+        cut = float(low[feature] + share * (high[feature] - low[feature]))
+        nodes.append((node, feature, cut, 0.0))
+        below = values[rows, feature] < cut
+        stack += [(2 * node, depth + 1, rows[below]), (2 * node + 1, depth + 1, rows[~below])]
     return nodes
 
 
@@ -143,57 +153,53 @@ def isolation_scores(
 ) -> DataFrame:
     """(id, score, is_outlier): isolation-forest scores, the top ``contamination`` share flagged.
 
-    Each tree is grown in its own task from 256 rows; the trees, a few hundred kilobytes, go to the
-    scoring tasks. Tree t samples the rows t * 256 ... of the hash order, starting again at the top when the
-    table is too small for disjoint samples.
+    The sample of a tree is 256 places of the hash order, taken on a ring of the first trees * 256 rows (of all rows, if
+    they are fewer): tree t starts at place t * 256. Each tree is grown in its own task; the trees, a few hundred
+    kilobytes, go to the scoring tasks. All choices come from md5, so the forest does not depend on partitions.
     """
     rows = df.select(F.col(id_col).alias("id"), V.as_double(F.col(vector)).alias("v"))
-    n = rows.count()
-    ordered = Window.partitionBy(F.lit(0)).orderBy("_h", "id")
-    # The sample is trees * 256 rows whatever the table size: the window sorts only those.
+    kind = dict(rows.dtypes)["id"]
+    ordered = Window.partitionBy(F.lit(0)).orderBy("_h", "id")  # over the trees * 256 rows of the ring at most
     head = rows.withColumn("_h", hash_key(seed, F.col("id"))).orderBy("_h", "id").limit(trees * TREE_ROWS)
-    placed = head.withColumn("_p", F.row_number().over(ordered) - 1)
-    if n >= trees * TREE_ROWS:
-        samples = placed.withColumn("tree", F.floor(F.col("_p") / TREE_ROWS).cast("int"))
-    else:
-        again = placed.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        pick = Window.partitionBy("tree").orderBy(hash_key(F.col("tree"), F.col("id")), "id")
-        picked = again.withColumn("_q", F.row_number().over(pick)).where(F.col("_q") <= TREE_ROWS)
-        samples = picked.join(placed.select("id", "v"), "id")
+    ring = cut_lineage(head.select("v", (F.row_number().over(ordered) - 1).alias("place")))
+    n = ring.count()
+    if not n:
+        return rows.select("id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("is_outlier"))
+    per = min(TREE_ROWS, n)
+    limit = math.ceil(math.log2(max(per, 2)))
+    taken = df.sparkSession.range(trees * per).select(F.expr(f"int(id div {per})").alias("tree"), (F.col("id") % per).alias("j"))
+    samples = taken.withColumn("place", (F.col("tree") * TREE_ROWS + F.col("j")) % n).join(ring, "place")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
         tree = int(pdf["tree"].iloc[0])
-        limit = int(np.ceil(np.log2(max(min(TREE_ROWS, n), 2))))
-        nodes = _grow(np.stack(pdf["v"].to_numpy()), np.random.default_rng(seed + tree), limit)
-        out = pd.DataFrame(nodes, columns=["feature", "cut", "lft", "rgt", "depth"])
-        return out.assign(tree=tree, node=np.arange(len(out)))
-
-    grown = samples.select("id", "v", "tree").groupBy("tree").applyInPandas(
-        grow, "tree int, node int, feature int, cut double, lft int, rgt int, depth double"
-    )
-    table = grown.toPandas().sort_values(["tree", "node"])  # at most 2 * 256 nodes per tree
-    forest = df.sparkSession.sparkContext.broadcast([g[["feature", "cut", "lft", "rgt", "depth"]].to_numpy() for _, g in table.groupby("tree")])
-    normal = float(_expected_depth(min(TREE_ROWS, n)))
+        nodes = _grow(np.stack(pdf["v"].to_numpy()), seed, tree, limit)
+        return pd.DataFrame(nodes, columns=["node", "feature", "cut", "length"]).assign(tree=tree)
+
+    grown = samples.select("v", "tree").groupBy("tree").applyInPandas(grow, "node int, feature int, cut double, length double, tree int")
+    table = grown.toPandas()  # at most 2 * 256 nodes per tree
+    feature = np.full((trees, 2 << limit), -1)
+    cut, length = np.zeros(feature.shape), np.zeros(feature.shape)
+    at = (table["tree"].to_numpy(), table["node"].to_numpy())
+    feature[at], cut[at], length[at] = table["feature"], table["cut"], table["length"]
+    forest = df.sparkSession.sparkContext.broadcast((feature, cut, length))
+    normal = _expected_depth(per) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        feature, cut, length = forest.value
         for pdf in batches:
             if pdf.empty:
                 continue
             values = np.stack(pdf["v"].to_numpy())
-            total = np.zeros(len(values))
-            for nodes in forest.value:
-                at = np.zeros(len(values), dtype=int)
-                while True:
-                    feature = nodes[at, 0].astype(int)
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    left = values[np.arange(len(values)), np.maximum(feature, 0)] < nodes[at, 1]
-                    at = np.where(inner, np.where(left, nodes[at, 2], nodes[at, 3]).astype(int), at)
-                total += nodes[at, 4]
-            yield pd.DataFrame({"id": pdf["id"], "score": 2.0 ** (-total / len(forest.value) / normal)})
-
-    scored = rows.mapInPandas(score, f"id {dict(rows.dtypes)['id']}, score double")
-    limit = exact_quantiles(melt(scored, {"score": F.col("score")}), [1.0 - contamination]).first().q[0]
-    return scored.withColumn("is_outlier", F.col("score") > F.lit(limit))
+            each, total = np.arange(len(values)), np.zeros(len(values))
+            for tree in range(trees):
+                node = np.ones(len(values), dtype=int)
+                for _ in range(limit):
+                    inner = feature[tree, node] >= 0
+                    right = values[each, np.maximum(feature[tree, node], 0)] >= cut[tree, node]
+                    node = np.where(inner, 2 * node + right, node)
+                total += length[tree, node]
+            yield pd.DataFrame({"id": pdf["id"], "score": np.round(2.0 ** (-total / trees / normal), SCORE_DECIMALS)})
+
+    scored = cut_lineage(rows.mapInPandas(score, f"id {kind}, score double"))  # read again for the limit
+    top = exact_quantiles(melt(scored, {"score": F.col("score")}), [1.0 - contamination]).first().q[0]
+    return scored.withColumn("is_outlier", F.col("score") > F.lit(top))

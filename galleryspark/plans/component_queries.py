@@ -192,7 +192,59 @@ def _describe(std):
 _LONG = """long as (select class, 'width' as metric, w::double as v from cmp union all select class, 'height', h::double from cmp
  union all select class, 'aspect_ratio', case when h > 0 then w / h::double else 1 end from cmp)"""
 
+def _forest_sql(trees=100, levels=8):
+    """The forest level by level: nodes of the sample (``l``), their cuts (``c``), then the way of every vector (``p``)."""
+    depth = lambda n: (
+        f"case when {n} > 2 then 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n}::double when {n} = 2 then 1.0::double else 0.0::double end"
+    )
+    digits = lambda first: f"cast('0x' || substr(md5(concat('42:', tree, ':', node)), {first}, 13) as bigint)"
+    parts = [f"""v as materialized (select vec_id, embedding::double[] as e from embeddings),
+ ring as materialized (select e, row_number() over (order by md5(concat('42:', vec_id)), vec_id) - 1 as place from v qualify place < {trees * 256}),
+ size as materialized (select count(*) as n, least(256, count(*)) as per, cast(ceil(log2(greatest(2, least(256, count(*))))) as int) as deepest from ring),
+ l0 as materialized (select t as tree, 1 as node, e from range(0, {trees}) a(t), range(0, 256) b(j), size, ring where j < per and place = (t * 256 + j) % n),
+ p0 as materialized (select vec_id, t as tree, 1 as node from v, range(0, {trees}) a(t))"""]
+    for k in range(levels + 1):
+        parts.append(f"n{k} as materialized (select tree, node, count(*) as n from l{k} group by tree, node)")
+        parts.append(f"""c{k} as materialized (select tree, node, f as feature, low + {digits(14)} / 4503599627370496.0::double * (high - low) as cut from (
+ select tree, node, f, min(x) as low, max(x) as high, max(width) as width from (select tree, node, len(e) as width, unnest(e) as x, unnest(range(0, len(e))) as f from l{k}) group by tree, node, f)
+ where high > low and {k} < (select deepest from size)
+ qualify row_number() over (partition by tree, node order by (f - {digits(1)} % width + width) % width) = 1)""")
+        parts.append(f"""t{k} as materialized (select p.vec_id, {k} + {depth('m.n')} as length
+ from p{k} p left join n{k} m on p.tree = m.tree and p.node = m.node where not exists (select 1 from c{k} c where c.tree = p.tree and c.node = p.node))""")
+        if k < levels:
+            parts.append(f"l{k + 1} as materialized (select l.tree, 2 * l.node + cast(e[feature + 1] >= cut as int) as node, e from l{k} l join c{k} c on l.tree = c.tree and l.node = c.node)")
+            parts.append(f"""p{k + 1} as materialized (select p.vec_id, p.tree, 2 * p.node + cast(e[feature + 1] >= cut as int) as node
+ from p{k} p join c{k} c on p.tree = c.tree and p.node = c.node join v on v.vec_id = p.vec_id)""")
+    lengths = " union all ".join(f"select * from t{k}" for k in range(levels + 1))
+    parts.append(f"""scored as materialized (select vec_id as id, round(pow(2.0, -sum(length) / {trees} / (select {depth('per')} from size)), 12) as score
+ from ({lengths}) group by vec_id)""")
+    return sql(more=",\n".join(parts)) + "select id, round(score, 6) as score, score > (select quantile_cont(score, 0.95) from scored) as is_outlier from scored"
+
+
+def _projection_sql(squarings=26):
+    """Leading axes by powers of the covariance: each squaring doubles the power, so the strongest axis is left."""
+    parts = ["""x as materialized (select vec_id, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as i from embeddings),
+ centred as materialized (select vec_id, i, x - avg(x) over (partition by i) as x from x),
+ c1 as materialized (select a.i, b.i as j, sum(a.x * b.x) / (select count(*) - 1 from embeddings) as s from centred a join centred b on a.vec_id = b.vec_id group by a.i, b.i)"""]
+    for axis in (1, 2):
+        last = f"c{axis}"
+        for k in range(squarings):
+            name = f"m{axis}_{k}"
+            parts.append(f"""{name} as materialized (select i, j, s / sum(s) filter (i = j) over () as s from (
+ select a.i, b.j, sum(a.s * b.s) as s from {last} a join {last} b on a.j = b.i group by a.i, b.j))""")
+            last = name
+        parts.append(f"""r{axis} as materialized (select i, s / sqrt(sum(s * s) over ()) as u from {last} where j = (select i from {last} where i = j order by s desc, i limit 1)),
+ a{axis} as materialized (select i, u * (select sign(u) from r{axis} order by round(abs(u), 9) desc, i limit 1) as u from r{axis})""")
+        if axis == 1:
+            parts.append("""c2 as materialized (select c1.i, c1.j, c1.s - (select sum(p.u * c.s * q.u) from c1 c join a1 p on p.i = c.i join a1 q on q.i = c.j) * p.u * q.u as s
+ from c1 join a1 p on p.i = c1.i join a1 q on q.i = c1.j)""")
+    return sql(more=",\n".join(parts)) + """select vec_id, round(sum(x * a1.u), 6) as px, round(sum(x * a2.u), 6) as py
+ from x join a1 on a1.i = x.i join a2 on a2.i = x.i group by vec_id"""
+
+
 ORACLE = {
+    "i5_isolation_scores": _forest_sql(),
+    "i6_project_2d": _projection_sql(),
     "b9_component_ids": sql("cmp", more=_PLACED)
     + "select image_id, label, concat('I', image_id, '_roi_', r - 1) as id, concat('roi_', r - 1) as component_type from placed",
     "b10_aspect_ratio": sql("cmp") + "select image_id, label, round(w / h::double, 6) as aspect_ratio from cmp where w / h::double < 0.2 or w / h::double > 5.0",

@@ -169,6 +169,26 @@ def test_isolation_finds_the_far_point(spark):
     assert out[0].id == 7 and sum(r.is_outlier for r in out) == 15
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 40])
+def test_isolation_of_small_tables_and_partitions(spark, n):
+    values = np.random.default_rng(n).integers(0, 3, size=(n, 3)) * 1.0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got, again = ({r.id: (r.score, r.is_outlier) for r in P.isolation_scores(df.repartition(p), trees=9).collect()} for p in (1, 5))
+    assert got == again and len(got) == n
+    assert all(0 < score <= 1 for score, _ in got.values())
+
+
+def test_projection_sign(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=(200, 5)) * [1, 9, 2, 4, 1]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(values)], "vec_id bigint, embedding array<double>")
+    axes = np.linalg.svd(values - values.mean(axis=0), full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
+    for r in P.project_2d(df).collect():
+        assert (r.px, r.py) == pytest.approx(tuple(values[r.vec_id] @ axes.T), abs=1e-8)
+
+
 def test_best_epochs_and_carry(spark):
     rows = [("r", e, a, v) for e, a, v in [(1, 1, 0.5), (1, 2, 0.4), (2, 3, 0.4), (3, 4, 0.3), (4, 5, 0.9), (5, 6, 0.2)]]
     log = X.latest_per_epoch(spark.createDataFrame(rows, "run string, epoch int, arrival int, val_loss double"))
