@@ -240,6 +240,34 @@ def l3_batch_sessions(spark, sf):
     return rounded(_texts(J.activity_sessions(_samples(table(spark, sf, "events")), "1 hour"), "session_start", "session_end"), "max")
 
 
+def _in_batches(spark, sf, partial, keep):
+    """Partial results of the events, streamed in four batches that each hold rows of all times."""
+    events = keep(table(spark, sf, "events"))
+    folder, path = work_folder(spark, "events"), work_folder(spark, "partials")
+    events.repartition(4, F.xxhash64("ts", "value")).write.parquet(folder)
+    stream = J.read_parquet_stream(spark, folder, events.schema, files_per_batch=1)
+    J.stream_partials(stream, partial, path, work_folder(spark, "stream"))
+    return spark.read.parquet(path).drop("batch")
+
+
+def l2_stream_monitor_whole(spark, sf):
+    """The monitor with every window, those still open at the end included. Means of a few values often lie halfway
+    between two numbers of 6 digits, so 12 are shown."""
+    partials = _in_batches(spark, sf, lambda rows: J.partial_windows(rows, "run", F.col("z_std"), "3 hours"), _monitor_rows)
+    whole = J.whole_windows(partials, "run").withColumnRenamed("mean", "mean_std").drop("max")
+    return rounded(_texts(whole.where(F.col("mean_std") < THRESHOLD), "window_start", "window_end"), "mean_std", digits=12)
+
+
+def l3_stream_windows_whole(spark, sf):
+    partials = _in_batches(spark, sf, lambda rows: J.partial_windows(rows, "host", F.col("value"), "2 hours", "1 hour"), _samples)
+    return rounded(_texts(J.whole_windows(partials, "host"), "window_start", "window_end"), "mean", "max")
+
+
+def l3_stream_sessions_whole(spark, sf):
+    partials = _in_batches(spark, sf, lambda rows: J.activity_sessions(rows, "1 hour"), _samples)
+    return rounded(_texts(J.whole_sessions(partials), "session_start", "session_end"), "max")
+
+
 QUERIES = {
     "a1_scan_files": a1_scan_files,
     "a3_scan_archive": a3_scan_archive,
@@ -265,6 +293,9 @@ QUERIES = {
     "l3_batch_windows": l3_batch_windows,
     "l3_stream_sessions": l3_stream_sessions,
     "l3_batch_sessions": l3_batch_sessions,
+    "l2_stream_monitor_whole": l2_stream_monitor_whole,
+    "l3_stream_windows_whole": l3_stream_windows_whole,
+    "l3_stream_sessions_whole": l3_stream_sessions_whole,
 }
 
 _FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -337,4 +368,7 @@ ORACLE = {
     "l3_batch_windows": sql(more=_WINDOWS) + _WINDOWS_OUT,
     "l3_stream_sessions": sql(more=_SESSIONS) + _SESSIONS_OUT + f" where b <= {_DONE}",
     "l3_batch_sessions": sql(more=_SESSIONS) + _SESSIONS_OUT,
+    "l2_stream_monitor_whole": sql(more=_MONITOR) + _MONITOR_OUT.replace("round(m, 6)", "round(m, 12)"),
+    "l3_stream_windows_whole": sql(more=_WINDOWS) + _WINDOWS_OUT,
+    "l3_stream_sessions_whole": sql(more=_SESSIONS) + _SESSIONS_OUT,
 }
