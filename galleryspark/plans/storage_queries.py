@@ -245,7 +245,8 @@ def _in_batches(spark, sf, partial, keep):
     events = keep(table(spark, sf, "events"))
     folder, path = work_folder(spark, "events"), work_folder(spark, "partials")
     events.repartition(4, F.xxhash64("ts", "value")).write.parquet(folder)
-    stream = J.read_parquet_stream(spark, folder, events.schema, files_per_batch=1)
+    files = len(spark.read.parquet(folder).inputFiles())  # the session may cut the rows into more files than asked for
+    stream = J.read_parquet_stream(spark, folder, events.schema, files_per_batch=-(-files // 4))
     J.stream_partials(stream, partial, path, work_folder(spark, "stream"))
     return spark.read.parquet(path).drop("batch")
 
