@@ -12,7 +12,8 @@ machine; what it writes has a factor, so "you are an I" weighs more than "I", "n
 
 A text's score is a logistic function of its clauses: sum and maximum of their scores, how many matched, how many
 different words did, and the number of words. Its coefficients are fitted on labelled rows of the other of two halves
-than the paths (and the other way round), so that chance paths earn no trust.
+than the paths (and the other way round), so that chance paths earn no trust. Where few labels say little, a short list of
+known insults and the expected signs of the coefficients stand in.
 
 At most TRAIN_ROWS labelled rows are used, in hash order; of labelled near copies (equal smallest shingle hash) one. Cases:
 null and empty texts have no clause and get the score of no match; a null doc_id is scored but neither held out nor
@@ -43,12 +44,22 @@ OVERRULE_DOCS = 8
 LEXICON = 20_000
 END = "$"
 RIDGE = 1.0
+#: What the ridge pulls the coefficients of ClauseScorer.NAMES to: without evidence an insult raises the score.
+EXPECTED = (0.0, 1.0, 1.0, 0.0, 1.0, 0.0)
 
 TARGET_REACH, THREAT_REACH, NEGATION_REACH = 5, 3, 4
 # Word lists of the closed classes in English, German, French and Spanish.
 TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta vous votre tú ti tus vosotros usted ustedes".split()
 THREATS = "kill murder hurt destroy strangle stab shoot crush töten umbringen erschießen verprügeln vernichten tuer frapper détruire matar golpear destruir".split()
 NEGATORS = "not no never isn't aren't wasn't don't nobody nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split()
+# Insults that have KNOWN_WEIGHT from the start, for tables with few labels; enough labelled documents without a sign of toxicity overrule it.
+INSULTS = (
+    "idiot idiots stupid moron morons imbecile loser losers disgusting pathetic worthless scum scumbag filth filthy trash garbage bastard dumb dumbass fool "
+    "idioten idiotisch dumm dummkopf trottel versager ekelhaft widerlich erbärmlich wertlos abschaum dreckskerl schwachkopf "
+    "idiote idiotes stupide imbécile crétin abruti débile minable dégoûtant pathétique ordure salaud racaille "
+    "idiota idiotas estúpido estúpida imbécil tonto inútil basura asqueroso asquerosa patético patética escoria"
+).split()
+KNOWN_WEIGHT = 2.0
 REPORTERS = "said says wrote writes called claims claimed quoted sagte sagt schrieb nannte behauptet dit disait écrit appelé dijo dice escribió llamó".split()
 
 INPUTS = ["other", "insult", "threat", "target", "not", "report", "close", "comma"]
@@ -194,18 +205,24 @@ class ClauseScorer:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients of a logistic regression with a ridge on all but the first (Newton steps)."""
+    """Coefficients of a logistic regression with a ridge towards EXPECTED on all but the first (Newton steps, halved until
+    the loss falls: whole ones run away from few labels)."""
     share = (y.sum() + 0.5) / (len(y) + 2)
     w = np.zeros(x.shape[1])
     w[0] = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return w
+    expected = np.array(EXPECTED)
     ridge = np.full(x.shape[1], RIDGE)
     ridge[0] = 1e-6
-    for _ in range(25):
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (ridge * (w - expected) ** 2).sum() / 2
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -4, 4)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * (w - expected))
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() >= 1e-6:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -249,6 +266,10 @@ def lexicon_of(counts: pd.DataFrame, totals: tuple[float, float], toxic: np.ndar
     for path in paths[harmless]:
         if any(path[:k] in found for k in range(SHORTEST, len(path))):
             found.setdefault(path, 0.0)
+    overruled = set(paths[harmless])
+    for path in (word + END for word in INSULTS):
+        if path not in overruled:
+            found.setdefault(path, KNOWN_WEIGHT)
     return found
 
 
@@ -269,7 +290,8 @@ def _learned(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     under = common.select("path", F.explode(below).alias("start")).join(F.broadcast(lifted.select(F.col("path").alias("start"))), "start")
     under = counts.join(under.select("path").distinct(), "path", "left_semi").join(lifted, "path", "left_anti")
     under = under.orderBy(F.desc(toxic + F.col("other0") + F.col("other1")), "path").limit(LEXICON)
-    table = lifted.unionByName(under).toPandas()  # 2 * LEXICON rows at most
+    known = counts.where(F.col("path").isin([word + END for word in INSULTS])).join(lifted, "path", "left_anti").join(under, "path", "left_anti")
+    table = lifted.unionByName(under).unionByName(known).toPandas()  # 2 * LEXICON + len(INSULTS) rows at most
     lexicons = {}
     for name, halves in ((0, (0,)), (1, (1,)), ("all", (0, 1))):
         t, o = (sum(table[f"{k}{h}"].to_numpy(float) for h in halves) for k in ("toxic", "other"))

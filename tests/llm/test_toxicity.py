@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from galleryspark.llm import queries, toxicity
@@ -118,3 +119,32 @@ def test_held_out_documents(spark):
     own = got[got["doc_id"].isin(english)]  # other languages have five toxic texts each to learn from
     assert ((own["predicted"] == 1) & (own["toxic"] == 1)).sum() >= 0.9 * (own["toxic"] == 1).sum()
     assert (got["predicted"] > got["toxic"]).sum() <= 0.03 * len(got)
+
+
+def test_few_labels_still_rank_insults():
+    """No learned path and a table of eight labels: the known insults and the expected signs decide."""
+    texts = ["you are an idiot", "a valve of brass", "what a pathetic loser", "the pump and its seal", "ein Ventil", "one more line", "a b c", "text"]
+    labels = np.array([1, 0, 1, 0, 0, 0, 0, 0], float)
+    none = np.zeros(0)
+    scorer = toxicity.ClauseScorer(toxicity.lexicon_of(pd.DataFrame({"path": np.zeros(0, object)}), (2, 6), none, none))
+    w = toxicity.fit_logistic(scorer.features(texts), labels)
+    high, low = scorer.features(["she met that idiot here", "she met that friend here"]) @ w
+    assert high > low
+
+
+def test_labels_overrule_known_insults():
+    table = pd.DataFrame({"path": ["scum" + toxicity.END]})
+    assert ("scum" + toxicity.END) not in toxicity.lexicon_of(table, (50, 50), np.array([4.0]), np.array([9.0]))
+
+
+def test_fit_does_not_run_away():
+    """Whole Newton steps leave the minimum on some small tables; the loss may not rise above that of the start."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        x = np.column_stack([np.ones(30), rng.normal(0, 6, (30, 5))])
+        y = (x[:, 1] + x[:, 2] + rng.normal(0, 1, 30) > 6).astype(float)
+        if not 0 < y.sum() < len(y):
+            continue
+        loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ((w - np.array(toxicity.EXPECTED))[1:] ** 2).sum() / 2  # noqa: B023, E731
+        w, step = toxicity.fit_logistic(x, y), 1e-3
+        assert all(loss(w) <= loss(w + step * e) + 1e-9 for e in (*np.eye(6)[1:], *-np.eye(6)[1:]))
