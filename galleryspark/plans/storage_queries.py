@@ -177,16 +177,19 @@ def m4_filter_and_extract(spark, sf):
     return X.apply(files(spark, sf), *steps).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _table_stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of files: as a pattern its path may name either."""
+    return J.read_parquet_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
+
+
 def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return J.read_parquet_stream(spark, sf, schema, "events.parquet")
+    return _table_stream(spark, sf, "events")
 
 
 def l1_stream_index(spark, sf):
     """All vectors streamed into a store as gallery records."""
-    schema = emb(spark, sf).schema
     store = S.VectorStore(spark, work_folder(spark, "store"))
-    stream = J.read_parquet_stream(spark, sf, schema, "embeddings.parquet")
+    stream = _table_stream(spark, sf, "embeddings")
     J.stream_index(stream, store, work_folder(spark, "stream"), lambda batch: _records(gal_rows(batch), 1)).awaitTermination()
     return store.current().select("id", "category", "component_type", "parent_pdf_id", F.size("embedding").alias("dim"))
 

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from galleryspark.plans import storage_queries
 from galleryspark.streaming import jobs as J
 
 START = dt.datetime(2024, 3, 30, 20)
@@ -62,3 +63,10 @@ def test_sessions_stay_merged_when_columns_are_pruned(spark):
         whole = sessions.collect()
         assert sessions.count() == len(whole)
         assert as_set(sessions.select("session_start", "session_end")) == sorted(f"Row(session_start={r.session_start!r}, session_end={r.session_end!r})" for r in whole)
+
+
+def test_table_of_many_files_as_stream(spark, tmp_path):
+    """The tables may be folders of files as well as single files."""
+    rows = [(n, [float(n)] * 3, n % 2) for n in range(9)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert storage_queries.l1_stream_index(spark, str(tmp_path)).count() == 9
