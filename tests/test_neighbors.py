@@ -285,3 +285,41 @@ def test_pair_scores_of_one_class(spark):
     (row,) = E.pair_score_summary(rows).collect()
     assert row.is_tp and row.n == 6 and row.max <= 1
     assert E.pair_score_margin(rows).first().fp_mean is None
+
+
+def test_block_ranking_streams_pieces_with_ties(spark):
+    """Copies that tie across pieces and classes: the ranking in blocks gives the rows of the whole one."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 4))
+    rows = [(int(i), [float(x) for x in base[i % 12]], int(i * 7 % 3)) for i in rng.permutation(150)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    rank = lambda n: {r.id: (round(r.ap, 12), r.m1, r.m5) for r in E.item_ranking(df, (1, 5), cell_rows=n).collect()}
+    assert rank(17) == rank(65_536)
+
+
+def test_export_returns_all_pairs_from_short_cells(spark, monkeypatch):
+    """No cell returns more than EXPORT_ROWS squared pairs, and all pairs come."""
+    monkeypatch.setattr(E, "EXPORT_ROWS", 16)
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0], i % 2) for i in range(70)], "vec_id bigint, embedding array<double>, label int")
+    pairs = E.export_pair_scores(df)
+    assert pairs.select("query_id", "id").distinct().count() == pairs.count() == 70 * 69
+
+
+def test_best_k_by_floor_of_the_head():
+    """The k best found behind the columns that give the floor, ties to the smaller column, infinities left out."""
+    rng = np.random.default_rng(5)
+    value = np.round(rng.normal(size=(7, 3000)), 2)
+    value[0, :1100] = -np.inf
+    row, col = blocks.best_k(value, 9)
+    for q in range(7):
+        order = [c for c in np.lexsort((np.arange(3000), -value[q])) if np.isfinite(value[q, c])][:9]
+        assert list(col[row == q]) == order
+
+
+def test_pair_counts_with_null_labels(spark):
+    """A null label is of no class; each cell merges its pieces."""
+    df = spark.createDataFrame([(i, [float(i), 1.0, 2.0], None if i % 3 == 0 else i % 3) for i in range(12)], "vec_id bigint, embedding array<double>, label int")
+    n = {r.is_tp: r.n for r in E.pair_score_counts(df, cell_rows=5).groupBy("is_tp").agg(F.sum("n").alias("n")).collect()}
+    assert n == {True: 24, False: 108}
+    margin = {r.is_tp: r.n for r in E.pair_score_summary(df, cell_rows=5).collect()}
+    assert margin == n
