@@ -109,11 +109,19 @@ class _TopK:
     def of(self, query_ids: np.ndarray, qv: np.ndarray, rpdf: pd.DataFrame) -> pd.DataFrame:
         gallery = rpdf.sort_values("id", kind="stable")
         ids, gv = gallery["id"].to_numpy(), blocks.matrix(gallery["gv"])
+        if self.metric == "cosine":  # once, not per slice
+            qv, gv = blocks.unit_rows(qv), blocks.unit_rows(gv)
+        if self.exclude_self:  # compared as numbers
+            both = np.concatenate([query_ids, ids])
+            codes, _ = pd.factorize(both)
+            asked, held = codes[: len(query_ids)], codes[len(query_ids) :]
+            if both.dtype != object:
+                held[held < 0] = -2  # a number that is missing equals no other
         found = []
         for part in blocks.slices(len(qv), len(gv)):
-            value = blocks.scores(qv[part], gv, self.metric)
+            value = qv[part] @ gv.T - 1.0 if self.metric == "cosine" else blocks.scores(qv[part], gv, self.metric)
             if self.exclude_self:
-                value[query_ids[part][:, None] == ids[None, :]] = -np.inf
+                value[asked[part][:, None] == held[None, :]] = -np.inf
             row, col = blocks.best_k(value, self.k)
             score = value[row, col]
             place = np.round(score, blocks.TIE_DECIMALS)  # what decides the rank
