@@ -7,6 +7,7 @@ the buckets are joined with their offsets, which are an aggregate of one row per
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from galleryspark.session import cut_lineage
 
 HASH_DIGITS = 3
+TASK_ROWS = 250_000  # rows that a task sorts or joins at once
 
 
 def hash_key(seed: int | Column, key: Column) -> Column:
@@ -22,6 +24,19 @@ def hash_key(seed: int | Column, key: Column) -> Column:
     return F.md5(F.concat(seed_text, F.lit(":"), key.cast("string")))
 
 
+def by_key(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """The rows dealt out by ``keys``, about TASK_ROWS to a task, where a large table is joined, ranked or grouped by them.
+
+    Left to itself, Spark merges shuffled parts to one for each core, up to 64 MB as they are packed, and a task that sorts
+    them several times holds gigabytes. A table that has fewer rows for each core stays as it is.
+    """
+    spark = df.sparkSession
+    n = df.count() if n is None else n
+    if n <= TASK_ROWS * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(math.ceil(n / TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def bucketed_rank(
     df: DataFrame,
     by: Sequence[str],

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from galleryspark.operators.ordering import bucketed_rank
+from galleryspark.operators.ordering import bucketed_rank, by_key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ GAL = """gal as (select vec_id, embedding, label,
 
 def cmp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per component on a 640x480 page."""
-    lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lineitem, orders = by_key(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "orders")
     lineitem.createOrReplaceTempView("gs_lineitem")
     orders.createOrReplaceTempView("gs_orders")
     return spark.sql(_CMP_SELECT.replace("lineitem", "gs_lineitem").replace("orders", "gs_orders"))

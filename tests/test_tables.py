@@ -1,5 +1,6 @@
 import json
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,9 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from galleryspark.functions import geometry as G, text as T
-from galleryspark.operators import components as C, curation as D, experiments as X, inventory as I, profile as P, tta
+from galleryspark.operators import components as C, curation as D, experiments as X, inventory as I, ordering, profile as P, tta
 from galleryspark.operators.ordering import bucketed_rank, bucketed_running, hash_rank, position_map
 from galleryspark.operators.quantiles import exact_quantiles, melt
+from galleryspark.plans import fixtures
 from galleryspark.sources import files as SF, labels as L, reports as R, store as S
 from galleryspark.streaming import jobs as J
 
@@ -288,3 +290,14 @@ def test_config(spark):
     flat = R.flatten_config(df, limit=250)
     assert flat.columns == ["train.lr", "train.opt.name", "seed"] and len(flat.first()[1]) == 250
     assert R.config_map(flat).first().params["train.lr"] == "0.1"
+
+
+def test_components_are_dealt_out_by_task_rows(spark, tmp_path, monkeypatch):
+    """Rows of a large component table are not merged into a task for each core."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 40)
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame([(i // 4, i % 4, i * 7, i * 3, 5.0, 1.0, 0.0, 0.0) for i in range(2000)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"p{i % 5}") for i in range(500)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = fixtures.cmp(spark, str(tmp_path)).select("image_id", "label", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.image_id, r.label) for r in rows) == [(i, k) for i in range(500) for k in range(1, 5)]
+    assert max(Counter(r.part for r in rows).values()) <= 5 * 40
