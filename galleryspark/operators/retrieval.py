@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from galleryspark.functions import text as T, vectors as V
 from galleryspark.operators.knn import knn
 from galleryspark.operators.vector_stats import Strategy, max_pool
+from galleryspark.session import cut_lineage
 
 
 def retrieve_documents(
@@ -39,6 +40,7 @@ def retrieve_documents(
         columns.append(F.array_sort(F.collect_list(detail)).alias("details"))
     groups = matches.groupBy(query_doc, "parent_pdf_id")
     if getattr(strategy, "in_python", False):  # Python aggregates cannot stand beside built-in ones
+        groups = cut_lineage(matches).groupBy(query_doc, "parent_pdf_id")  # stored, or the search ran for each side
         scored = groups.agg(*columns).join(groups.agg(score), [query_doc, "parent_pdf_id"])
     else:
         scored = groups.agg(score, *columns)

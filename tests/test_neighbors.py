@@ -323,3 +323,31 @@ def test_pair_counts_with_null_labels(spark):
     assert n == {True: 24, False: 108}
     margin = {r.is_tp: r.n for r in E.pair_score_summary(df, cell_rows=5).collect()}
     assert margin == n
+
+
+def test_gallery_goes_to_few_blocks_of_queries(spark, monkeypatch):
+    """Short pieces of the gallery do not make more blocks of queries; sent once or twice, the rows are those of the whole ranking."""
+    blocks_made, each = [], blocks._each
+    monkeypatch.setattr(blocks, "_each", lambda n: (blocks_made.append(str(n)), each(n))[1])
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3).round(1) + 0.01], int(rng.integers(3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    rank = lambda n: {r.id: (round(r.ap, 12), r.m1, r.m5) for r in E.item_ranking(df, (1, 5), cell_rows=n).collect()}
+    whole = rank(65_536)
+    blocks_made.clear()
+    assert rank(17) == whole
+    monkeypatch.setattr(blocks, "CELL_BYTES", 0)  # too little room to keep the gallery
+    assert rank(17) == whole
+    assert blocks_made == ["Column<'3'>"] * 2
+
+
+def test_python_strategy_searches_once(spark):
+    """Both sides of the join of a Python strategy read stored matches."""
+    df = spark.createDataFrame([(f"c{i}", f"d{i // 2}", "roi", [1.0, float(i)]) for i in range(12)], "id string, parent_pdf_id string, component_type string, embedding array<double>")
+    asked = df.select(F.col("parent_pdf_id").alias("query_doc"), F.col("id").alias("query_id"), "embedding")
+    found = R.retrieve_documents(asked, df, 3, X.pandas_strategy(lambda scores, kinds: scores.max()), with_details=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and "MapIn" not in plan
+    plain = R.retrieve_documents(asked, df, 3, S.max_pool(), with_details=False)
+    rows = lambda d: {(r.query_doc, r.parent_pdf_id, r["rank"], r.accumulated_matches, round(r.score, 9)) for r in d.collect()}
+    assert rows(found) == rows(plain)
