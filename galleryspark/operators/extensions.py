@@ -42,7 +42,7 @@ def pandas_strategy(function: Callable[[pd.Series, pd.Series], float]) -> Callab
     def build(score: Column, kind: Column) -> Column:
         return aggregate(score, kind)
 
-    build.in_python = True
+    build.function = function  # called for many documents of a batch in turn
     return build
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleryspark.functions import text as T, vectors as V
@@ -33,21 +37,52 @@ def retrieve_documents(
         .join(query_components.select(query_doc, "query_id"), "query_id")
     )
     strategy = strategy or max_pool()
-    score = strategy(F.col("similarity"), F.col("component_type")).alias("score")
     columns = [F.count(F.lit(1)).alias("accumulated_matches")]
     if with_details:
         detail = F.struct("query_id", "rank", "id", "component_type", "similarity")
         columns.append(F.array_sort(F.collect_list(detail)).alias("details"))
-    groups = matches.groupBy(query_doc, "parent_pdf_id")
-    if getattr(strategy, "in_python", False):  # Python aggregates cannot stand beside built-in ones
-        groups = cut_lineage(matches).groupBy(query_doc, "parent_pdf_id")  # stored, or the search ran for each side
-        scored = groups.agg(*columns).join(groups.agg(score), [query_doc, "parent_pdf_id"])
+    keys = [query_doc, "parent_pdf_id"]
+    if getattr(strategy, "function", None):
+        matches = cut_lineage(matches) if with_details else matches  # stored, or the search ran for each side of the join
+        scored = _scored_in_python(matches, keys, strategy.function)
+        if with_details:
+            scored = scored.join(matches.groupBy(*keys).agg(columns[1]), keys)
     else:
-        scored = groups.agg(score, *columns)
+        scored = matches.groupBy(*keys).agg(strategy(F.col("similarity"), F.col("component_type")).alias("score"), *columns)
     best = Window.partitionBy(query_doc).orderBy(F.desc(F.round("score", 9)), "parent_pdf_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _scored_in_python(matches: DataFrame, keys: list[str], function: Callable[[pd.Series, pd.Series], float]) -> DataFrame:
+    """(keys, score, accumulated_matches): the matches of a document lie side by side in a task, so that many documents share
+    a batch and only the function itself is called for each."""
+    known = matches.where(F.col(keys[0]).isNotNull()).select(*keys, "similarity", "component_type")
+    names = [*keys, "score", "accumulated_matches"]
+
+    def documents(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        scores, kinds = pdf["similarity"].to_numpy(), pdf["component_type"].to_numpy()
+        ends = [*starts[1:], len(pdf)]
+        value = [float(function(pd.Series(scores[a:b]), pd.Series(kinds[a:b]))) for a, b in zip(starts, ends)]
+        return pdf.iloc[starts][keys].assign(score=value, accumulated_matches=np.array(ends) - starts)[names]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            held = pdf.iloc[starts[-1] :]  # the last document may go on
+            if len(starts) > 1:
+                yield documents(pdf.iloc[: starts[-1]], starts[:-1])
+        if held is not None:
+            yield documents(held, np.zeros(1, int))
+
+    types = dict(matches.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "score double, accumulated_matches long"])
+    return known.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(score, schema)
+
+
 def with_lookup_label(df: DataFrame, label_map: DataFrame | None, resolved: str = "resolved_path", raw: str = "path") -> DataFrame:
     """Label of the resolved path, else of the raw path, else the parent directory name (null for a bare file name)."""
     parent = T.parent_name(F.col(raw))

@@ -341,13 +341,18 @@ def test_gallery_goes_to_few_blocks_of_queries(spark, monkeypatch):
     assert blocks_made == ["Column<'3'>"] * 2
 
 
-def test_python_strategy_searches_once(spark):
-    """Both sides of the join of a Python strategy read stored matches."""
+@pytest.mark.parametrize("with_details", [False, True])
+def test_python_strategy_searches_once(spark, with_details):
+    """No join runs the search again, no group is sent by itself; documents that lie across batches are whole."""
     df = spark.createDataFrame([(f"c{i}", f"d{i // 2}", "roi", [1.0, float(i)]) for i in range(12)], "id string, parent_pdf_id string, component_type string, embedding array<double>")
     asked = df.select(F.col("parent_pdf_id").alias("query_doc"), F.col("id").alias("query_id"), "embedding")
-    found = R.retrieve_documents(asked, df, 3, X.pandas_strategy(lambda scores, kinds: scores.max()), with_details=False)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "CoGroups" not in plan and "MapIn" not in plan
-    plain = R.retrieve_documents(asked, df, 3, S.max_pool(), with_details=False)
-    rows = lambda d: {(r.query_doc, r.parent_pdf_id, r["rank"], r.accumulated_matches, round(r.score, 9)) for r in d.collect()}
-    assert rows(found) == rows(plain)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = R.retrieve_documents(asked, df, 3, X.pandas_strategy(lambda scores, kinds: scores.max()), with_details=with_details)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CoGroups") <= 1 and "AggregateInPandas" not in plan and "PythonUDAF" not in plan
+        plain = R.retrieve_documents(asked, df, 3, S.max_pool(), with_details=with_details)
+        rows = lambda d: {(r.query_doc, r.parent_pdf_id, r["rank"], r.accumulated_matches, round(r.score, 9)) for r in d.collect()}
+        assert rows(found) == rows(plain)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
