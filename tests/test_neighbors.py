@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -356,3 +357,49 @@ def test_python_strategy_searches_once(spark, with_details):
         assert rows(found) == rows(plain)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_half_grid_meets_each_two_blocks_once(spark):
+    """Every unordered pair of rows lies in one cell, those of one key where a block meets itself."""
+    df = spark.createDataFrame([(i // 2, i) for i in range(60)], "key int, row int")
+
+    def kernel(one, other):
+        if other is one:
+            return pd.DataFrame([(a, b, True) for a in one["row"] for b in one["row"] if a <= b], columns=["a", "b", "own"])
+        return pd.DataFrame([(min(a, b), max(a, b), False) for a in one["row"] for b in other["row"]], columns=["a", "b", "own"])
+
+    met = blocks.half_grid(df, ["key"], kernel, "a int, b int, own boolean", cell_rows=7).collect()
+    assert sorted((r.a, r.b) for r in met) == [(a, b) for a in range(60) for b in range(a, 60)]
+    assert not all(r.own for r in met) and all(r.own for r in met if r.a // 2 == r.b // 2)
+
+
+@pytest.mark.parametrize("cell_rows", [16_384, 40])
+def test_pair_scores_take_each_pair_of_blocks_once(spark, monkeypatch, cell_rows):
+    """Repeated and null ids, null labels, copies and scores on the edges of bins: the rows of brute force, from half of the cells and no more than two passes."""
+    passes, half_grid = [], blocks.half_grid
+    monkeypatch.setattr(blocks, "half_grid", lambda *a, **k: (passes.append(1), half_grid(*a, **k))[1])
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(size=(150, 3)), 1)
+    values[:30], values[30:34] = values[0], 0.0
+    ids = [None if i % 50 == 7 else i // 2 if i < 20 else i for i in range(150)]
+    labels = [None if i % 9 == 0 else i % 4 for i in range(150)]
+    rows = [(i, [float(x) for x in v], l) for i, v, l in zip(ids, values, labels)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    unit = values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-12)
+    score = np.round(unit @ unit.T, 12)
+    pairs = [(score[a, b], labels[a] is not None and labels[a] == labels[b]) for a in range(150) for b in range(150) if ids[a] is None or ids[a] != ids[b]]
+    summary = {r.is_tp: r for r in E.pair_score_summary(df, cell_rows=cell_rows).collect()}
+    assert len(passes) == 2
+    margin = E.pair_score_margin(df, cell_rows=cell_rows).first()
+    counted = E.pair_score_distribution(df, cell_rows=cell_rows).collect()
+    for is_tp in (True, False):
+        own = np.array([s for s, flag in pairs if flag == is_tp])
+        r = summary[is_tp]
+        assert r.n == len(own)
+        want = [own.mean(), own.min(), own.max(), *np.quantile(own, E.QUARTILES)]
+        assert [r.mean, r.min, r.max, r.q1, r.median, r.q3] == pytest.approx(want, abs=1e-11)
+        assert margin["tp_mean" if is_tp else "fp_mean"] == pytest.approx(own.mean(), abs=1e-11)
+        nine = np.round(own, 9)
+        for series, low, high, value in (("similarity", -1.0, 1.0, nine), ("distance", 0.0, 2.0, np.sqrt(np.maximum(2 - 2 * nine, 0.0)))):
+            bins, n = np.unique(E._edge_bins(value, low, high, 100), return_counts=True)
+            assert {(x.bin, x.n) for x in counted if (x.series, x.is_tp) == (series, is_tp)} == set(zip(bins[bins >= 0], n[bins >= 0]))
