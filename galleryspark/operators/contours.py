@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from galleryspark.operators.ordering import by_key
 from galleryspark.operators.raster import BOX_TILE, ROW_STRIDE, _in_chunks, label_components, page_sizes
 from galleryspark.session import cut_lineage
 
@@ -28,17 +29,20 @@ def contour_tree(binary: DataFrame, tile: int = BOX_TILE) -> DataFrame:
     ink = label_components(binary.where("fg"), 8).withColumn("ink", F.lit(True))
     paper = label_components(binary.where("not fg"), 4).withColumn("ink", F.lit(False))
     pieces = cut_lineage(ink.unionByName(paper).withColumnRenamed("root", "node"))
-    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("page_h") - 1) | (F.col("x") == F.col("page_w") - 1)
-    nodes = pieces.join(page_sizes(binary), "image_id").groupBy("image_id", "node", "ink").agg(F.max(edge).alias("at_edge"))
-    nodes = cut_lineage(nodes.withColumn("outside", ~F.col("ink") & F.col("at_edge")).drop("at_edge"))
+    n = pieces.count()
+    # Pixels are only counted up; the sizes of the pages are joined to the far fewer pieces.
+    ends = [F.max((F.col("y") == 0) | (F.col("x") == 0)).alias("_first"), F.max("y").alias("_y"), F.max("x").alias("_x")]
+    nodes = pieces.groupBy("image_id", "node", "ink").agg(*ends).join(page_sizes(binary), "image_id")
+    at_edge = F.col("_first") | (F.col("_y") == F.col("page_h") - 1) | (F.col("_x") == F.col("page_w") - 1)
+    nodes = cut_lineage(nodes.select("image_id", "node", "ink", (~F.col("ink") & at_edge).alias("outside")))
     real = nodes.where("not outside").select("image_id", "node", "ink")
     # The pixel left of the first one; at the left border it is the outside.
     anchors = real.withColumn("y", F.shiftright("node", 20).cast("int")).withColumn("x", (F.col("node") % ROW_STRIDE).cast("int") - 1)
-    around = pieces.select("image_id", "y", "x", F.col("node").alias("parent"))
+    around = by_key(pieces.select("image_id", "y", "x", F.col("node").alias("parent")), "image_id", "y", "x", n=n)
     known = real.select("image_id", F.col("node").alias("parent"))
     outer = anchors.join(around, ["image_id", "y", "x"]).join(known, ["image_id", "parent"], "left_semi")
     tree = real.join(outer.select("image_id", "node", "parent"), ["image_id", "node"], "left")
-    shares = _window_shares(pieces, tile)
+    shares = _window_shares(pieces, tile, n)
     tree = tree.join(shares, ["image_id", "node"], "left").withColumn("units", F.coalesce("units", F.lit(0).cast("long")))
     return _gathered(tree).select("image_id", "node", "ink", "parent", "depth", (F.col("units") / UNITS).alias("area"))
 
@@ -63,8 +67,8 @@ def _gathered(tree: DataFrame) -> DataFrame:
     return state
 
 
-def _window_shares(pieces: DataFrame, tile: int) -> DataFrame:
-    """(image_id, node, units): what each piece covers of the 2x2 windows of pixel centres.
+def _window_shares(pieces: DataFrame, tile: int, n: int) -> DataFrame:
+    """(image_id, node, units): what each of the pieces (of ``n`` pixels) covers of the 2x2 windows of pixel centres.
 
     The outline cuts a window with three ink pixels along its diagonal and leaves a window of fewer to the paper. A tile gets
     the first row and column of its neighbours, so a window is seen once, in the tile of its first pixel.
@@ -104,7 +108,7 @@ def _window_shares(pieces: DataFrame, tile: int) -> DataFrame:
         return pd.DataFrame({"image_id": name.get_level_values(0), "node": name.get_level_values(1), "units": units})
 
     image_type = dict(pieces.dtypes)["image_id"]
-    parts = _in_chunks(seen, pieces.count(), ["image_id", "ty", "tx"]).applyInPandas(share, f"image_id {image_type}, node long, units long")
+    parts = _in_chunks(seen, n, ["image_id", "ty", "tx"]).applyInPandas(share, f"image_id {image_type}, node long, units long")
     return parts.groupBy("image_id", "node").agg(F.sum("units").alias("units"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from galleryspark.operators.ordering import bucketed_rank
+from galleryspark.operators.ordering import bucketed_rank, by_key
 from galleryspark.session import cut_lineage
 
 ROW_STRIDE = 1 << 20  # pixel key y * ROW_STRIDE + x; pages are narrower than this
@@ -178,6 +178,11 @@ def _in_chunks(pixels: DataFrame, count: int, keys: Sequence[str]):
 EXTENT = {"y0": F.min, "y1": F.max, "x0": F.min, "x1": F.max}
 
 
+def pixel_extent(pixels: DataFrame) -> DataFrame:
+    """(y0, y1, x0, x1, n): range and number of the pixels, one row."""
+    return pixels.agg(*[f(name[0]).alias(name) for name, f in EXTENT.items()], F.count(F.lit(1)).alias("n"))
+
+
 def label_components(
     pixels: DataFrame, connectivity: int = 8, tile: int = TILE, image: Sequence[str] = ("image_id",), extent: DataFrame | None = None
 ) -> DataFrame:
@@ -203,9 +208,7 @@ def label_components(
         first = _label_tiles(key[order], steps)
         return pdf[columns].iloc[order].assign(root=(y * ROW_STRIDE + x)[order][first])
 
-    if extent is None:
-        extent = pixels.agg(*[f(name[0]).alias(name) for name, f in EXTENT.items()], F.count(F.lit(1)).alias("n"))
-    size = extent.first()
+    size = (pixel_extent(pixels) if extent is None else extent).first()
     tiled = pixels.select(*columns, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
     labelled = _in_chunks(tiled, size.n or 0, [*keys, "_ty", "_tx"]).applyInPandas(label, schema)
     if not size.n or (size.y0 // tile == size.y1 // tile and size.x0 // tile == size.x1 // tile):
@@ -258,18 +261,20 @@ def component_stats(labelled: DataFrame) -> DataFrame:
 # --- holes and topology ----------------------------------------------------------------------
 
 
-def _quad_counts(pixels: DataFrame, keys: Sequence[str], inside_box: bool) -> DataFrame:
+def _quad_counts(pixels: DataFrame, keys: Sequence[str], inside_box: bool, n: int = 0) -> DataFrame:
     """Counts of 2x2 windows with one, three and two diagonal foreground pixels per group.
 
     Every pixel takes part in four windows, so windows over the border of a padded page are included;
-    ``inside_box`` keeps only windows that lie in the bounding box.
+    ``inside_box`` keeps only windows that lie in the bounding box. Where there are many pixels (``n``, if the caller knows it) they
+    are dealt out by bands of rows, the last row of a band also to the next one.
     """
     y, x = F.col("y"), F.col("x")
     part = lambda qy, qx, bit: F.struct(qy.alias("qy"), qx.alias("qx"), F.lit(bit).alias("bit"))
     parts = F.array(part(y, x, 1), part(y, x - 1, 2), part(y - 1, x, 4), part(y - 1, x - 1, 8))
-    quads = pixels.select(*keys, F.explode(parts).alias("_q")).groupBy(*keys, F.col("_q.qy").alias("qy"), F.col("_q.qx").alias("qx")).agg(
-        F.sum("_q.bit").cast("int").alias("bits")
-    )
+    band = lambda c: F.floor(c / BOX_TILE)
+    banded = pixels.select(*keys, "y", "x", F.explode(F.array_distinct(F.array(band(y - 1), band(y)))).alias("_band"))
+    windows = by_key(banded, *keys, "_band", n=n).select(*keys, "_band", F.explode(parts).alias("_q")).where(band(F.col("_q.qy")) == F.col("_band"))
+    quads = windows.groupBy(*keys, "_band", F.col("_q.qy").alias("qy"), F.col("_q.qx").alias("qx")).agg(F.sum("_q.bit").cast("int").alias("bits"))
     if inside_box:
         box = pixels.groupBy(*keys).agg(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1"))
         inside = F.col("qy").between(F.col("y0"), F.col("y1") - 1) & F.col("qx").between(F.col("x0"), F.col("x1") - 1)
@@ -302,8 +307,9 @@ def topology_features(foreground: DataFrame, depth: DataFrame | None = None) ->
 
     ``depth`` (image_id, depth): the deepest outline of each page, as ``contours.contour_stats`` finds it; without it 0.
     """
-    roots = lambda c: label_components(foreground, c).groupBy("image_id").agg(F.count_distinct("root").alias(f"n{c}"))
-    holes = _quad_counts(foreground, ["image_id"], False).select("image_id", _euler().alias("chi"))
+    extent = cut_lineage(pixel_extent(foreground))  # one row
+    roots = lambda c: label_components(foreground, c, extent=extent).groupBy("image_id").agg(F.count_distinct("root").alias(f"n{c}"))
+    holes = _quad_counts(foreground, ["image_id"], False, extent.first().n).select("image_id", _euler().alias("chi"))
     joined = roots(4).join(roots(8), "image_id").join(holes, "image_id")
     joined = joined.join(depth, "image_id", "left") if depth is not None else joined.withColumn("depth", F.lit(0))
     beta0, beta1 = F.col("n4"), F.greatest(F.lit(0), F.col("n8") - F.col("chi"))

@@ -187,7 +187,9 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """17x17 pages of square rings, one per supplier; on every third nation's a line from the centre up has its colour turned."""
     y, x, key, nation = F.col("y"), F.col("x"), F.col("s_suppkey").cast("bigint"), F.col("s_nationkey").cast("bigint")
     axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(16)))
-    pages = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey").withColumn("y", axis()).withColumn("x", axis())
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    # Dealt out before a row becomes 289: the table may be one file, read by one task.
+    pages = by_key(suppliers, "s_suppkey", n=17 * 17 * suppliers.count()).withColumn("y", axis()).withColumn("x", axis())
     ring = F.greatest(F.abs(y - 8), F.abs(x - 8))
     drawn = F.expr("shiftright((cast(s_suppkey as bigint) * 37 + cast(s_nationkey as bigint) * 11) % 512, _ring) % 2 = 1")
     turned = (nation % 3 == 0) & (x == 8) & (y < 8)

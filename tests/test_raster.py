@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galleryspark.operators import embedding as N, raster as R
+from galleryspark.operators import embedding as N, ordering, raster as R
+from galleryspark.plans import fixtures
 
 
 def pixels(spark, *pages):
@@ -176,3 +177,33 @@ def test_page_without_components_is_one_component(spark):
     row = N.page_components(blank).first()
     # A page of one gray value has no valid minority; the dark side is empty.
     assert (row.component_index, row.w, row.h, row.area) == (0, 6, 5, 30)
+
+
+def test_windows_of_many_pixels_are_dealt_out_by_bands(spark, monkeypatch):
+    """More pixels than a task takes: dealt out by bands of rows, and windows across two bands count once."""
+    dealt, by_key = [], R.by_key
+    monkeypatch.setattr(R, "by_key", lambda df, *keys, n: (dealt.append(n), by_key(df, *keys, n=n))[1])
+    monkeypatch.setattr(ordering, "TASK_ROWS", 20)
+    page = np.random.default_rng(2).random((140, 11)) < 0.6
+    df = spark.createDataFrame([(5, int(y), int(x)) for y, x in zip(*np.nonzero(page))], "image_id long, y int, x int")
+    whole = np.pad(page.astype(int), 1)
+    quad = whole[:-1, :-1] + 2 * whole[:-1, 1:] + 4 * whole[1:, :-1] + 8 * whole[1:, 1:]
+    ones = sum((quad >> bit) & 1 for bit in range(4))
+    want = (int((ones == 1).sum()), int((ones == 3).sum()), int(np.isin(quad, (6, 9)).sum()))
+    for n in (0, int(page.sum())):
+        row = R._quad_counts(df, ["image_id"], False, n).first()
+        assert (row.q1, row.q3, row.qd) == want
+    features = R.topology_features(df).first()
+    assert dealt == [0, int(page.sum()), int(page.sum())]
+    assert features.beta_1 == max(0, df.transform(R.label_components).select("root").distinct().count() - (want[0] - want[1] - 2 * want[2]) // 4)
+
+
+def test_pages_of_rings_are_dealt_out(spark, monkeypatch, tmp_path):
+    """The suppliers of one file become pages in many tasks, and the pages stay the same."""
+    spark.createDataFrame([(i, i % 5) for i in range(40)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    plain = fixtures.rings(spark, str(tmp_path))
+    rows = sorted(plain.collect())
+    monkeypatch.setattr(ordering, "TASK_ROWS", 500)
+    dealt = fixtures.rings(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() >= 24 > plain.rdd.getNumPartitions()
+    assert len(rows) == 40 * 289 and sorted(dealt.collect()) == rows
