@@ -342,6 +342,30 @@ def test_gallery_goes_to_few_blocks_of_queries(spark, monkeypatch):
     assert blocks_made == ["Column<'3'>"] * 2
 
 
+def _sent(monkeypatch) -> list[str]:
+    """How often the rows of a side are sent, call by call."""
+    sent, each = [], blocks._each
+    monkeypatch.setattr(blocks, "_each", lambda n: (sent.append(str(n)), each(n))[1])
+    return sent
+
+
+def test_gallery_goes_once_to_each_core_whatever_the_groups(spark, monkeypatch):
+    """Groups of four queries: the gallery is sent to the 8 cores, not to the 75 groups; rows of one id stay in one group."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 3)).round(1) + 0.01
+    frame = lambda ids: spark.createDataFrame(
+        [(int(i), [float(x) for x in v], int(j % 3)) for j, (i, v) in enumerate(zip(ids, vectors))], "vec_id bigint, embedding array<double>, label int"
+    )
+    rank = lambda df, n: sorted((r.id, r.label, round(r.ap, 12), r.m1, r.m5) for r in E.item_ranking(df, (1, 5), cell_rows=n).collect())
+    single, double = frame(range(300)), frame(np.arange(300) // 3)
+    whole, merged = rank(single, 65_536), rank(double, 100)
+    monkeypatch.setattr(E, "THRESHOLDS", 1)
+    sent = _sent(monkeypatch)
+    assert rank(single, 100) == whole
+    assert rank(double, 100) == merged
+    assert sent == ["Column<'8'>"] * 2
+
+
 @pytest.mark.parametrize("with_details", [False, True])
 def test_python_strategy_searches_once(spark, with_details):
     """No join runs the search again, no group is sent by itself; documents that lie across batches are whole."""
