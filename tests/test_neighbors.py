@@ -366,6 +366,22 @@ def test_gallery_goes_once_to_each_core_whatever_the_groups(spark, monkeypatch):
     assert sent == ["Column<'8'>"] * 2
 
 
+def test_export_sends_the_gallery_once_to_each_core(spark, monkeypatch):
+    """Cells of 16 rows: all pairs of 300 items, with nothing sent more than 8 times; a null label is of no class."""
+    monkeypatch.setattr(E, "EXPORT_ROWS", 16)
+    sent = _sent(monkeypatch)
+    rng = np.random.default_rng(6)
+    values, labels = rng.normal(size=(300, 3)), [None if i % 50 == 0 else i % 3 for i in range(300)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], labels[i]) for i, v in enumerate(values)], "vec_id bigint, embedding array<double>, label int")
+    sims, _ = brute_order(values, exclude_self=False)
+    for floor in (None, 0.3):
+        got = E.export_pair_scores(df, min_score=floor).toPandas()
+        wanted = {(q, i) for q in range(300) for i in range(300) if q != i and (floor is None or round(sims[q, i], 12) >= floor)}
+        assert set(zip(got["query_id"], got["id"])) == wanted and len(got) == len(wanted)
+        assert all(t == (labels[q] is not None and labels[q] == labels[i]) for q, i, t in zip(got["query_id"], got["id"], got["is_tp"]))
+    assert set(sent) == {"Column<'8'>"}
+
+
 @pytest.mark.parametrize("with_details", [False, True])
 def test_python_strategy_searches_once(spark, with_details):
     """No join runs the search again, no group is sent by itself; documents that lie across batches are whole."""
